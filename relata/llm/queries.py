@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from relata.llm import decontamination
+from relata.llm import decontamination, simhash_dedup
 
 QUERIES = {
+    "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op4_decontaminate": decontamination.op4_decontaminate,
 }
 
