@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from relata.llm import decontamination, simhash_dedup
+from relata.llm import decontamination, language_id, quality_fm, simhash_dedup, source_mixing, url_rules
 
 QUERIES = {
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op3_source_mixing": source_mixing.op3_source_mixing,
+    "op8_url_rules": url_rules.op8_url_rules,
+    "op1_language_id": language_id.op1_language_id,
+    "op6_quality_fm": quality_fm.op6_quality_fm,
     "op4_decontaminate": decontamination.op4_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_rules": url_rules.ORACLE,
+}
