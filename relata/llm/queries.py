@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relata.llm import decontamination, language_id, quality_fm, simhash_dedup, source_mixing, url_rules
+from relata.llm import chat_format, decontamination, hnsw, language_id, pii_surrogates, quality_fm, simhash_dedup, source_mixing, url_rules, warc_index
 
 QUERIES = {
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
@@ -10,9 +10,16 @@ QUERIES = {
     "op8_url_rules": url_rules.op8_url_rules,
     "op1_language_id": language_id.op1_language_id,
     "op6_quality_fm": quality_fm.op6_quality_fm,
+    "op2_warc_index": warc_index.op2_warc_index,
+    "op9_pii_surrogates": pii_surrogates.op9_pii_surrogates,
+    "op10_hnsw": hnsw.op10_hnsw,
+    "op7_chat_format": chat_format.op7_chat_format,
     "op4_decontaminate": decontamination.op4_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": chat_format.ORACLE,
+    "op10_hnsw": hnsw.ORACLE,
+    "op2_warc_index": warc_index.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
 }
