@@ -165,9 +165,11 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
         links[here] = index["links"][first_link[layer] : first_link[layer + 1]].reshape(-1, sizes[layer, 1])
         if entry is None:
             entry = np.broadcast_to(here[:EF_ABOVE].astype(np.int64), (len(queries), min(len(here), EF_ABOVE)))
-        entry, dist = beam(x, links, queries, entry, max(ef, k + 1) if layer == 0 else EF_ABOVE)
+        entry, _ = beam(x, links, queries, entry, max(ef, k + 1) if layer == 0 else EF_ABOVE)
     row, col = np.nonzero(entry >= 0)
-    node, d = entry[row, col], np.sqrt(dist[row, col])
+    node = entry[row, col]
+    # summed component by component, so that the score is that of a plain loop to the last digit
+    d = np.sqrt(np.cumsum((x[node] - queries[row]) ** 2, axis=1)[:, -1])
     n = np.minimum(np.diff(index["starts"])[node], k + 1)
     place = np.repeat(index["starts"][node], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     row, d, ids = np.repeat(row, n), np.repeat(d, n), index["ids"][place]
