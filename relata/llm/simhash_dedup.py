@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.components import star_components
+from relata.operators.components import star_components
 from relata.llm.frames import fresh, table
 from relata.llm.words import mix, utf8
 from relata.session import written

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from relata.llm import simhash_dedup as s
-from relata.llm.components import star_components
+from relata.operators.components import star_components
 
 
 def plain(text):
