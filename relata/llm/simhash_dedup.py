@@ -54,6 +54,8 @@ SEED = 42
 BUCKET = 1 << 20
 #: Fingerprints whose points are packed together.
 PACK = 4096
+#: Fingerprints that one task emits the points of.
+FED = 1 << 15
 
 _ONE = [1 << k for k in range(64)]
 _TWO = [1 << i | 1 << j for half in (range(32), range(32, 64)) for i in half for j in half if i < j]
@@ -185,7 +187,8 @@ def meetings(group: pa.Table) -> pa.Table:
 def ball_links(marks: DataFrame, count: int) -> DataFrame:
     """Links (a, b) that connect all fingerprints of the one-column table `marks` with RADIUS or fewer differing bits; marks are distinct."""
     n_buckets = max(1, -(-count * 561 // BUCKET))
-    packed = marks.mapInArrow(emit(n_buckets), "bucket int, points binary, steps binary")
+    spread = marks.repartition(max(1, -(-count // FED)), "mark")
+    packed = spread.mapInArrow(emit(n_buckets), "bucket int, points binary, steps binary")
     return packed.groupBy("bucket").applyInArrow(meetings, "a long, b long")
 
 
