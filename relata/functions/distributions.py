@@ -16,7 +16,7 @@ _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 def ndtr(x) -> np.ndarray:
     """The normal distribution function."""
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def log_ndtr(x) -> np.ndarray:
@@ -47,7 +47,7 @@ def ndtri(p) -> np.ndarray:
     x = t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t)
     for _ in range(3):
         density = np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
-        r = (0.5 * _erfc(x / math.sqrt(2)).astype(float) - q) / np.maximum(density, 1e-300)
+        r = (0.5 * np.asarray(_erfc(x / math.sqrt(2)), float) - q) / np.maximum(density, 1e-300)
         x = x + r / (1 - 0.5 * x * r)
     return np.where(p < 0.5, -x, x)
 
@@ -83,7 +83,7 @@ def truncated_normal(rng: np.random.Generator, mean, sd, low, high) -> np.ndarra
 
 
 def log_gamma(x) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def poisson_log(y, log_rate) -> np.ndarray:

@@ -104,7 +104,7 @@ def variance_components(residuals: DataFrame, a: DataFrame, b: DataFrame, residu
     effects = both.agg(F.var_samp("a").alias("va"), F.covar_samp("a", "b").alias("cab"), F.var_samp("b").alias("vb"))
     back = residuals.select(F.col("t"), F.col("j").alias("i"), F.col("i").alias("j"), F.col(residual).alias("_b"))
     pairs = residuals.join(back, ["t", "i", "j"], "left").where("i <> j")
-    noise = pairs.agg(F.corr(residual, "_b").alias("rho"), F.avg(F.col(residual) * F.col(residual)).alias("ve"))
+    noise = pairs.agg(F.try_divide(F.covar_pop(residual, "_b"), F.sqrt(F.var_pop(residual) * F.var_pop("_b"))).alias("rho"), F.avg(F.col(residual) * F.col(residual)).alias("ve"))
     return effects.crossJoin(noise)
 
 

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 By = Sequence[str]
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation of rows where both are known; null, and no error, where either is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def transposed(dyads: DataFrame, name: str = "y_back", value: str = "y", by: By = ("t",)) -> DataFrame:
     """dyads with the value of the opposite pair; null where that is missing."""
     back = dyads.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), F.col(value).alias(name))
@@ -42,7 +47,7 @@ def heterogeneity(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
 
 def reciprocity(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     """(by, dyad_dep): correlation of the cells with those of the opposite pairs."""
-    return transposed(dyads, "_b", "y", by).where("y is not null and _b is not null").groupBy(*by).agg(F.corr("y", "_b").alias("dyad_dep"))
+    return transposed(dyads, "_b", "y", by).where("y is not null and _b is not null").groupBy(*by).agg(correlation("y", "_b").alias("dyad_dep"))
 
 
 def triads(dyads: DataFrame, by: By = ("t",), method: str = "join") -> DataFrame:
@@ -64,7 +69,7 @@ def triads(dyads: DataFrame, by: By = ("t",), method: str = "join") -> DataFrame
     total = lambda x, name: x.join(close, [*by, "c", "a"]).groupBy(*by).agg((F.sum(F.col("s") * F.col("e3")) / F.sum("n")).alias(name))
     out = moments.join(total(paths, "cycle"), by, "left").join(total(shared, "trans"), by, "left")
     cube = F.pow(F.col("sd"), F.lit(3.0))
-    return out.select(*by, (F.col("cycle") / cube).alias("cycle_dep"), (F.col("trans") / cube).alias("trans_dep"))
+    return out.select(*by, F.try_divide("cycle", cube).alias("cycle_dep"), F.try_divide("trans", cube).alias("trans_dep"))
 
 
 def _dense_triads(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -165,7 +170,7 @@ def period_statistic(dyads: DataFrame, name: str, by: By = ("t",)) -> DataFrame:
         return dyads.groupBy(*by).agg(F.avg("y").alias("value"))
     if name == "reciprocity":
         pairs = transposed(dyads, "_b", "y", by).where("i < j and y is not null and _b is not null")
-        return pairs.groupBy(*by).agg(F.corr("y", "_b").alias("value"))
+        return pairs.groupBy(*by).agg(correlation("y", "_b").alias("value"))
     if name == "transitivity":
         ties = dyads.where("y <> 0 and i <> j").select(*by, "i", "j").distinct()
         first, second = ties.select(*by, F.col("i").alias("a"), F.col("j").alias("b")), ties.select(*by, F.col("i").alias("b"), F.col("j").alias("c"))

@@ -41,7 +41,7 @@ def tidy(draws: DataFrame, level: float = 0.95, by: Terms = ("term",)) -> DataFr
     low = (1 - level) / 2
     q = F.percentile("value", F.array(F.lit(low), F.lit(1 - low)))
     base = draws.groupBy(*by).agg(F.avg("value").alias("estimate"), F.stddev_samp("value").alias("std_error"), q.alias("q"))
-    z = F.col("estimate") / F.col("std_error")
+    z = F.try_divide("estimate", "std_error")
     return base.select(*by, "estimate", "std_error", z.alias("statistic"), two_sided_p(z).alias("p_value"), F.col("q")[0].alias("conf_low"), F.col("q")[1].alias("conf_high"))
 
 
@@ -110,10 +110,10 @@ def multivariate_rhat(draws: DataFrame, term: str = "term", point: str = "t") ->
 def pooled(fits: DataFrame, by: Terms = ("term",)) -> DataFrame:
     """Several fits (panel, by, estimate, std_error) pooled by inverse variance, with each panel's deviation and the share of shrinkage."""
     by = list(by)
-    w = 1 / (F.col("std_error") * F.col("std_error"))
-    one = fits.groupBy(*by).agg((F.sum(F.col("estimate") * w) / F.sum(w)).alias("pooled"), F.sqrt(1 / F.sum(w)).alias("pooled_se"), F.var_samp("estimate").alias("between"), F.avg(F.col("std_error") * F.col("std_error")).alias("within"))
+    w = F.try_divide(F.lit(1.0), F.col("std_error") * F.col("std_error"))
+    one = fits.groupBy(*by).agg(F.try_divide(F.sum(F.col("estimate") * w), F.sum(w)).alias("pooled"), F.sqrt(F.try_divide(F.lit(1.0), F.sum(w))).alias("pooled_se"), F.var_samp("estimate").alias("between"), F.avg(F.col("std_error") * F.col("std_error")).alias("within"))
     out = fits.join(one, by)
-    return out.select("panel", *by, "estimate", "std_error", "pooled", "pooled_se", (F.col("estimate") - F.col("pooled")).alias("deviation"), (F.col("within") / (F.col("within") + F.coalesce("between", F.lit(0.0)))).alias("shrinkage"))
+    return out.select("panel", *by, "estimate", "std_error", "pooled", "pooled_se", (F.col("estimate") - F.col("pooled")).alias("deviation"), F.try_divide(F.col("within"), F.col("within") + F.coalesce("between", F.lit(0.0))).alias("shrinkage"))
 
 
 def snap_index(indicators: DataFrame, by: Terms = ("year",)) -> DataFrame:
