@@ -144,6 +144,9 @@ class Chain:
         self.cuts = None
         moving = options.dynamic_beta
         self.moving = np.array([moving is True or (moving is not False and (n in moving or any(n.endswith(f"_{s}") for s in moving if s in ("row", "col", "dyad")))) for n in panel.names], bool)
+        # priors of moving coefficients are on the scale of their covariates
+        mean_square = (panel.x**2).mean((0, 1, 3)) if self.K else np.zeros(0)
+        self.scale = np.sqrt(np.where(mean_square > 0, mean_square, 1.0))
         self.z = self._start()
         self.xx = np.einsum("ijkt,ijlt->klt", self.x_off, self.x_off)
         self.xxt = np.einsum("ijkt,jilt->klt", self.x_off, self.x_off) if self.square else None
@@ -343,7 +346,7 @@ class Chain:
             q = len(moving)
             precision = np.zeros((q * n_t, q * n_t))
             for r, kk in enumerate(moving):
-                precision[r * n_t : (r + 1) * n_t, r * n_t : (r + 1) * n_t] = path_precision(n_t, self.o.beta_kind, self.rho_beta[kk], self.sig_beta[kk], self.o.time_index)
+                precision[r * n_t : (r + 1) * n_t, r * n_t : (r + 1) * n_t] = path_precision(n_t, self.o.beta_kind, self.rho_beta[kk], self.sig_beta[kk] / self.scale[kk] ** 2, self.o.time_index, level=0.01 * self.scale[kk] ** 2)
                 for s, ll in enumerate(moving):
                     block = precision[r * n_t : (r + 1) * n_t, s * n_t : (s + 1) * n_t]
                     block[np.diag_indices(n_t)] += xx[kk, ll]
@@ -352,10 +355,10 @@ class Chain:
                 if n_t < 2:
                     continue
                 if self.o.beta_kind == "ar1":
-                    self.rho_beta[kk], self.sig_beta[kk] = ar1_update(self.rng, self.beta[kk][None], self.rho_beta[kk], low=-0.995)
+                    self.rho_beta[kk], self.sig_beta[kk] = ar1_update(self.rng, self.scale[kk] * self.beta[kk][None], self.rho_beta[kk], low=-0.995)
                 else:
                     unit = path_precision(n_t, self.o.beta_kind, 0.9, 1.0, self.o.time_index, level=0.0)
-                    self.sig_beta[kk] = inverse_gamma(self.rng, 2 + n_t / 2, 1 + self.beta[kk] @ unit @ self.beta[kk] / 2)
+                    self.sig_beta[kk] = inverse_gamma(self.rng, 2 + n_t / 2, 1 + self.scale[kk] ** 2 * (self.beta[kk] @ unit @ self.beta[kk]) / 2)
 
     def draw_additive(self, e: np.ndarray) -> None:
         """e: z without linear and multiplicative part."""
@@ -655,7 +658,7 @@ class Chain:
         for c, name in enumerate(p.names):
             if self.moving[c]:
                 out.add(k, "beta", name, self.beta[c], t=times)
-                out.add(k, "vc", [f"rho_beta:{name}", f"sigma2_beta:{name}"], [self.rho_beta[c], self.sig_beta[c]])
+                out.add(k, "vc", [f"rho_beta:{name}", f"sigma2_beta:{name}"], [self.rho_beta[c], self.sig_beta[c] / self.scale[c] ** 2])
             else:
                 out.add(k, "beta", name, self.beta[c, 0])
         out.add(k, "vc", ["va", "cab", "vb", "ve"], [self.sab[0, 0], self.sab[0, 1], self.sab[1, 1], self.s2])

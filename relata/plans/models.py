@@ -504,6 +504,13 @@ def restore(panel: Panel, options: Options, state: pd.DataFrame) -> dict:
             out["sab"][k] = out["sab"][k[::-1]] = row.value
         elif row.term in names:
             out[names[row.term]] = row.value
+        elif ":" in row.term:
+            stem, name = row.term.split(":", 1)
+            k = panel.names.index(name)
+            out.setdefault("rho_beta", np.full(len(panel.names), 0.9))
+            out.setdefault("sig_beta", np.full(len(panel.names), 0.1))
+            square = float((panel.x[:, :, k] ** 2).mean()) or 1.0
+            out["rho_beta" if stem == "rho_beta" else "sig_beta"][k] = row.value * (1.0 if stem == "rho_beta" else square)
     return out
 
 

@@ -412,3 +412,97 @@ def pit_calibration(spark, sf_dir):
 def weighted_quantiles(spark, sf_dir):
     v = d.read(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("value"), F.col("l_extendedprice").alias("weight"))
     return summaries.weighted_quantile(v, (0.1, 0.5, 0.9))
+
+
+# fits: stochastic or iterative, so without SQL; tests compare them with known parameters -----------
+
+
+def _trade_data(spark, sf_dir, periods=None):
+    from relata.plans import models as m
+
+    x, names = designed(spark, sf_dir)
+    x = x.where(F.col("t") <= 1994 + periods) if periods else x
+    return m.Data(x.select("t", "i", "j", "y", *names), names)
+
+
+@query()
+def fit_point_estimate(spark, sf_dir):
+    """Static point estimate of the trade panel with two factors: coefficients with clustered errors."""
+    from relata.plans import models as m
+
+    return m.lame_als(_trade_data(spark, sf_dir), rank=2).tidy()
+
+
+@query()
+def fit_moving_point_estimate(spark, sf_dir):
+    """Point estimate with moving effects, coefficients and factors."""
+    from relata.plans import models as m
+
+    return m.lame_dynamic_als(_trade_data(spark, sf_dir), rank=1, dynamic_ab=True, dynamic_beta=True, dynamic_uv="ar1").coef()
+
+
+@query()
+def fit_snap_point_estimate(spark, sf_dir):
+    """Actor-years by the chance that their position was reset."""
+    from relata.plans import models as m
+
+    return m.lame_snap_als(_trade_data(spark, sf_dir), rank=1, dynamic_uv="snap", max_iter=50).snap_changes()
+
+
+@query()
+def fit_bootstrap(spark, sf_dir):
+    from relata.plans import models as m
+
+    return m.ame_als(_trade_data(spark, sf_dir)).bootstrap(8).bootstrap_interval()
+
+
+@query()
+def fit_sampled(spark, sf_dir):
+    """Two chains for the trade panel with two factors: summary with R-hat and effective draws."""
+    from relata.plans import models as m
+
+    return m.ame(_trade_data(spark, sf_dir, 3), n_chains=2, rank=2, burn=100, scan=200, thin=5).summary()
+
+
+@query()
+def fit_goodness(spark, sf_dir):
+    """Observed statistics against those of simulated networks."""
+    from relata.plans import models as m
+
+    return m.ame(_trade_data(spark, sf_dir, 2), burn=100, scan=200, thin=5).gof()
+
+
+@query()
+def fit_forecast(spark, sf_dir):
+    """Two years ahead under moving effects and coefficients."""
+    from relata.plans import models as m
+
+    return m.lame(_trade_data(spark, sf_dir, 4), burn=100, scan=200, thin=10, dynamic_ab=True, dynamic_beta=True, keep_gof=False).forecast(2)
+
+
+@query()
+def fit_binary_bipartite(spark, sf_dir):
+    """A probit model of whether a nation's customers bought from another's suppliers at least the median, as two modes."""
+    from relata.plans import models as m
+
+    x, names = designed(spark, sf_dir)
+    one = x.where("t = 1996").withColumn("j", F.concat(F.lit("to "), "j"))
+    bar = one.agg(F.percentile("y", 0.5)).first()[0]
+    data = m.Data(one.withColumn("y", (F.col("y") >= bar).cast("double")).select("t", "i", "j", "y", *names), names, square=False)
+    return m.ame(data, family="binary", rank=1, burn=100, scan=200, thin=5).tidy()
+
+
+@query()
+def fit_leave_future_out(spark, sf_dir):
+    from relata.plans import models as m
+    from relata.plans.gibbs import Options
+
+    return m.leave_future_out(_trade_data(spark, sf_dir, 5), Options(burn=50, scan=100, thin=5))
+
+
+@query()
+def fit_prior_paths(spark, sf_dir):
+    """What coefficient paths of the prior look like."""
+    from relata.plans import models as m
+
+    return m.prior_summary(spark, 7, 500)
