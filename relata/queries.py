@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relata import datasets as d
-from relata.operators import components, design, evaluation, regression, statistics, summaries
+from relata.operators import components, design, dyads, evaluation, regression, statistics, summaries
 from relata.sources import edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,6 +414,117 @@ def weighted_quantiles(spark, sf_dir):
     return summaries.weighted_quantile(v, (0.1, 0.5, 0.9))
 
 
+# cells and pairs ------------------------------------------------------------------------------------
+
+
+def _residuals(spark, sf_dir):
+    """Log trade around its mean, as z and eta."""
+    x = trade_panel(spark, sf_dir).withColumn("z", F.log1p("y"))
+    return x.withColumn("eta", F.avg("z").over(Window.partitionBy("t"))).withColumn("e", F.col("z") - F.col("eta"))
+
+
+RESIDUAL_SQL = "re AS (SELECT t, i, j, y, ln(1 + y) AS z, avg(ln(1 + y)) OVER (PARTITION BY t) AS eta FROM panel), ee AS (SELECT *, z - eta AS e FROM re), pa AS (SELECT a.t, a.i, a.j, a.e AS x, b.e AS w, a.y AS y1, b.y AS y2, a.z AS z1, b.z AS z2 FROM ee a JOIN ee b ON a.t = b.t AND a.i = b.j AND a.j = b.i AND a.i < a.j)"
+PAIR_SQL = "-1.8378770664093453 - ln(0.5) - 0.5 * ln(1 - 0.09) - (x * x + w * w - 0.6 * x * w) / (0.5 * 0.91) / 2"
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, select=f"SELECT t, i, j, {r(PAIR_SQL, 'log_density')} FROM pa"))
+def pair_densities_normal(spark, sf_dir):
+    return rounded(dyads.pair_log_density(_residuals(spark, sf_dir), 0.3, 0.5))
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, select=f"SELECT t, i, j, {r(PAIR_SQL + ' + y1 * z1 - exp(z1) - lgamma(y1 + 1) + y2 * z2 - exp(z2) - lgamma(y2 + 1)', 'log_density')} FROM pa"))
+def pair_densities_poisson(spark, sf_dir):
+    return rounded(dyads.pair_log_density(_residuals(spark, sf_dir), 0.3, 0.5, "poisson"))
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, "su AS (SELECT t, sum(x * x + w * w) AS s, sum(x * w) AS c, count(*) AS n FROM pa GROUP BY t), g AS (SELECT CAST(unnest([-0.5, 0.0, 0.5]) AS DOUBLE) AS rho)", select=f"SELECT t, rho, {r('-n * 1.8378770664093453 - 0.5 * n * ln(1 - rho * rho) - (s - 2 * rho * c) / (2 * (1 - rho * rho))', 'log_likelihood')} FROM su CROSS JOIN g"))
+def reciprocity_likelihood(spark, sf_dir):
+    return rounded(dyads.reciprocity_profile(_residuals(spark, sf_dir), (-0.5, 0.0, 0.5)))
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, select=f"SELECT t, i, j, {r('eta + least(greatest((y - exp(eta)) / exp(eta), -30), 30)', 'z')}, {r('greatest(exp(eta), 1e-6)', 'w')} FROM ee WHERE y IS NOT NULL"))
+def irls_working_poisson(spark, sf_dir):
+    z, w = dyads.irls_poisson(F.col("y"), F.col("eta"))
+    return rounded(_residuals(spark, sf_dir).where("y is not null").select("t", "i", "j", z.alias("z"), w.alias("w")))
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, "lo AS (SELECT t, i, j, CASE WHEN y > 2 THEN 1.0 ELSE 0.0 END AS v, eta - 1 AS f, 1 / (1 + exp(-(eta - 1))) AS p FROM ee WHERE y IS NOT NULL)", select=f"SELECT t, i, j, {r('f + least(greatest((v - p) / (p * (1 - p)), -30), 30)', 'z')}, {r('p * (1 - p)', 'w')} FROM lo"))
+def irls_working_logit(spark, sf_dir):
+    z, w = dyads.irls_logit(F.when(F.col("y") > 2, 1.0).otherwise(0.0), F.col("eta") - 1)
+    return rounded(_residuals(spark, sf_dir).where("y is not null").select("t", "i", "j", z.alias("z"), w.alias("w")))
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, select=f"SELECT t, {r('2 * sum(CASE WHEN y > 0 THEN y * ln(y / exp(eta)) ELSE 0 END - (y - exp(eta)))', 'deviance')} FROM ee WHERE y IS NOT NULL GROUP BY t"))
+def deviance_poisson(spark, sf_dir):
+    x = _residuals(spark, sf_dir).where("y is not null")
+    return rounded(x.groupBy("t").agg(dyads.poisson_deviance(F.col("y"), F.exp("eta")).alias("deviance")))
+
+
+def _positions(spark, sf_dir):
+    return d.read(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.col("vec_id").cast("string").alias("actor"), F.col("label").alias("t"), F.slice("embedding", 1, 4).alias("u"))
+
+
+POSITION_SQL = "po AS (SELECT CAST(vec_id AS VARCHAR(9)) AS actor, label AS t, embedding[1:4]::DOUBLE[] AS u FROM embeddings WHERE vec_id < 60)"
+
+
+@query(with_(POSITION_SQL, select=f"SELECT a.actor AS i, b.actor AS j, {r('list_sum(list_transform(range(1, 5), lambda k: a.u[k] * b.u[k]))', 'value')} FROM po a CROSS JOIN po b"))
+def product_surface(spark, sf_dir):
+    p = _positions(spark, sf_dir)
+    return rounded(dyads.product_surface(p, p))
+
+
+@query(with_(POSITION_SQL, "lo AS (SELECT actor, CAST(k - 1 AS INTEGER) AS r, u[k] AS x, u[5 - k] AS w FROM po, range(1, 5) g(k))", select=f"SELECT a.r, b.r AS s, {r('sum(a.x * b.w)', 'value')} FROM lo a JOIN lo b ON a.actor = b.actor GROUP BY 1, 2"))
+def position_cross_products(spark, sf_dir):
+    p = _positions(spark, sf_dir)
+    return rounded(dyads.cross_product(p, p.withColumn("u", F.reverse("u"))))
+
+
+@query(with_(POSITION_SQL, "su AS (SELECT a.actor AS i, b.actor AS j, list_sum(list_transform(range(1, 5), lambda k: a.u[k] * b.u[k])) AS v FROM po a CROSS JOIN po b), ma AS (SELECT *, avg(v) OVER () AS m, avg(v) OVER (PARTITION BY i) AS ri, avg(v) OVER (PARTITION BY j) AS cj FROM su)", select=f"SELECT i, j, {r('v - ri - cj + m', 'value')}, {r('ri - m', 'row')}, {r('cj - m', 'col')}, {r('m', 'mean')} FROM ma"))
+def centred_product_surface(spark, sf_dir):
+    p = _positions(spark, sf_dir)
+    return rounded(dyads.centred_products(dyads.product_surface(p, p)))
+
+
+@query(with_(d.ACTIVITY_SQL, "l AS (SELECT i, j, t, x, lag(t) OVER w AS pt, lag(x) OVER w AS px FROM activity WINDOW w AS (PARTITION BY i, j ORDER BY t))", select=f"SELECT i, j, t, {r('x', 'value')}, {r('px', 'before')} FROM l WHERE pt = t - 1"))
+def path_transitions(spark, sf_dir):
+    a = d.activity(spark, sf_dir).withColumnRenamed("x", "value")
+    return rounded(dyads.transitions(a, ["i", "j"]))
+
+
+@query(with_(PANEL_SQL, "k AS (SELECT t, i, j, y - 80 AS z, row_number() OVER (PARTITION BY t, i ORDER BY y DESC, j) AS k FROM cells), n AS (SELECT *, sum(CASE WHEN k <= 3 AND z > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY t, i) AS m FROM k)", select="SELECT t, i, j, CASE WHEN k <= 3 AND z > 0 THEN CAST(m - k + 1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y FROM n"))
+def rank_nominations(spark, sf_dir):
+    z = trade_panel(spark, sf_dir).where("y is not null").withColumn("z", F.col("y") - 80)
+    return dyads.nominations(z.drop("y"), 3).select("t", "i", "j", "y")
+
+
+@query(with_(PANEL_SQL, "q AS (SELECT t, quantile_cont(y, 0.3) AS a, quantile_cont(y, 0.8) AS b FROM cells GROUP BY t)", select="SELECT c.t, c.i, c.j, CAST((c.y > q.a)::INTEGER + (c.y > q.b)::INTEGER AS DOUBLE) AS y FROM cells c JOIN q ON q.t = c.t"))
+def ordinal_levels(spark, sf_dir):
+    z = trade_panel(spark, sf_dir).where("y is not null").withColumnRenamed("y", "z")
+    return dyads.ordinal_cuts(z, (0.3, 0.8)).select("t", "i", "j", "y")
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, "v AS (SELECT t, i, j, e FROM ee WHERE e IS NOT NULL), s AS (SELECT least(i, j) AS a, greatest(i, j) AS b, sum(e) AS s1, sum(e * z) AS s2 FROM (SELECT v.*, ee.z FROM v JOIN ee ON ee.t = v.t AND ee.i = v.i AND ee.j = v.j) GROUP BY 1, 2), n AS (SELECT count(*) AS n, sum(z) AS sz, sum(z * z) AS szz FROM ee WHERE e IS NOT NULL), me AS (SELECT sum(s1 * s1) AS m11, sum(s1 * s2) AS m12, sum(s2 * s2) AS m22 FROM s), iv AS (SELECT szz / (n * szz - sz * sz) AS b11, -sz / (n * szz - sz * sz) AS b12, n / (n * szz - sz * sz) AS b22 FROM n)", select=f"SELECT {r('1000 * (b11 * b11 * m11 + 2 * b11 * b12 * m12 + b12 * b12 * m22)', 'v11')}, {r('1000 * (b11 * b12 * m11 + (b11 * b22 + b12 * b12) * m12 + b12 * b22 * m22)', 'v12')}, {r('1000 * (b12 * b12 * m11 + 2 * b12 * b22 * m12 + b22 * b22 * m22)', 'v22')} FROM me CROSS JOIN iv"))
+def clustered_sandwich(spark, sf_dir):
+    """Covariance (times 1000) of an intercept and log trade from residual scores summed per pair."""
+    x = _residuals(spark, sf_dir).withColumn("one", F.lit(1.0)).withColumn("residual", F.col("e")).where("e is not null")
+    v = regression.sandwich(x, ["one", "z"]) * 1000
+    return rounded(spark.createDataFrame([(float(v[0, 0]), float(v[0, 1]), float(v[1, 1]))], "v11 double, v12 double, v22 double"))
+
+
+@query(with_(PANEL_SQL, RESIDUAL_SQL, "ra AS (SELECT i AS actor, avg(e) AS a FROM ee WHERE t = 1996 GROUP BY i), rb AS (SELECT j AS actor, avg(e) AS b FROM ee WHERE t = 1996 GROUP BY j)", select=f"SELECT {r('(SELECT var_samp(a) FROM ra)', 'va')}, {r('(SELECT covar_samp(a, b) FROM ra JOIN rb ON ra.actor = rb.actor)', 'cab')}, {r('(SELECT var_samp(b) FROM rb)', 'vb')}, {r('(SELECT corr(a.e, b.e) FROM ee a JOIN ee b ON a.t = 1996 AND b.t = 1996 AND a.i = b.j AND a.j = b.i AND a.i <> a.j)', 'rho')}, {r('(SELECT avg(e * e) FROM ee WHERE t = 1996 AND i <> j)', 've')}"))
+def variance_components(spark, sf_dir):
+    x = _residuals(spark, sf_dir).where("t = 1996").withColumnRenamed("e", "residual")
+    a, b = (x.groupBy(F.col(c).alias("actor")).agg(F.avg("residual").alias("effect")) for c in ("i", "j"))
+    return rounded(regression.variance_components(x, a, b))
+
+
+@query(with_(d.ACTIVITY_SQL, SNAP_SQL, "g AS (SELECT i.*, CASE WHEN actor < 'd' THEN 'early' ELSE 'late' END AS grp FROM ind i), ig AS (SELECT draw, grp, year, avg(value) AS index FROM g GROUP BY 1, 2, 3)", select="SELECT grp AS \"group\", year, " + ", ".join([r("avg(index)", "mean"), r("stddev_samp(index)", "sd"), *(r(f"quantile_cont(index, {p})", n) for p, n in ((0.5, "q50"),))]) + " FROM ig GROUP BY 1, 2"))
+def snap_group_summary(spark, sf_dir):
+    ind = _indicators(spark, sf_dir)
+    groups = ind.select("actor").distinct().withColumn("group", F.when(F.col("actor") < "d", "early").otherwise("late"))
+    return rounded(summaries.snap_groups(ind, groups, probs=(0.5,)))
+
+
 # fits: stochastic or iterative, so without SQL; tests compare them with known parameters -----------
 
 
