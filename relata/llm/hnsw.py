@@ -187,9 +187,15 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def tasks_for(shards: int | None) -> int:
+    """Partitions that so many shards are dealt to: few of them hold two. Without a number of its own a small table would be joined to one task."""
+    return max(1, min(2 * (shards or 0), 20_000))
+
+
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index table of vectors (vec_id, vector array<double>)."""
-    dims = vectors.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    dims = written(vectors.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "shards")
+    n = tasks_for(dims.agg(F.sum("shards")).first()[0])
     dealt = vectors.withColumn("dim", F.size("vector")).join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.col("shards")).cast("int"))
 
     def make(key: tuple, group: pa.Table) -> pa.Table:
@@ -197,7 +203,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         made = build(group.column("vec_id").to_numpy(), matrix(group.column("vector"), dim))
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32())} | {c: pa.array([a.tobytes()], pa.binary()) for c, a in made.items()})
 
-    return dealt.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInArrow(make, INDEX)
+    return dealt.select("dim", "shard", "vec_id", "vector").repartition(n, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, INDEX)
 
 
 def opened(row: dict, dim: int) -> dict[str, np.ndarray]:
@@ -220,7 +226,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     dealt = queries.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).select("dim", "block", "vec_id", "vector")
     packed = dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, query_ids binary, queries binary")
     sent = packed.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    met = sent.join(index, ["dim", "shard"])
+    n = tasks_for(index.count())
+    met = sent.repartition(n, "dim", "shard").join(index.repartition(n, "dim", "shard"), ["dim", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
