@@ -60,6 +60,18 @@ def precision_draw(rng: np.random.Generator, precision: np.ndarray, linear: np.n
     return mean + np.linalg.solve(l.T, rng.standard_normal(len(linear)))
 
 
+def rank_one_draw(rng: np.random.Generator, diagonal: np.ndarray, factor: float, w: np.ndarray, linear: np.ndarray) -> np.ndarray:
+    """A draw as precision_draw makes for the precision diag(diagonal) + factor w w', in linear time."""
+    z, z1 = rng.standard_normal(len(w)), rng.standard_normal()
+    scaled = w / diagonal
+    total = float(w @ scaled)
+    if factor > 0:  # noise of the precision itself is a sum of two parts, and is solved with the linear term
+        right = linear + np.sqrt(diagonal) * z + np.sqrt(factor) * w * z1
+        return right / diagonal - scaled * (factor * float(scaled @ right) / (1 + factor * total))
+    gain = -factor / (1 + factor * total)
+    return linear / diagonal + scaled * (gain * float(scaled @ linear)) + z / np.sqrt(diagonal) + np.sqrt(max(gain, 0.0)) * scaled * z1
+
+
 def wishart(rng: np.random.Generator, scale: np.ndarray, df: float) -> np.ndarray:
     """By Bartlett's decomposition."""
     p = len(scale)

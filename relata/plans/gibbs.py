@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from relata.functions import distributions as dist
-from relata.functions.linear import inverse_gamma, normal_draw, precision_draw, safe_inverse, wishart
+from relata.functions.linear import inverse_gamma, normal_draw, precision_draw, rank_one_draw, safe_cholesky, safe_inverse, wishart
 from relata.plans.arrays import Draws, Panel
 
 FAMILIES = ("normal", "binary", "ordinal", "cbin", "frn", "poisson")
@@ -287,9 +287,8 @@ class Chain:
     # scales ---------------------------------------------------------------------------------
 
     def pair_sums(self, e: np.ndarray, t: int) -> tuple[float, float, int]:
-        i, j = np.triu_indices(self.n, 1)
-        x, y = e[i, j, t], e[j, i, t]
-        return float((x * x + y * y).sum()), float((x * y).sum()), len(i)
+        full = e[:, :, t] * self.off
+        return float((full * full).sum()), float((full * full.T).sum()) / 2, self.n * (self.n - 1) // 2
 
     def draw_scale(self, e: np.ndarray) -> None:
         if not self.fixed_scale:
@@ -376,21 +375,26 @@ class Chain:
             self.b[:] = self.a
             self.sab[0, 0] = self.sab[1, 1] = inverse_gamma(self.rng, (1 + n) / 2, (1 + (self.a[:, 0] ** 2).sum()) / 2, self.sab[0, 0])
         elif self.square:
-            data, linear = np.zeros((2 * n, 2 * n)), np.zeros(2 * n)
-            eye, rest = np.eye(n), 1 - np.eye(n)
+            # cells give kron(within, I) + kron(between, J): means and deviations separate
+            within, between, linear = np.zeros((2, 2)), np.zeros((2, 2)), np.zeros((2, n))
             for t in range(self.T):
                 c, d = self.whitener(t)
                 white = (c * e[:, :, t] + d * e[:, :, t].T) * self.off
-                rows, cols = white.sum(1), white.sum(0)
-                turn = np.block([[c * eye, d * eye], [d * eye, c * eye]])
-                data += turn.T @ np.block([[(n - 1) * eye, rest], [rest, (n - 1) * eye]]) @ turn
-                linear += turn.T @ np.concatenate([rows, cols])
-            use = np.concatenate([np.full(n, self.o.row_effects), np.full(n, self.o.col_effects)])
+                turn = np.array([[c, d], [d, c]])
+                within += turn.T @ np.array([[n - 1, -1], [-1, n - 1]]) @ turn
+                between += turn.T @ np.array([[0, 1], [1, 0]]) @ turn
+                linear += turn.T @ np.stack([white.sum(1), white.sum(0)])
             both = self.o.row_effects and self.o.col_effects
-            prior = np.kron(safe_inverse(self.sab), eye) if both else np.diag(np.repeat([1 / self.sab[0, 0], 1 / self.sab[1, 1]], n))
-            drawn = np.zeros(2 * n)
-            drawn[use] = precision_draw(self.rng, (data + prior)[np.ix_(use, use)], linear[use])
-            self.a[:], self.b[:] = drawn[:n, None], drawn[n:, None]
+            use = [0, 1] if both else [0] if self.o.row_effects else [1]
+            within = within + (safe_inverse(self.sab) if both else np.diag(1 / np.diag(self.sab)))
+            within, between, linear = within[np.ix_(use, use)], between[np.ix_(use, use)], linear[use]
+            noise = self.rng.standard_normal(linear.shape)
+            deviations = np.linalg.solve(within, linear) + np.linalg.solve(safe_cholesky(within).T, noise)
+            deviations -= deviations.mean(1)[:, None]
+            centre = precision_draw(self.rng, within + n * between, linear.sum(1) / n**0.5) / n**0.5
+            drawn = np.zeros((2, n))
+            drawn[use] = deviations + centre[:, None]
+            self.a[:], self.b[:] = drawn[0][:, None], drawn[1][:, None]
             ab = np.stack([self.a[:, 0], self.b[:, 0]])
             if both:
                 self.sab = safe_inverse(wishart(self.rng, safe_inverse(4 * np.eye(2) * float(self.o.prior.get("sab", 0.25)) + ab @ ab.T), 4 + n))
@@ -456,31 +460,25 @@ class Chain:
                 self.suv[k][:] = [inverse_gamma(self.rng, (2 + len(x)) / 2, (1 + (x[:, r] ** 2).sum()) / 2) for r in range(x.shape[1])]
 
     def _square_factors(self, e: np.ndarray) -> None:
+        """A whole column of positions at a time. Its precision is a diagonal plus a multiple of one outer product:
+        own cells give the diagonal, and opposite cells, whose errors correlate, the product."""
         u, v = self.u[:, :, 0].copy(), self.v[:, :, 0].copy()
         cd = [self.whitener(t) for t in range(self.T)]
+        weight, cross = sum(c * c + d * d for c, d in cd), sum(2 * c * d for c, d in cd)
         white = [(c * e[:, :, t] + d * e[:, :, t].T) * self.off for t, (c, d) in enumerate(cd)]
-        for mine, other, flip in ((u, v, False), (v, u, True)):
-            prior = np.diag(1 / self.suv[int(flip)])
-            gram = other.T @ other
-            weight = sum(c * c + d * d for c, d in cd)
-            # along a row of the whitened residual, u_i meets c v_j; along a column, d v_j
-            along = sum((c * (w.T if flip else w) + d * (w if flip else w.T)) for w, (c, d) in zip(white, cd))
-            cross = sum(2 * c * d for c, d in cd)
-            precision = weight * (gram - other[:, :, None] * other[:, None, :]) + prior
-            covariance = np.linalg.inv(precision)
-            noise = np.linalg.solve(np.linalg.cholesky(precision).transpose(0, 2, 1), self.rng.standard_normal((self.n, len(prior), 1)))[:, :, 0]
-            linear = along @ other
-            if not cross:
-                mine[:] = np.einsum("irs,is->ir", covariance, linear) + noise
-                continue
-            # the opposite cells hold the products of the others' factors with this actor's other one
-            own = other[:, :, None] * other[:, None, :]
-            both = other.T @ mine
-            for i in range(self.n):
-                rest = both @ other[i] - own[i] @ mine[i]
-                new = covariance[i] @ (linear[i] - cross * rest) + noise[i]
-                both += np.outer(other[i], new - mine[i])
-                mine[i] = new
+        along = sum(c * w + d * w.T for w, (c, d) in zip(white, cd))
+        back = sum(c * w.T + d * w for w, (c, d) in zip(white, cd))
+        for mine, other, data, variance in ((u, v, along, self.suv[0]), (v, u, back, self.suv[1])):
+            linear, gram = data @ other, other.T @ other
+            for r in range(self.rank):
+                w = other[:, r]
+                rest = linear[:, r]
+                for s in range(self.rank):
+                    if s != r:
+                        own = mine[:, s] * other[:, s] * w
+                        rest = rest - weight * (gram[r, s] * mine[:, s] - own) - cross * ((w @ mine[:, s]) * other[:, s] - own)
+                diagonal = weight * (gram[r, r] - w * w) + 1 / variance[r] - cross * w * w
+                mine[:, r] = rank_one_draw(self.rng, diagonal, cross, w, rest)
         self.u[:], self.v[:] = u[:, :, None], v[:, :, None]
 
     def _symmetric_factors(self, e: np.ndarray) -> None:

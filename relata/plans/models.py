@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from relata.functions.distributions import inverse_link, normal_cdf
 from relata.operators import design as d
 from relata.operators import evaluation, statistics, summaries
+from relata.operators.dyads import aligned_over_time, centred_products
 from relata.plans.als import Als, AlsOptions, best_of_starts, bootstrap_replicate
 from relata.plans.arrays import DRAWS, Panel, fan_out
 from relata.plans.gibbs import Chain, Options, observed, pointwise
@@ -48,22 +49,40 @@ def chains(spark: SparkSession, n: int) -> DataFrame:
     return spark.createDataFrame([(k,) for k in range(n)], "task int")
 
 
-def ame(data: Data, options: Options | None = None, n_chains: int = 1, **settings) -> BayesFit:
-    """Sampled fit of one or more periods with static or dynamic parts, one task per chain."""
+def sampled_fit(data: Data, options: Options | None = None, n_chains: int = 1, start: AlsOptions | bool = False, **settings) -> BayesFit:
+    """Sampled fit of one or more periods with static or moving parts, one task per chain.
+
+    start: chains begin at a point estimate, which each task makes for itself, with a little noise.
+    """
     options = options or Options(**settings)
+    if start is True:
+        start = AlsOptions(family=options.family if options.family in ("normal", "binary", "poisson") else "normal", symmetric=options.symmetric, rank=options.rank, rank_col=options.rank_col, seed=options.seed)
     if options.family == "ordinal":
         data = Data(data.dyads, [n for n in data.names if n != "intercept"], data.square)
 
     def fit(panel: Panel, task: dict) -> pd.DataFrame:
         chain = int(task["task"])
-        return Chain(panel, replace(options, seed=options.seed + SEED_STEP * chain), chain).run().frame()
+        begin = start_values(panel, start, options.seed + chain) if start else None
+        return Chain(panel, replace(options, seed=options.seed + SEED_STEP * chain), chain, begin).run().frame()
 
     draws = fan_out(data.dyads, chains(data.dyads.sparkSession, n_chains), data.names, fit, DRAWS, data.square)
     return BayesFit(data, options, written(draws, "draws"), n_chains)
 
 
-#: A panel is a table with several periods; the same call fits it.
-lame = ame
+def start_values(panel: Panel, options: AlsOptions, seed: int, jitter: float = 0.01) -> dict:
+    """A chain's state at a point estimate: coefficients, effects, factors and scales."""
+    fit, rng = best_of_starts(panel, options), np.random.default_rng([seed, 3])
+    noise = lambda x: x + jitter * rng.standard_normal(x.shape)
+    vc = fit.components()
+    beta = np.zeros((len(panel.names), panel.shape[2]))
+    for k, name in enumerate(panel.names):
+        beta[k] = fit.mu_path if name == "intercept" else fit.beta[fit.names.index(name)]
+    out = {"beta": beta, "a": noise(fit.a), "b": noise(fit.b), "sab": np.array([[max(vc["va"], 1e-3), vc["cab"]], [vc["cab"], max(vc["vb"], 1e-3)]])}
+    if fit.r:
+        out |= {"u": noise(fit.u), "v": noise(fit.v), "g": fit.g.copy()}
+    if options.family == "normal":
+        out["s2"] = max(vc["ve"], 1e-3)
+    return out
 
 
 @dataclass
@@ -338,6 +357,20 @@ class BayesFit:
         old = self.draws.where("draw > 0")
         return BayesFit(self.data, self.options, written(old.unionByName(more), "draws"), self.n_chains)
 
+    def update(self, **changes) -> BayesFit:
+        """The same data under changed options."""
+        return sampled_fit(self.data, replace(self.options, **changes), self.n_chains)
+
+    def centred_multiplicative(self) -> DataFrame:
+        """The mean multiplicative surface without its margins, and the margins, which belong to the additive terms."""
+        return centred_products(self.multiplicative(), ["t"] if self.options.dynamic_uv or self.options.dynamic_g else [])
+
+    def aligned_positions(self, side: str = "u") -> DataFrame:
+        """(t, actor, u): mean positions with each period rotated onto the one before."""
+        rows = self.block(side).where("t is not null").groupBy("t", F.col("i").alias("actor"), F.col("term").cast("int").alias("r")).agg(F.avg("value").alias("value"))
+        wide = rows.groupBy("t", "actor").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("u"))
+        return aligned_over_time(wide, self.options.rank)
+
     def memory(self) -> DataFrame:
         """Stored values and bytes by block, largest first."""
         return self.draws.groupBy("block").agg(F.count("*").alias("values"), (8 * F.count("*")).alias("bytes")).orderBy(F.desc("bytes"))
@@ -556,8 +589,8 @@ def als_rows(task: int, fit: Als) -> pd.DataFrame:
     return out.frame().drop(columns=["draw"]).rename(columns={"chain": "task"})
 
 
-def ame_als(data: Data, options: AlsOptions | None = None, **settings) -> AlsFit:
-    """A point estimate of one panel, in one task."""
+def point_fit(data: Data, options: AlsOptions | None = None, **settings) -> AlsFit:
+    """A point estimate of a network or panel, static or moving, in one task."""
     options = options or AlsOptions(**settings)
 
     def fit(panel: Panel, task: dict) -> pd.DataFrame:
@@ -567,9 +600,6 @@ def ame_als(data: Data, options: AlsOptions | None = None, **settings) -> AlsFit
     return AlsFit(data, options, written(rows, "als"))
 
 
-lame_als = lame_dynamic_als = lame_snap_als = ame_als
-
-
 @dataclass
 class AlsFit:
     data: Data
@@ -654,10 +684,10 @@ class AlsFit:
     def refit(self, y: DataFrame) -> AlsFit:
         """The same model for other responses (t, i, j, y)."""
         other = self.data.dyads.drop("y").join(y.select("t", "i", "j", "y"), ["t", "i", "j"], "left").select(*self.data.dyads.columns)
-        return ame_als(Data(other, self.data.names, self.data.square), self.options)
+        return point_fit(Data(other, self.data.names, self.data.square), self.options)
 
     def update(self, **changes) -> AlsFit:
-        return ame_als(self.data, replace(self.options, **changes))
+        return point_fit(self.data, replace(self.options, **changes))
 
     def loo(self):
         raise NotAvailable("a point estimate has no draws")
@@ -696,7 +726,7 @@ class AlsFit:
 
 # across fits ------------------------------------------------------------------------------------
 
-def lame_multi(panels: DataFrame, names: Sequence[str], options: Options, square: bool = True) -> DataFrame:
+def pooled_fits(panels: DataFrame, names: Sequence[str], options: Options, square: bool = True) -> DataFrame:
     """Fits of several panels (a column `panel`), one task each, pooled by inverse variance."""
     ids = panels.select("panel").distinct()
     from pyspark.sql import Window
@@ -772,3 +802,10 @@ def forecast_pit(fit: BayesFit, future: DataFrame, h: int = 1, discrete: bool |
 
 def probability(eta: DataFrame) -> DataFrame:
     return eta.withColumn("value", normal_cdf(F.col("value")))
+
+
+def memory_estimate(n_row: int, n_col: int | None = None, periods: int = 1, covariates: int = 1, rank: int = 2, draws: int = 100) -> dict[str, int]:
+    """Bytes of one task of a fit: the panel's arrays, working surfaces, and kept draws."""
+    cells = n_row * (n_col or n_row) * periods
+    out = {"panel": 8 * cells * (1 + covariates), "work": 8 * cells * 6, "draws": 60 * draws * (n_row + (n_col or n_row)) * (1 + rank)}
+    return out | {"total": sum(out.values())}

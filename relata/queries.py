@@ -541,7 +541,7 @@ def fit_point_estimate(spark, sf_dir):
     """Static point estimate of the trade panel with two factors: coefficients with clustered errors."""
     from relata.plans import models as m
 
-    return m.lame_als(_trade_data(spark, sf_dir), rank=2).tidy()
+    return m.point_fit(_trade_data(spark, sf_dir), rank=2).tidy()
 
 
 @query()
@@ -549,7 +549,7 @@ def fit_moving_point_estimate(spark, sf_dir):
     """Point estimate with moving effects, coefficients and factors."""
     from relata.plans import models as m
 
-    return m.lame_dynamic_als(_trade_data(spark, sf_dir), rank=1, dynamic_ab=True, dynamic_beta=True, dynamic_uv="ar1").coef()
+    return m.point_fit(_trade_data(spark, sf_dir), rank=1, dynamic_ab=True, dynamic_beta=True, dynamic_uv="ar1").coef()
 
 
 @query()
@@ -557,14 +557,14 @@ def fit_snap_point_estimate(spark, sf_dir):
     """Actor-years by the chance that their position was reset."""
     from relata.plans import models as m
 
-    return m.lame_snap_als(_trade_data(spark, sf_dir), rank=1, dynamic_uv="snap", max_iter=50).snap_changes()
+    return m.point_fit(_trade_data(spark, sf_dir), rank=1, dynamic_uv="snap", max_iter=50).snap_changes()
 
 
 @query()
 def fit_bootstrap(spark, sf_dir):
     from relata.plans import models as m
 
-    return m.ame_als(_trade_data(spark, sf_dir)).bootstrap(8).bootstrap_interval()
+    return m.point_fit(_trade_data(spark, sf_dir)).bootstrap(8).bootstrap_interval()
 
 
 @query()
@@ -572,7 +572,7 @@ def fit_sampled(spark, sf_dir):
     """Two chains for the trade panel with two factors: summary with R-hat and effective draws."""
     from relata.plans import models as m
 
-    return m.ame(_trade_data(spark, sf_dir, 3), n_chains=2, rank=2, burn=100, scan=200, thin=5).summary()
+    return m.sampled_fit(_trade_data(spark, sf_dir, 3), n_chains=2, rank=2, burn=100, scan=200, thin=5).summary()
 
 
 @query()
@@ -580,7 +580,7 @@ def fit_goodness(spark, sf_dir):
     """Observed statistics against those of simulated networks."""
     from relata.plans import models as m
 
-    return m.ame(_trade_data(spark, sf_dir, 2), burn=100, scan=200, thin=5).gof()
+    return m.sampled_fit(_trade_data(spark, sf_dir, 2), burn=100, scan=200, thin=5).gof()
 
 
 @query()
@@ -588,7 +588,7 @@ def fit_forecast(spark, sf_dir):
     """Two years ahead under moving effects and coefficients."""
     from relata.plans import models as m
 
-    return m.lame(_trade_data(spark, sf_dir, 4), burn=100, scan=200, thin=10, dynamic_ab=True, dynamic_beta=True, keep_gof=False).forecast(2)
+    return m.sampled_fit(_trade_data(spark, sf_dir, 4), burn=100, scan=200, thin=10, dynamic_ab=True, dynamic_beta=True, keep_gof=False).forecast(2)
 
 
 @query()
@@ -600,7 +600,7 @@ def fit_binary_bipartite(spark, sf_dir):
     one = x.where("t = 1996").withColumn("j", F.concat(F.lit("to "), "j"))
     bar = one.agg(F.percentile("y", 0.5)).first()[0]
     data = m.Data(one.withColumn("y", (F.col("y") >= bar).cast("double")).select("t", "i", "j", "y", *names), names, square=False)
-    return m.ame(data, family="binary", rank=1, burn=100, scan=200, thin=5).tidy()
+    return m.sampled_fit(data, family="binary", rank=1, burn=100, scan=200, thin=5).tidy()
 
 
 @query()

@@ -45,9 +45,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
+#: Paths handed out in this process, for `remove_scratch`.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/relata-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/relata-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes what this process wrote below the shared folder; for the end of a job, as results are read from there until then."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

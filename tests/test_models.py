@@ -136,7 +136,7 @@ def test_snaps_are_found():
 def fitted(spark):
     p, _ = panel(14, seed=12)
     data = m.Data.of(frame(spark, p), ["x"])
-    return p, m.ame(data, rank=1, n_chains=2, keep_loglik=True, **QUICK)
+    return p, m.sampled_fit(data, rank=1, n_chains=2, keep_loglik=True, **QUICK)
 
 
 def test_contracts_of_a_sampled_fit(spark, fitted):
@@ -188,7 +188,7 @@ def test_save_load_and_resume(spark, fitted, tmp_path):
 def test_forecasts_and_future(spark):
     p, _ = panel(10, periods=4, seed=13, paths=True)
     data = m.Data.of(frame(spark, p), ["x"])
-    fit = m.lame(data, dynamic_beta=True, dynamic_ab=True, **QUICK)
+    fit = m.sampled_fit(data, dynamic_beta=True, dynamic_ab=True, **QUICK)
     ahead = fit.forecast(2)
     assert ahead.count() == 2 * 100 and ahead.where("value is null").isEmpty()
     lfo = m.leave_future_out(data, Options(burn=50, scan=50, thin=5), [3, 4]).collect()
@@ -202,7 +202,7 @@ def test_forecasts_and_future(spark):
 def test_point_fit_objects(spark):
     p, _ = panel(16, seed=14)
     data = m.Data.of(frame(spark, p), ["x"])
-    fit = m.ame_als(data)
+    fit = m.point_fit(data)
     t = {r.term: r for r in fit.tidy().collect()}
     assert t["x_dyad"].conf_low < 0.85 and t["x_dyad"].conf_high > 0.75 and t["x_dyad"].p_value < 0.01
     boot = fit.bootstrap(8)
@@ -221,8 +221,89 @@ def test_pooled_panels_and_actor_slopes(spark):
     for k in range(2):
         p, _ = panel(10, seed=20 + k)
         frames.append(frame(spark, p).withColumn("panel", F.lit(f"p{k}")).withColumn("intercept", F.lit(1.0)).withColumnRenamed("x", "x_dyad"))
-    pooled = m.lame_multi(frames[0].unionByName(frames[1]), ["intercept", "x_dyad"], Options(keep_gof=False, **QUICK))
+    pooled = m.pooled_fits(frames[0].unionByName(frames[1]), ["intercept", "x_dyad"], Options(keep_gof=False, **QUICK))
     rows = pooled.where("term = 'x_dyad'").collect()
     assert len(rows) == 2 and abs(rows[0].pooled - 0.8) < 0.2
     slopes = m.per_actor_slopes(frames[0].withColumn("residual", 2 * F.col("x_dyad")), "x_dyad").collect()
     assert all(abs(r.slope - 2) < 1e-3 for r in slopes)
+
+
+@pytest.mark.parametrize("factor", [0.7, -0.02, 0.0])
+def test_draws_with_a_rank_one_precision(factor):
+    from relata.functions.linear import rank_one_draw
+
+    rng = np.random.default_rng(1)
+    d, w, b = np.array([2.0, 3.0, 1.5]), np.array([1.0, -2.0, 0.5]), np.array([1.0, 0.3, -2.0])
+    precision = np.diag(d) + factor * np.outer(w, w)
+    x = np.stack([rank_one_draw(rng, d, factor, w, b) for _ in range(40000)])
+    assert np.allclose(x.mean(0), np.linalg.solve(precision, b), atol=0.02)
+    assert np.allclose(np.cov(x.T), np.linalg.inv(precision), atol=0.03)
+
+
+def test_additive_effects_have_the_joint_conditional():
+    """Draws given everything else, against the dense conditional of both effects under reciprocity."""
+    p, _ = panel(6, seed=21)
+    chain = Chain(p, Options(keep_gof=False))
+    chain.rho[:], chain.s2, chain.sab = 0.5, 0.7, np.array([[0.8, 0.3], [0.3, 0.5]])
+    e, n = np.random.default_rng(2).normal(size=(6, 6, 1)), 6
+    cells = [(i, j) for i in range(n) for j in range(n) if i != j]
+    design = np.zeros((len(cells), 2 * n))
+    cov = np.zeros((len(cells), len(cells)))
+    for k, (i, j) in enumerate(cells):
+        design[k, i], design[k, n + j], cov[k, k] = 1, 1, 0.7
+        cov[k, cells.index((j, i))] = 0.35
+    white = np.linalg.inv(cov)
+    precision = design.T @ white @ design + np.kron(np.linalg.inv(chain.sab), np.eye(n))
+    mean = np.linalg.solve(precision, design.T @ white @ np.array([e[i, j, 0] for i, j in cells]))
+    draws = []
+    for _ in range(20000):
+        chain.sab = np.array([[0.8, 0.3], [0.3, 0.5]])
+        chain.draw_additive(e)
+        draws.append(np.concatenate([chain.a[:, 0], chain.b[:, 0]]))
+    draws = np.stack(draws)
+    assert np.allclose(draws.mean(0), mean, atol=0.03) and np.allclose(np.cov(draws.T), np.linalg.inv(precision), atol=0.03)
+
+
+def test_factors_have_the_joint_conditional():
+    p, _ = panel(5, seed=22)
+    chain = Chain(p, Options(rank=1, keep_gof=False))
+    chain.rho[:], chain.s2 = 0.5, 0.7
+    e, n = np.random.default_rng(3).normal(size=(5, 5, 1)), 5
+    v0 = np.random.default_rng(4).normal(size=(5, 1, 1))
+    cells = [(i, j) for i in range(n) for j in range(n) if i != j]
+    design, cov = np.zeros((len(cells), n)), np.zeros((len(cells), len(cells)))
+    for k, (i, j) in enumerate(cells):
+        design[k, i], cov[k, k], cov[k, cells.index((j, i))] = v0[j, 0, 0], 0.7, 0.35
+    white = np.linalg.inv(cov)
+    precision = design.T @ white @ design + np.eye(n)
+    mean = np.linalg.solve(precision, design.T @ white @ np.array([e[i, j, 0] for i, j in cells]))
+    draws = []
+    for _ in range(20000):
+        chain.suv = (np.ones(1), np.ones(1))
+        chain.v = v0.copy()
+        chain._square_factors(e)
+        draws.append(chain.u[:, 0, 0].copy())
+    draws = np.stack(draws)
+    assert np.allclose(draws.mean(0), mean, atol=0.03) and np.allclose(np.cov(draws.T), np.linalg.inv(precision), atol=0.03)
+
+
+def test_start_values_updates_and_positions(spark):
+    p, _ = panel(10, periods=3, rank=1, seed=30)
+    data = m.Data.of(frame(spark, p), ["x"])
+    fit = m.sampled_fit(data, rank=1, dynamic_uv="ar1", start=True, burn=20, scan=40, thin=10, keep_gof=False)
+    assert abs(fit.coef().where("term = 'x_dyad'").first().estimate - 0.8) < 0.2
+    assert fit.update(scan=20).beta.select("draw").distinct().count() == 2
+    assert fit.aligned_positions().count() == 30
+    c = fit.centred_multiplicative().toPandas()
+    assert abs(c.groupby("t").value.mean()).max() < 1e-9
+    assert m.memory_estimate(1000)["panel"] == 16_000_000
+
+
+def test_scratch_is_removed(spark):
+    from relata import session
+
+    kept = session._SCRATCH[:]
+    session._SCRATCH.clear()
+    session.written(spark.range(3), "x")
+    assert session.remove_scratch(spark) == 1
+    session._SCRATCH.extend(kept)
