@@ -9,7 +9,7 @@ prototype has the largest cosine with it.
 Letter vectors are drawn from a generator seeded by the letter, so every worker
 makes the same ones without a table to share. Prediction is one map over whole
 texts, in pieces of bounded length. Prototypes are fitted on at most about
-`per_language` texts of each language, taken by a hash of the id; counts of the
+`per_language` texts of each language, taken by a hash of id and text; counts of the
 languages, which set the taken fraction, are over all learnable rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
@@ -108,7 +108,7 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     for lang, n in counts.items():
         if n > per_language:
             take = F.when(F.col("lang") == lang, F.lit(max(1, parts * per_language // n))).otherwise(take)
-    picked = rows.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(parts)) < take).select("lang", "text")
+    picked = rows.where(F.pmod(F.xxhash64("i", "text", F.lit(seed)), F.lit(parts)) < take).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found = alphabet(dimensions, seed), {}

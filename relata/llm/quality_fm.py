@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         known = known.where(F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(1 << 20)) < (1 << 20) * fit_rows // count)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *metadata_of(docs, metadata))
     rows = rows.join(F.broadcast(known), F.col("i") == F.col("k")).drop("k").select("i", "y", "t", *[f"m{k}" for k in range(len(metadata))])
+    rows = rows.dropDuplicates(["i"])  # else an id that very many rows share would make the sample unbounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
