@@ -52,6 +52,10 @@ class Options:
     keep_loglik: bool = False
     keep_gof: bool = True
     min_obs: int = 0
+    cutpoints: str = "data"
+    pool_beta: bool = False
+    actor_slope: str | None = None
+    actor_side: str = "row"
     max_seconds: float | None = None
     prior: dict = field(default_factory=dict)
 
@@ -61,6 +65,10 @@ class Options:
             raise ValueError(f"no family {self.family}")
         if self.symmetric and self.family in ("cbin", "frn"):
             raise ValueError(f"{self.family} has no symmetric form")
+        if self.cutpoints not in ("data", "explicit"):
+            raise ValueError("cutpoints come from the data or are explicit")
+        if self.actor_side not in ("row", "col"):
+            raise ValueError("slopes are those of row or col actors")
         if self.exposure is not None and self.family != "poisson":
             raise ValueError("an exposure needs the poisson family")
         if self.time_index is not None and any(b <= a for a, b in zip(self.time_index, self.time_index[1:])):
@@ -141,7 +149,16 @@ class Chain:
         self.snap_u, self.snap_v = np.zeros((self.n, self.T)), np.zeros((self.m, self.T))
         self.lam_u, self.lam_v = np.ones((self.n, self.T)), np.ones((self.m, self.T))
         self.pi_snap = 0.1
-        self.cuts = None
+        self.levels = np.unique(panel.y[panel.seen]) if options.family == "ordinal" else None
+        self.alpha, self.cut_step, self.cut_taken = None, 0.1, []
+        if options.family == "ordinal" and options.cutpoints == "explicit":
+            share = np.array([(panel.y[panel.seen] <= v).mean() for v in self.levels[:-1]])
+            self.alpha = dist.ndtri(np.clip(share, 1e-3, 1 - 1e-3))
+        self.swept = 0
+        self.theta = np.zeros((self.n if options.actor_side == "row" else self.m, self.T))
+        self.slope_at = panel.names.index(options.actor_slope) if options.actor_slope else None
+        self.rho_actor, self.sig_actor = 0.8, 0.1
+        self.beta_scale, self.beta_mean = 1.0, 0.9
         moving = options.dynamic_beta
         self.moving = np.array([moving is True or (moving is not False and (n in moving or any(n.endswith(f"_{s}") for s in moving if s in ("row", "col", "dyad")))) for n in panel.names], bool)
         # priors of moving coefficients are on the scale of their covariates
@@ -198,8 +215,15 @@ class Chain:
             return np.einsum("irt,jrt->ijt", self.u, v)
         return np.einsum("irt,rst,jst->ijt", self.u, self.g, self.v)
 
+    def slopes(self) -> np.ndarray:
+        """What actors' own slopes of one covariate add."""
+        if self.slope_at is None:
+            return np.zeros(self.p.shape)
+        x = self.p.x[:, :, self.slope_at]
+        return x * (self.theta[:, None, :] if self.o.actor_side == "row" else self.theta[None, :, :])
+
     def eta(self) -> np.ndarray:
-        return self.linear() + self.additive() + self.multiplicative()
+        return self.linear() + self.slopes() + self.additive() + self.multiplicative()
 
     def whitener(self, t: int) -> tuple[float, float]:
         """c and d such that c E + d E' has independent cells of variance one."""
@@ -218,6 +242,10 @@ class Chain:
         seen = ~np.isnan(y)
         if f == "binary":
             low[seen & (y > 0)], high[seen & (y <= 0)] = 0.0, 0.0
+        elif f == "ordinal" and self.alpha is not None:
+            cuts = np.concatenate([[-np.inf], self.alpha, [np.inf]])
+            k = np.searchsorted(self.levels, y[seen])
+            low[seen], high[seen] = cuts[k], cuts[k + 1]
         elif f == "ordinal":
             levels = np.unique(y[seen])
             for k, v in enumerate(levels):
@@ -284,6 +312,42 @@ class Chain:
         target = lambda x: dist.poisson_log(count, x + log_exposure) - 0.5 * ((x - m) / sd) ** 2
         z[at] = np.where(np.log(self.rng.random(len(now))) < target(new) - target(now), new, now)
 
+    def draw_cutpoints(self, eta: np.ndarray, adapt: bool) -> None:
+        """Metropolis step on the first cutpoint and the log gaps, with the latent response integrated out (Cowles, 1996)."""
+        seen = self.p.seen & self.off[:, :, None]
+        y, e = np.searchsorted(self.levels, self.p.y[seen]), eta[seen]
+
+        def log_target(delta: np.ndarray) -> tuple[float, np.ndarray]:
+            alpha = np.cumsum(np.concatenate([delta[:1], np.exp(delta[1:])]))
+            cuts = np.concatenate([[-np.inf], alpha, [np.inf]])
+            return float(dist.log_ndtr_difference(cuts[y + 1] - e, cuts[y] - e).sum() - (delta**2).sum() / 200), alpha
+
+        now = np.concatenate([self.alpha[:1], np.log(np.maximum(np.diff(self.alpha), 1e-8))])
+        new = now + self.cut_step * self.rng.standard_normal(len(now))
+        (old_log, _), (new_log, alpha) = log_target(now), log_target(new)
+        taken = np.log(self.rng.random()) < new_log - old_log
+        if taken:
+            self.alpha = alpha
+        self.cut_taken.append(taken)
+        if adapt and len(self.cut_taken) % 25 == 0:
+            self.cut_step *= 1.2 if np.mean(self.cut_taken[-25:]) > 0.35 else 0.8
+
+    def draw_slopes(self, e: np.ndarray) -> None:
+        """Paths of actors' own slopes, with mean zero over actors in every period; e: z without all other parts."""
+        x = self.p.x[:, :, self.slope_at] * self.off[:, :, None]
+        side = 1 if self.o.actor_side == "row" else 0
+        gram, linear = (x * x).sum(side) / self.s2, (x * e).sum(side) / self.s2
+        prior = ar1_precision(self.T, self.rho_actor, self.sig_actor)
+        precision = prior + np.einsum("it,ts->its", gram, np.eye(self.T))
+        mean = np.linalg.solve(precision, linear[:, :, None])
+        noise = np.linalg.solve(np.linalg.cholesky(precision).transpose(0, 2, 1), self.rng.standard_normal(mean.shape))
+        self.theta = (mean + noise)[:, :, 0]
+        self.theta -= self.theta.mean(0)
+        if self.T > 1:
+            self.rho_actor, self.sig_actor = ar1_update(self.rng, self.theta, self.rho_actor)
+        else:
+            self.sig_actor = inverse_gamma(self.rng, 2 + self.theta.size / 2, 1 + (self.theta**2).sum() / 2)
+
     # scales ---------------------------------------------------------------------------------
 
     def pair_sums(self, e: np.ndarray, t: int) -> tuple[float, float, int]:
@@ -354,11 +418,17 @@ class Chain:
                 if n_t < 2:
                     continue
                 if self.o.beta_kind == "ar1":
-                    self.rho_beta[kk], self.sig_beta[kk] = ar1_update(self.rng, self.scale[kk] * self.beta[kk][None], self.rho_beta[kk], low=-0.995)
+                    self.rho_beta[kk], self.sig_beta[kk] = ar1_update(self.rng, self.scale[kk] * self.beta[kk][None], self.rho_beta[kk], scale=self.beta_scale, low=-0.995, mean=self.beta_mean)
                 else:
                     unit = path_precision(n_t, self.o.beta_kind, 0.9, 1.0, self.o.time_index, level=0.0)
                     self.sig_beta[kk] = inverse_gamma(self.rng, 2 + n_t / 2, 1 + self.scale[kk] ** 2 * (self.beta[kk] @ unit @ self.beta[kk]) / 2)
 
+        if self.o.pool_beta and len(moving) > 1:  # what the moving coefficients have in common
+            k = len(moving)
+            self.beta_scale = float(self.rng.gamma(2 + 2 * k, 1 / (0.5 + (1 / self.sig_beta[moving]).sum())))
+            centre = (self.rho_beta[moving].sum() / 0.01 + 0.9 / 0.04) / (k / 0.01 + 1 / 0.04)
+            self.beta_mean = float(centre + self.rng.standard_normal() * (k / 0.01 + 1 / 0.04) ** -0.5)
+
     def draw_additive(self, e: np.ndarray) -> None:
         """e: z without linear and multiplicative part."""
         if not (self.o.row_effects or self.o.col_effects):
@@ -584,12 +654,19 @@ class Chain:
     # a sweep, and output ----------------------------------------------------------------------
 
     def sweep(self) -> None:
-        self.draw_z(self.eta())
-        self.draw_scale(self.z - self.eta())
-        self.draw_beta(self.z - self.additive() - self.multiplicative())
-        self.draw_additive(self.z - self.linear() - self.multiplicative())
-        self.draw_multiplicative(self.z - self.linear() - self.additive())
+        eta = self.eta()
+        if self.alpha is not None:
+            self.draw_cutpoints(eta, adapt=self.swept < self.o.burn)
+        self.draw_z(eta)
+        self.draw_scale(self.z - eta)
+        self.draw_beta(self.z - self.slopes() - self.additive() - self.multiplicative())
+        if self.slope_at is not None:
+            self.draw_slopes(self.z - self.linear() - self.additive() - self.multiplicative())
+        fixed = self.linear() + self.slopes()
+        self.draw_additive(self.z - fixed - self.multiplicative())
+        self.draw_multiplicative(self.z - fixed - self.additive())
         self._centre()
+        self.swept += 1
 
     def _centre(self) -> None:
         """Means of the additive effects belong to the intercept, where there is one."""
@@ -660,6 +737,12 @@ class Chain:
             else:
                 out.add(k, "beta", name, self.beta[c, 0])
         out.add(k, "vc", ["va", "cab", "vb", "ve"], [self.sab[0, 0], self.sab[0, 1], self.sab[1, 1], self.s2])
+        if self.alpha is not None:
+            out.add(k, "vc", [f"cut_{x + 1}" for x in range(len(self.alpha))], self.alpha)
+        if self.slope_at is not None:
+            labels = p.rows if self.o.actor_side == "row" else p.columns
+            for t in range(self.T):
+                out.add(k, "slope", self.o.actor_slope, self.theta[:, t], t=times[t], i=labels)
         if self.o.dynamic_rho:
             out.add(k, "vc", "rho", self.rho, t=times)
         else:

@@ -212,6 +212,11 @@ class BayesFit:
             dynamic = self.options.dynamic_ab
             key = [*unit, at, *(["t"] if dynamic else [])]
             out = out.join(e.withColumnRenamed("at", "t") if dynamic else e.drop("at"), key, "left").withColumn("value", F.col("value") + F.coalesce("e", F.lit(0.0))).drop("e")
+        if self.options.actor_slope:
+            at = "i" if self.options.actor_side == "row" else "j"
+            own = self.block("slope").select(*unit, "t", F.col("i").alias(at), F.col("value").alias("own"))
+            x = design.select("t", "i", "j", F.col(self.options.actor_slope).alias("x"))
+            out = out.join(x, ["t", "i", "j"]).join(own, [*unit, "t", at], "left").withColumn("value", F.col("value") + F.coalesce("own", F.lit(0.0)) * F.col("x")).drop("own", "x")
         if self.options.rank:
             uv = products(self.draws, self.data.square).withColumnRenamed("value", "e")
             static = not (self.options.dynamic_uv or self.options.dynamic_g)
@@ -371,6 +376,23 @@ class BayesFit:
         wide = rows.groupBy("t", "actor").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("u"))
         return aligned_over_time(wide, self.options.rank)
 
+    def trace(self, blocks: Sequence[str] = ("beta", "vc")) -> DataFrame:
+        """(block, term, t, chain, iteration, value): the data of a trace chart."""
+        from pyspark.sql import Window
+
+        w = Window.partitionBy("block", "term", "t", "chain").orderBy("draw")
+        return self.draws.where(F.col("block").isin(*blocks)).select("block", "term", "t", "chain", F.row_number().over(w).alias("iteration"), "value")
+
+    def top_positions(self, n: int = 10) -> DataFrame:
+        """(actor, side, t, size): the actors farthest from the origin, for labels of a position chart."""
+        sized = self.latent_positions().groupBy("actor", "side", "t").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
+        return sized.orderBy(F.desc("size"), "side", "actor", "t").limit(n)
+
+    def most_variable_effects(self, n: int = 20) -> DataFrame:
+        """(block, actor, variance): the actors whose moving effects vary most over periods."""
+        mean = self.draws.where("block in ('a', 'b') and t is not null").groupBy("block", F.col("i").alias("actor"), "t").agg(F.avg("value").alias("m"))
+        return mean.groupBy("block", "actor").agg(F.var_samp("m").alias("variance")).orderBy(F.desc("variance"), "block", "actor").limit(n)
+
     def memory(self) -> DataFrame:
         """Stored values and bytes by block, largest first."""
         return self.draws.groupBy("block").agg(F.count("*").alias("values"), (8 * F.count("*")).alias("bytes")).orderBy(F.desc("bytes"))

@@ -297,6 +297,10 @@ def test_start_values_updates_and_positions(spark):
     c = fit.centred_multiplicative().toPandas()
     assert abs(c.groupby("t").value.mean()).max() < 1e-9
     assert m.memory_estimate(1000)["panel"] == 16_000_000
+    assert fit.trace().agg({"iteration": "max"}).first()[0] == 4 and fit.top_positions(3).count() == 3
+    own = m.sampled_fit(data, actor_slope="x_dyad", dynamic_ab=True, burn=20, scan=40, thin=10, keep_gof=False)
+    both = own.predict(data.dyads, "link").join(own.eta().withColumnRenamed("value", "kept"), ["t", "i", "j"]).where("i <> j").toPandas()
+    assert np.abs(both.value - both.kept).max() < 1e-6 and own.most_variable_effects(4).count() == 4
 
 
 def test_scratch_is_removed(spark):
@@ -307,3 +311,26 @@ def test_scratch_is_removed(spark):
     session.written(spark.range(3), "x")
     assert session.remove_scratch(spark) == 1
     session._SCRATCH.extend(kept)
+
+
+def test_explicit_cutpoints_are_recovered():
+    p, _ = panel(24, family="ordinal", seed=31)
+    draws = Chain(p, Options(family="ordinal", cutpoints="explicit", keep_gof=False, burn=300, scan=300, thin=5)).run().frame()
+    vc = draws[draws.block == "vc"].groupby("term").value.mean()
+    gaps = np.diff([vc["cut_1"], vc["cut_2"], vc["cut_3"]])
+    assert np.allclose(gaps, 1 / 0.7, atol=0.3)
+
+
+def test_actor_slopes_and_pooled_paths():
+    p, _ = panel(16, periods=4, seed=32)
+    own = np.random.default_rng(5).normal(0, 0.8, 16)
+    own -= own.mean()
+    y = p.y + p.x[:, :, 1] * own[:, None, None]
+    draws = Chain(p.with_y(y), Options(actor_slope="x_dyad", keep_gof=False, **QUICK)).run().frame()
+    got = draws[draws.block == "slope"].groupby("i").value.mean().to_numpy()
+    assert np.corrcoef(got, own)[0, 1] > 0.97 and abs(got.mean()) < 1e-9
+    q, slopes = panel(14, periods=5, seed=33, paths=True)
+    draws = Chain(q, Options(dynamic_beta=True, pool_beta=True, keep_gof=False, **QUICK)).run().frame()
+    assert np.abs(draws[draws.term == "x_dyad"].groupby("t").value.mean().to_numpy() - slopes).max() < 0.2
+    with pytest.raises(ValueError):
+        Options(cutpoints="none")
