@@ -125,8 +125,13 @@ def bipartite_statistics(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     return heterogeneity(dyads, by).join(four_cycles(dyads, by), by).select(*by, "sd_row", "sd_col", F.col("four_cycles"))
 
 
-#: Statistics by name: Column aggregates over the cells of a network, or functions of a frame (i, j, y) to numbers.
-CUSTOM: dict[str, Column | Callable] = {}
+def network_statistics(dyads: DataFrame, square: bool | None = None, by: By = ("t",), custom: dict[str, Column | Callable] | None = None) -> DataFrame:
+    """The statistics of the network's mode, which is square if its two sides share an actor, and the user's."""
+    if square is None:
+        sides = dyads.select(F.col("i").alias("a")).distinct().join(dyads.select(F.col("j").alias("a")).distinct(), "a", "left_semi")
+        square = not sides.isEmpty()
+    out = unipartite_statistics(dyads, by) if square else bipartite_statistics(dyads, by)
+    return out.join(custom_statistics(dyads, custom, by), list(by)) if custom else out
 
 
 def custom_statistics(dyads: DataFrame, statistics: dict[str, Column | Callable], by: By = ("t",)) -> DataFrame:
