@@ -44,8 +44,9 @@ SEED = 6886
 
 
 def word_count(text: Column) -> Column:
-    """Runs of characters other than ASCII white space; 0 for null."""
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(0)))).cast("long")
+    """Runs of characters other than ASCII white space; 0 for null. Each word with the space around it becomes one character, so no list of words is made."""
+    one_each = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.length(one_each)).otherwise(0).cast("long")
 
 
 def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: str, seats: str, quota: str) -> DataFrame:

@@ -76,3 +76,10 @@ def test_empty_and_extra_columns(spark):
     assert m.mix(frame.limit(0), names=("s1", "t1", "k1")).count() == 0
     zero = spark.createDataFrame([(1, "s", 0), (2, None, 0)], "doc_id long, source string, size long")
     assert [(r.target, r.taken) for r in m.mix(zero).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_word_counts(spark):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", " a  b\n", "a\u00a0b c", "x\u2003y", "é" * 5 + "\x1f z", "w " * 100_000, "q" * 300_000]
+    want = [len([w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in t or "").split(" ") if w]) for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    assert [r.n for r in frame.orderBy("k").select(m.word_count(frame["text"]).alias("n")).collect()] == want
