@@ -76,7 +76,7 @@ def additive_effects(dyads: DataFrame, sweeps: int = 10, value: str = "y", check
     A sweep is two group-bys with partial sums. The effect tables are one row per actor; they are written every
     few sweeps, so the plan stays short and a lost executor costs little.
     """
-    cells = dyads.where(F.col(value).isNotNull()).select("i", "j", F.col(value).alias("y"))
+    cells = written(dyads.where(F.col(value).isNotNull()).select("i", "j", F.col(value).alias("y")), "cells")
     mu = cells.agg(F.avg("y")).first()[0] or 0.0
     a = cells.select(F.col("i").alias("actor")).distinct().withColumn("effect", F.lit(0.0))
     b = cells.select(F.col("j").alias("actor")).distinct().withColumn("effect", F.lit(0.0))

@@ -42,7 +42,7 @@ def with_effects(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataF
 
 def additive_fit(cells: DataFrame, names: list[str], max_sweeps: int = 50, tol: float = 1e-8) -> AdditiveFit:
     """Least squares of y on the named columns (with an intercept among them) and centred effects of senders and receivers."""
-    seen = cells.where(F.col("y").isNotNull())
+    seen = written(cells.where(F.col("y").isNotNull()).select("i", "j", "y", *names), "cells")  # read three times a sweep
     xx = normal_equations(seen, names, (), "y")[()][0]
     solve = conditioned_solver(xx)
     zero = lambda c: seen.select(F.col(c).alias("actor")).distinct().withColumn("effect", F.lit(0.0))

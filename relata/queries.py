@@ -525,6 +525,79 @@ def snap_group_summary(spark, sf_dir):
     return rounded(summaries.snap_groups(ind, groups, probs=(0.5,)))
 
 
+@query(with_(PANEL_SQL, select=f"SELECT t, max(y) AS top, {r('avg(y)', 'mean')}, {r('stddev_samp(y)', 'spread')} FROM panel GROUP BY t"))
+def custom_statistics(spark, sf_dir):
+    """User statistics given as aggregates."""
+    return rounded(statistics.custom_statistics(trade_panel(spark, sf_dir), {"top": F.max("y"), "mean": F.avg("y"), "spread": F.stddev_samp("y")}))
+
+
+@query(with_(PANEL_SQL, DESIGN_SQL, select=" UNION ALL ".join(f"SELECT t, i, j, '{n}' AS name, {r(n, 'value')} FROM des" for n in XX)))
+def covariates_long(spark, sf_dir):
+    x, names = designed(spark, sf_dir)
+    return rounded(edges.long_covariates(x.select("t", "i", "j", *names), names))
+
+
+BINARY_SQL = f"bi AS (SELECT t, i, j, CASE WHEN y > 85 THEN 1 ELSE 0 END AS y FROM cells), sc AS (SELECT t, i, j, y, ({RANK_SQL}) / (1.0 + count(*) OVER (PARTITION BY t)) AS p FROM bi), zs AS (SELECT t, i, j, y, {_quantile_sql('p')} AS z FROM sc), sh AS (SELECT t, coalesce((max(CASE WHEN y = 0 THEN z END) + min(CASE WHEN y = 1 THEN z END)) / 2, 0) AS s FROM zs GROUP BY t)"
+
+
+@query(with_(PANEL_SQL, BINARY_SQL, select=f"SELECT zs.t, i, j, {r('z - s', 'z')} FROM zs JOIN sh ON sh.t = zs.t"))
+def working_response_binary(spark, sf_dir):
+    x = trade_panel(spark, sf_dir).where("y is not null").withColumn("y", (F.col("y") > 85).cast("int"))
+    return rounded(design.working_response(x, "binary").select("t", "i", "j", "z"))
+
+
+@query(with_(PANEL_SQL, "l AS (SELECT t, i, j, ln(1 + y) AS z FROM panel)", select=f"SELECT t, i, j, {r('coalesce(z, avg(z) OVER (PARTITION BY t) + avg(z) OVER (PARTITION BY t, i) + avg(z) OVER (PARTITION BY t, j))', 'z')} FROM l"))
+def start_values(spark, sf_dir):
+    """Start values of a Poisson sampler; unobserved cells get the mean plus their row's and column's."""
+    return rounded(design.start_values(trade_panel(spark, sf_dir), "poisson").select("t", "i", "j", "z"))
+
+
+@query(with_(d.ACTIVITY_SQL, "l AS (SELECT t, x, lag(t) OVER w AS pt, lag(x) OVER w AS px FROM activity WINDOW w AS (PARTITION BY i, j ORDER BY t))", select=f"SELECT {r('sum(x * px) / sum(px * px)', 'rho')} FROM l WHERE pt = t - 1"))
+def path_autoregression(spark, sf_dir):
+    rho = dyads.autoregression(d.activity(spark, sf_dir).withColumnRenamed("x", "value"), ["i", "j"])
+    return rounded(spark.createDataFrame([(rho,)], "rho double"))
+
+
+def _steps_sql(name: str, value: str) -> str:
+    return f"{name}d AS (SELECT j AS term, i, abs({value} - lag({value}) OVER (PARTITION BY j, i ORDER BY t)) AS step, stddev_samp({value}) OVER (PARTITION BY j, i) AS sd FROM activity), {name} AS (SELECT term, i, max(step / CASE WHEN sd > 0 THEN sd END) AS largest FROM {name}d WHERE step IS NOT NULL GROUP BY term, i)"
+
+
+@query(with_(d.ACTIVITY_SQL, _steps_sql("pa", "x"), _steps_sql("pr", "y"), "ba AS (SELECT term, quantile_cont(largest, 0.95) AS bar FROM pr GROUP BY term)", select=f"SELECT pa.term, {r('avg(CASE WHEN largest > bar THEN 1.0 WHEN largest <= bar THEN 0.0 END) / 0.05', 'bayes_factor')}, {r('avg(largest)', 'mean_largest')} FROM pa JOIN ba ON pa.term = ba.term GROUP BY pa.term"))
+def change_points(spark, sf_dir):
+    """Largest steps of summed-value paths against those of count paths as their prior."""
+    a = d.activity(spark, sf_dir).select(F.col("j").alias("term"), F.lit(0).alias("chain"), F.col("i").alias("draw"), "t", "x", "y")
+    found = summaries.change_points(a.withColumnRenamed("x", "value"), a.withColumnRenamed("y", "value"))
+    return rounded(found.select("term", "bayes_factor", "mean_largest"))
+
+
+@query(with_(PANEL_SQL, "m AS (SELECT t, avg(y) AS v FROM panel GROUP BY t), ob AS (SELECT regr_slope(v, t) AS s, count(*) AS n FROM m), rp AS (SELECT k, regr_slope(v * (1 + (k - 1.5) / 10), t) AS s FROM m CROSS JOIN range(4) g(k) GROUP BY k)", select=f"SELECT {r('(SELECT s FROM ob)', 'slope')}, {r('least(1.0, 2 * least(avg(CASE WHEN s >= (SELECT s FROM ob) THEN 1.0 ELSE 0.0 END), avg(CASE WHEN s <= (SELECT s FROM ob) THEN 1.0 ELSE 0.0 END)))', 'p')}, count(*) AS n_rep, {r('stddev_samp(s)', 'slope_sd')} FROM rp"))
+def temporal_trend(spark, sf_dir):
+    """The slope of mean trade against replicated panels with scaled values."""
+    x = trade_panel(spark, sf_dir)
+    reps = x.crossJoin(spark.range(4).withColumnRenamed("id", "rep")).withColumn("y", F.col("y") * (1 + (F.col("rep") - 1.5) / 10))
+    return rounded(statistics.temporal_trend(x, reps, "mean"))
+
+
+def _additive_sql(sweeps: int) -> str:
+    """Alternating means of a two-way table with centred effects."""
+    parts = ["c AS (SELECT i, j, ln(1 + y) AS y FROM cells)", "b0 AS (SELECT DISTINCT j, 0.0 AS e FROM c)", "m0 AS (SELECT avg(y) AS mu FROM c)"]
+    for k in range(1, sweeps + 1):
+        parts.append(f"a{k}r AS (SELECT c.i, avg(c.y - m.mu - b.e) AS e FROM c CROSS JOIN m{k - 1} m JOIN b{k - 1} b ON b.j = c.j GROUP BY c.i), a{k} AS (SELECT i, e - avg(e) OVER () AS e FROM a{k}r)")
+        parts.append(f"b{k}r AS (SELECT c.j, avg(c.y - m.mu - a.e) AS e FROM c CROSS JOIN m{k - 1} m JOIN a{k} a ON a.i = c.i GROUP BY c.j), b{k} AS (SELECT j, e - avg(e) OVER () AS e FROM b{k}r)")
+        parts.append(f"m{k} AS (SELECT avg(c.y - a.e - b.e) AS mu FROM c JOIN a{k} a ON a.i = c.i JOIN b{k} b ON b.j = c.j)")
+    return ", ".join(parts)
+
+
+@query(with_(PANEL_SQL, _additive_sql(8), select="SELECT i AS actor, 'row' AS side, round(e, 5) + 0.0 AS effect FROM a8 UNION ALL SELECT j, 'col', round(e, 5) + 0.0 FROM b8"))
+def distributed_additive_fit(spark, sf_dir):
+    """The additive fit whose every block is an aggregation."""
+    from relata.plans.distributed import additive_fit
+
+    x = trade_panel(spark, sf_dir).withColumn("y", F.log1p("y")).withColumn("intercept", F.lit(1.0))
+    fit = additive_fit(x, ["intercept"], 8, 0.0)
+    return rounded(fit.rows.withColumn("side", F.lit("row")).unionByName(fit.columns.withColumn("side", F.lit("col"))), 5)
+
+
 # fits: stochastic or iterative, so without SQL; tests compare them with known parameters -----------
 
 
