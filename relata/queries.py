@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relata import datasets as d
 from relata.operators import components, design, dyads, evaluation, regression, statistics, summaries
+from relata.session import written
 from relata.sources import edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,8 @@ def trade_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = d.trade(spark, sf_dir)
     rows, _ = edges.actors_of(t, by_period=False)
     full = edges.edges_to_dyads(t, actors=rows)
-    return full.withColumn("y", F.when(F.col("i") == F.col("j"), None).otherwise(F.col("y")))
+    panel = full.withColumn("y", F.when(F.col("i") == F.col("j"), None).otherwise(F.col("y")))
+    return written(panel, "panel")  # statistics read it several times, and it is small beside the items it counts
 
 
 PANEL_SQL = (
@@ -87,18 +89,18 @@ FOUR_SQL = "pc AS (SELECT a.j AS a, b.j AS b, count(*) AS c FROM purchases a JOI
 
 @query(with_(d.PURCHASES_SQL, FOUR_SQL, select=f"SELECT 0 AS t, CAST(sum(c * (c - 1) / 2) AS BIGINT) AS four_cycles, {r('sum(c * (c - 1) / 2) / count(*) FILTER (WHERE c >= 2)', 'clustering')} FROM pc"))
 def bipartite_four_cycles(spark, sf_dir):
-    return rounded(statistics.four_cycles(d.purchases(spark, sf_dir), side="col"))
+    return rounded(statistics.four_cycles(written(d.purchases(spark, sf_dir), "purchases"), side="col"))
 
 
 @query(with_(d.PURCHASES_SQL, PURCHASE_SPINE, FOUR_SQL, select=f"SELECT 0 AS t, (SELECT {r('stddev_samp(m)', 'x')} FROM (SELECT avg(y) AS m FROM sp GROUP BY i)) AS sd_row, (SELECT {r('stddev_samp(m)', 'x')} FROM (SELECT avg(y) AS m FROM sp GROUP BY j)) AS sd_col, (SELECT CAST(sum(c * (c - 1) / 2) AS BIGINT) FROM pc) AS four_cycles"))
 def bipartite_network_statistics(spark, sf_dir):
-    p = d.purchases(spark, sf_dir)
+    p = written(d.purchases(spark, sf_dir), "purchases")
     return rounded(statistics.bipartite_statistics(edges.edges_to_dyads(p, square=False)))
 
 
 @query(with_(d.PURCHASES_SQL, select="SELECT 0 AS t, i AS actor, 'row' AS side, count(*) AS degree, CAST(count(*) AS DOUBLE) AS total FROM purchases GROUP BY i UNION ALL SELECT 0, j, 'col', count(*), CAST(count(*) AS DOUBLE) FROM purchases GROUP BY j"))
 def bipartite_degrees(spark, sf_dir):
-    return statistics.degrees(d.purchases(spark, sf_dir))
+    return statistics.degrees(written(d.purchases(spark, sf_dir), "purchases"))
 
 
 @query(with_(PANEL_SQL, select="SELECT t, i AS actor, 'row' AS side, CAST(sum(CASE WHEN y <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS degree, coalesce(sum(y), 0) AS total FROM panel GROUP BY t, i UNION ALL SELECT t, j, 'col', CAST(sum(CASE WHEN y <> 0 THEN 1 ELSE 0 END) AS BIGINT), coalesce(sum(y), 0) FROM panel GROUP BY t, j"))
@@ -461,25 +463,29 @@ def deviance_poisson(spark, sf_dir):
 
 
 def _positions(spark, sf_dir):
-    return d.read(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.col("vec_id").cast("string").alias("actor"), F.col("label").alias("t"), F.slice("embedding", 1, 4).alias("u"))
+    """The mean vector of each label, over all vectors."""
+    e = d.read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
+    mean = e.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return mean.groupBy(F.col("label").cast("string").alias("actor")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("u"))
 
 
-POSITION_SQL = "po AS (SELECT CAST(vec_id AS VARCHAR(9)) AS actor, label AS t, embedding[1:4]::DOUBLE[] AS u FROM embeddings WHERE vec_id < 60)"
+POSITION_SQL = "lo AS (SELECT CAST(label AS VARCHAR(9)) AS actor, k, avg(CAST(embedding[k] AS DOUBLE)) AS x FROM embeddings, range(1, 65) g(k) GROUP BY 1, 2)"
+SURFACE_SQL = "su AS (SELECT a.actor AS i, b.actor AS j, sum(a.x * b.x) AS v FROM lo a JOIN lo b ON a.k = b.k GROUP BY 1, 2)"
 
 
-@query(with_(POSITION_SQL, select=f"SELECT a.actor AS i, b.actor AS j, {r('list_sum(list_transform(range(1, 5), lambda k: a.u[k] * b.u[k]))', 'value')} FROM po a CROSS JOIN po b"))
+@query(with_(POSITION_SQL, SURFACE_SQL, select=f"SELECT i, j, {r('v', 'value')} FROM su"))
 def product_surface(spark, sf_dir):
     p = _positions(spark, sf_dir)
     return rounded(dyads.product_surface(p, p))
 
 
-@query(with_(POSITION_SQL, "lo AS (SELECT actor, CAST(k - 1 AS INTEGER) AS r, u[k] AS x, u[5 - k] AS w FROM po, range(1, 5) g(k))", select=f"SELECT a.r, b.r AS s, {r('sum(a.x * b.w)', 'value')} FROM lo a JOIN lo b ON a.actor = b.actor GROUP BY 1, 2"))
+@query(with_(POSITION_SQL, select=f"SELECT CAST(a.k - 1 AS INTEGER) AS r, CAST(64 - b.k AS INTEGER) AS s, {r('sum(a.x * b.x)', 'value')} FROM lo a JOIN lo b ON a.actor = b.actor GROUP BY 1, 2"))
 def position_cross_products(spark, sf_dir):
     p = _positions(spark, sf_dir)
     return rounded(dyads.cross_product(p, p.withColumn("u", F.reverse("u"))))
 
 
-@query(with_(POSITION_SQL, "su AS (SELECT a.actor AS i, b.actor AS j, list_sum(list_transform(range(1, 5), lambda k: a.u[k] * b.u[k])) AS v FROM po a CROSS JOIN po b), ma AS (SELECT *, avg(v) OVER () AS m, avg(v) OVER (PARTITION BY i) AS ri, avg(v) OVER (PARTITION BY j) AS cj FROM su)", select=f"SELECT i, j, {r('v - ri - cj + m', 'value')}, {r('ri - m', 'row')}, {r('cj - m', 'col')}, {r('m', 'mean')} FROM ma"))
+@query(with_(POSITION_SQL, SURFACE_SQL, "ma AS (SELECT *, avg(v) OVER () AS m, avg(v) OVER (PARTITION BY i) AS ri, avg(v) OVER (PARTITION BY j) AS cj FROM su)", select=f"SELECT i, j, {r('v - ri - cj + m', 'value')}, {r('ri - m', 'row')}, {r('cj - m', 'col')}, {r('m', 'mean')} FROM ma"))
 def centred_product_surface(spark, sf_dir):
     p = _positions(spark, sf_dir)
     return rounded(dyads.centred_products(dyads.product_surface(p, p)))
@@ -511,9 +517,9 @@ def clustered_sandwich(spark, sf_dir):
     return rounded(spark.createDataFrame([(float(v[0, 0]), float(v[0, 1]), float(v[1, 1]))], "v11 double, v12 double, v22 double"))
 
 
-@query(with_(PANEL_SQL, RESIDUAL_SQL, "ra AS (SELECT i AS actor, avg(e) AS a FROM ee WHERE t = 1996 GROUP BY i), rb AS (SELECT j AS actor, avg(e) AS b FROM ee WHERE t = 1996 GROUP BY j)", select=f"SELECT {r('(SELECT var_samp(a) FROM ra)', 'va')}, {r('(SELECT covar_samp(a, b) FROM ra JOIN rb ON ra.actor = rb.actor)', 'cab')}, {r('(SELECT var_samp(b) FROM rb)', 'vb')}, {r('(SELECT corr(a.e, b.e) FROM ee a JOIN ee b ON a.t = 1996 AND b.t = 1996 AND a.i = b.j AND a.j = b.i AND a.i <> a.j)', 'rho')}, {r('(SELECT avg(e * e) FROM ee WHERE t = 1996 AND i <> j)', 've')}"))
+@query(with_(PANEL_SQL, RESIDUAL_SQL, "ra AS (SELECT i AS actor, avg(e) AS a FROM ee GROUP BY i), rb AS (SELECT j AS actor, avg(e) AS b FROM ee GROUP BY j)", select=f"SELECT {r('(SELECT var_samp(a) FROM ra)', 'va')}, {r('(SELECT covar_samp(a, b) FROM ra JOIN rb ON ra.actor = rb.actor)', 'cab')}, {r('(SELECT var_samp(b) FROM rb)', 'vb')}, {r('(SELECT corr(a.e, b.e) FROM ee a JOIN ee b ON a.t = b.t AND a.i = b.j AND a.j = b.i AND a.i <> a.j)', 'rho')}, {r('(SELECT avg(e * e) FROM ee WHERE i <> j)', 've')}"))
 def variance_components(spark, sf_dir):
-    x = _residuals(spark, sf_dir).where("t = 1996").withColumnRenamed("e", "residual")
+    x = _residuals(spark, sf_dir).withColumnRenamed("e", "residual")
     a, b = (x.groupBy(F.col(c).alias("actor")).agg(F.avg("residual").alias("effect")) for c in ("i", "j"))
     return rounded(regression.variance_components(x, a, b))
 
@@ -601,11 +607,10 @@ def distributed_additive_fit(spark, sf_dir):
 # fits: stochastic or iterative, so without SQL; tests compare them with known parameters -----------
 
 
-def _trade_data(spark, sf_dir, periods=None):
+def _trade_data(spark, sf_dir):
     from relata.plans import models as m
 
     x, names = designed(spark, sf_dir)
-    x = x.where(F.col("t") <= 1994 + periods) if periods else x
     return m.Data(x.select("t", "i", "j", "y", *names), names)
 
 
@@ -645,7 +650,7 @@ def fit_sampled(spark, sf_dir):
     """Two chains for the trade panel with two factors: summary with R-hat and effective draws."""
     from relata.plans import models as m
 
-    return m.sampled_fit(_trade_data(spark, sf_dir, 3), n_chains=2, rank=2, burn=100, scan=200, thin=5).summary()
+    return m.sampled_fit(_trade_data(spark, sf_dir), n_chains=2, rank=2, burn=100, scan=200, thin=5).summary()
 
 
 @query()
@@ -653,7 +658,7 @@ def fit_goodness(spark, sf_dir):
     """Observed statistics against those of simulated networks."""
     from relata.plans import models as m
 
-    return m.sampled_fit(_trade_data(spark, sf_dir, 2), burn=100, scan=200, thin=5).gof()
+    return m.sampled_fit(_trade_data(spark, sf_dir), burn=100, scan=200, thin=5).gof()
 
 
 @query()
@@ -661,7 +666,7 @@ def fit_forecast(spark, sf_dir):
     """Two years ahead under moving effects and coefficients."""
     from relata.plans import models as m
 
-    return m.sampled_fit(_trade_data(spark, sf_dir, 4), burn=100, scan=200, thin=10, dynamic_ab=True, dynamic_beta=True, keep_gof=False).forecast(2)
+    return m.sampled_fit(_trade_data(spark, sf_dir), burn=100, scan=200, thin=10, dynamic_ab=True, dynamic_beta=True, keep_gof=False).forecast(2)
 
 
 @query()
@@ -670,7 +675,7 @@ def fit_binary_bipartite(spark, sf_dir):
     from relata.plans import models as m
 
     x, names = designed(spark, sf_dir)
-    one = x.where("t = 1996").withColumn("j", F.concat(F.lit("to "), "j"))
+    one = x.withColumn("j", F.concat(F.lit("to "), "j"))
     bar = one.agg(F.percentile("y", 0.5)).first()[0]
     data = m.Data(one.withColumn("y", (F.col("y") >= bar).cast("double")).select("t", "i", "j", "y", *names), names, square=False)
     return m.sampled_fit(data, family="binary", rank=1, burn=100, scan=200, thin=5).tidy()
@@ -681,7 +686,7 @@ def fit_leave_future_out(spark, sf_dir):
     from relata.plans import models as m
     from relata.plans.gibbs import Options
 
-    return m.leave_future_out(_trade_data(spark, sf_dir, 5), Options(burn=50, scan=100, thin=5))
+    return m.leave_future_out(_trade_data(spark, sf_dir), Options(burn=50, scan=100, thin=5))
 
 
 @query()
