@@ -61,7 +61,7 @@ def triads(dyads: DataFrame, by: By = ("t",), method: str = "join") -> DataFrame
     if method == "dense":
         return _dense_triads(cells, by)
     moments = cells.groupBy(*by).agg(F.avg("y").alias("mu"), F.stddev_samp("y").alias("sd"))
-    e = cells.join(F.broadcast(moments), by).select(*by, "i", "j", (F.col("y") - F.col("mu")).alias("e"))
+    e = cells.join(moments, by).select(*by, "i", "j", (F.col("y") - F.col("mu")).alias("e"))
     side = lambda i, j, v: e.select(*by, F.col("i").alias(i), F.col("j").alias(j), F.col("e").alias(v))
     paths = side("a", "b", "e1").join(side("b", "c", "e2"), [*by, "b"]).groupBy(*by, "a", "c").agg(F.sum(F.col("e1") * F.col("e2")).alias("s"), F.count("*").alias("n"))
     shared = side("a", "b", "e1").join(side("c", "b", "e2"), [*by, "b"]).groupBy(*by, "a", "c").agg(F.sum(F.col("e1") * F.col("e2")).alias("s"), F.count("*").alias("n"))

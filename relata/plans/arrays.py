@@ -78,7 +78,7 @@ def fan_out(design: DataFrame, tasks: DataFrame, names: Sequence[str], fit: Call
     columns = ["t", "i", "j", "y", *names]
     many = "panel" in design.columns and "panel" in tasks.columns
     rows = design.select(*(["panel"] if many else []), *columns)
-    joined = rows.join(F.broadcast(tasks), "panel") if many else rows.crossJoin(F.broadcast(tasks))
+    joined = rows.join(tasks, "panel") if many else rows.crossJoin(F.broadcast(tasks))  # a list of tasks that the driver made
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]

@@ -27,7 +27,7 @@ def actors_of(edges: DataFrame, by_period: bool = True, square: bool = True) ->
     if square:
         rows = columns = rows.union(columns).distinct()
     if not by_period:
-        periods = edges.select("t").distinct()
+        periods = edges.select("t").distinct()  # a row per period: broadcast, as every actor meets all of them
         rows, columns = (F.broadcast(periods).crossJoin(x.select("actor").distinct()) for x in (rows, columns))
     return rows, columns
 
