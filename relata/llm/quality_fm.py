@@ -159,7 +159,7 @@ def train(parts: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray, labels
 
 
 def metadata_of(docs: DataFrame, columns: tuple[str, ...]) -> list[Column]:
-    return [(F.col(c).cast("double") if c in docs.columns else F.lit(None).cast("double")).alias(f"m{k}") for k, c in enumerate(columns)]
+    return [(F.col(c).cast("double") if c in docs.columns else F.lit(None).cast("double")).alias(fresh(docs, f"_meta{k}")) for k, c in enumerate(columns)]
 
 
 def _values(batch: pa.RecordBatch, first: int, found: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     if count > fit_rows:
         known = known.where(F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(1 << 20)) < (1 << 20) * fit_rows // count)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *metadata_of(docs, metadata))
-    rows = rows.join(F.broadcast(known), F.col("i") == F.col("k")).drop("k").select("i", "y", "t", *[f"m{k}" for k in range(len(metadata))])
+    rows = rows.join(F.broadcast(known), F.col("i") == F.col("k")).select("i", "y", "t", *[fresh(docs, f"_meta{k}") for k in range(len(metadata))])
     rows = rows.dropDuplicates(["i"])  # else an id that very many rows share would make the sample unbounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

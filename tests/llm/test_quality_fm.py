@@ -33,6 +33,8 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert scored.columns == ["doc_id", "n_chars", "score", "score_"] and all(0 <= r.score_ <= 1 for r in scored.collect())
     kept = q.keep_good(odd, machine, 0.0)
     assert kept.columns == odd.columns and kept.count() == 4 and q.keep_good(odd.limit(0), machine).count() == 0
+    clash = odd.withColumn("_meta0", F.lit(1)).withColumn("_scored_text", F.lit("x")).withColumn("m0", F.lit(2))
+    assert q.keep_good(clash, machine, 0.0).columns == clash.columns and q.keep_good(clash, machine, 0.0).count() == 4
     assert {r.score for r in q.score(docs.drop("n_chars"), machine).collect()} and q.score(docs.limit(0), machine).count() == 0
 
 
