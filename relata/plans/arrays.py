@@ -84,7 +84,8 @@ def fan_out(design: DataFrame, tasks: DataFrame, names: Sequence[str], fit: Call
         first = pdf.iloc[0]
         return fit(Panel.from_frame(pdf, names, square), {key: first[key]} | {c: first[c] for c in settings})
 
-    return joined.groupBy(key).applyInPandas(run, schema)
+    # by range, so that each task has a partition of its own; hashes of few keys would put two chains into one
+    return joined.repartitionByRange(max(1, tasks.count()), key).groupBy(key).applyInPandas(run, schema)
 
 
 DRAWS = "chain int, draw int, block string, term string, t int, i string, j string, value double"

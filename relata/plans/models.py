@@ -671,16 +671,17 @@ class AlsFit:
         vc = self.table.where("block in ('vc', 'fit')").groupBy().pivot("term", ["va", "vb", "cab", "rho", "ve", "iterations", "converged"]).agg(F.first("value"))
         return vc.select("*", F.lit(self.options.family).alias("family"), F.lit(self.options.rank).alias("rank"), F.lit(self.nobs()).alias("nobs"))
 
-    def bootstrap(self, n: int = 100, kind: str = "parametric", block: int = 1) -> AlsFit:
-        """Replicated fits, one task each; the base fit is made anew in each task, which costs less than to ship it."""
-        options = self.options
+    def bootstrap(self, n: int = 100, kind: str = "parametric", block: int = 1, batches: int = 32) -> AlsFit:
+        """Replicated fits in batches, one task each, which makes the base fit anew rather than ship it."""
+        options, batches = self.options, min(n, batches)
 
         def fit(panel: Panel, task: dict) -> pd.DataFrame:
-            k = int(task["task"])
-            rows = als_rows(k, bootstrap_replicate(panel, options, best_of_starts(panel, options), k, kind, block))
+            base = best_of_starts(panel, options)
+            parts = [als_rows(k, bootstrap_replicate(panel, options, base, k, kind, block)) for k in range(int(task["task"]), n, batches)]
+            rows = pd.concat(parts, ignore_index=True)
             return rows[rows["block"].isin(["beta", "vc", "a", "b"])]
 
-        rows = fan_out(self.data.dyads, chains(self.data.dyads.sparkSession, n), self.data.names, fit, ESTIMATES, self.data.square)
+        rows = fan_out(self.data.dyads, chains(self.data.dyads.sparkSession, batches), self.data.names, fit, ESTIMATES, self.data.square)
         return AlsFit(self.data, options, self.table, written(rows, "replicates"))
 
     def bootstrap_interval(self, level: float = 0.95, kind: str = "percentile") -> DataFrame:
