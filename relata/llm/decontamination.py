@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm.frames import batch_of, fresh, table
-from relata.llm.words import mix, slices, utf8, word_hashes
+from relata.llm.words import mix, slices, text_offsets, utf8, word_hashes
 
 WINDOW = 10
 #: Words of a suffix's beginning that must occur in the test set; fewer if an item is shorter.
 LEAD = 4
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_WORDS = 1 << 20
 _SIEVE_BITS = 22
 
@@ -201,8 +201,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, prefix: str = "", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.value for b in blocks]
         for batch in batches:
-            _, offsets = utf8(batch.column(at))
-            for begin, end in slices(offsets, SHARD_BYTES):
+            for begin, end in slices(text_offsets(batch.column(at)), SHARD_BYTES):
                 part = batch.slice(begin, end - begin)
                 found = judge(held, part.column(at))
                 yield batch_of(dict(zip(batch.schema.names, part.columns)) | {prefix + k: v for k, v in found.items()})

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm.frames import fresh, remainder, table
-from relata.llm.words import slices, utf8, word_hashes
+from relata.llm.words import slices, text_offsets, utf8, word_hashes
 
 FIT_ROWS = 12_000
 WORD_BITS = 15
@@ -40,7 +40,8 @@ FACTORS = 8
 STEPS = 1500
 SEED = 6886
 THRESHOLD = 0.3
-SLICE_BYTES = 4 << 20
+#: Text that is scored at once; arrays of about forty times its size are made for it.
+SLICE_BYTES = 1 << 20
 
 #: Bytes by class; all others of ASCII are in class 0, and those of other characters in the last.
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r", b"\t\x0b\x0c", b".,;:", b"|", b"#$%&*", b"!?", b"<>", b"\"'`", b"(){}[]=+/\\@_~^-"]
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     rows = rows.dropDuplicates(["i"])  # else an id that very many rows share would make the sample unbounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(b, e - b) for whole in batches for b, e in slices(text_offsets(whole.column(2)), SLICE_BYTES)):
             text, feature, weight, found = extract(batch.column(2))
             values = _values(batch, 3, found)
             bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
@@ -205,8 +206,7 @@ def score(docs: DataFrame, machine: Machine | None, name: str = "score", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for whole in batches:
-            _, offsets = utf8(whole.column(at))
-            for begin, end in slices(offsets, SLICE_BYTES):
+            for begin, end in slices(text_offsets(whole.column(at)), SLICE_BYTES):
                 batch = whole.slice(begin, end - begin)
                 n = batch.num_rows
                 if m is None:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once; a longer word extends its piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -99,6 +99,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), np.concatenate(lengths), np.searchsorted(starts, offsets)
 
 
+def text_offsets(column: pa.Array) -> np.ndarray:
+    """n + 1 offsets of the texts in bytes, without a copy of the texts; nulls count as empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
 def slices(offsets: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Consecutive ranges of texts with about `size` bytes each, one text at least."""
     out, at, n = [], 0, len(offsets) - 1
