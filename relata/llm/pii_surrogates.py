@@ -5,7 +5,8 @@ surrogate is drawn from a keyed hash of the entity in normal form, so the same
 person, number or address has the same surrogate in every document and on every
 run, whatever its spelling (coreference). Digits become digits, letters letters
 of the same case, separators stay; card numbers that satisfy the check digit
-still do; addresses are in a private net or a reserved domain; names get
+still do; a secret of signs alone becomes hexadecimal digits; addresses are in a
+private net or a reserved domain; names get
 syllables of their script with an ending for the gender that the title tells, and
 the surname alone keeps its surrogate when the given name is missing.
 
@@ -15,8 +16,8 @@ are drawn again with the next attempt until none are left. The final attempts of
 these few entities are looked up when the texts are rewritten.
 
 Texts are rewritten in place by SQL functions, split at the entities and joined
-with their surrogates; only texts with a digit, an @ or a title are looked at. No
-text is shuffled, except where some entity was drawn again: then by a join on
+with their surrogates; only texts with a hint, which every pattern needs one of, are
+looked at. No text is shuffled, except where some entity was drawn again: then by a join on
 the hash of the text, which the engine may broadcast or split. Entities are
 reduced to distinct ones before they are shuffled, so a very common one is one
 row.
@@ -29,6 +30,9 @@ other columns are carried untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +55,15 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("name", r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
-#: A text that none of these is found in has no entity. The second and third are cheap: a class of characters fails before words are tried.
+#: A text that none of these is found in has no entity: each pattern needs one of them. Digits or @: email, ipv4, iban, phone, card, ssn.
+#: Then title: name; word: secret after a word; pairs and groups of letters: mac, ipv6; last: secrets by their form. Those begin with a class of characters, which fails before words are tried.
 HINTS = (
     r"[0-9@]",
     r"(?=[MDPHFSГ])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}",
-    r"(?=[tTsSpPaA])(?i:token|secret|passw|api_?key|access_key)[\"']? ?[=:]",
+    r"(?=[tTsSpPaA])(?i:token|secret|passw(?:or)?d|api_?key|access_key)[\"']? ?[=:]",
+    r"[A-Fa-f]:[A-Fa-f]{1,4}:[A-Fa-f]",
+    r"(?=[Agse])(?:AKIA|ASIA|gh[pousr]_|sk-|eyJ)",
+    r"[a-f]{32}|[A-F]{32}",
 )
 TITLE = r"^(Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? "
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
@@ -184,14 +192,15 @@ def surrogate(kind_of: Column, entity_of: Column, attempt: Column, key: str) ->
         return let(chars, lambda c: let(alphabet, lambda a: let(fixed, lambda f: let(_swap(c, stream, a, f), lambda s: finish(c, s)))))
 
     def whole(kind: Column, e: Column, stream: Column) -> Column:
-        return F.when(kind == "ipv4", _address(stream)).when(kind == "name", _full_name(e, again, key)).otherwise(swapped_and_joined(kind, e, stream))
+        plain = F.when(kind == "ipv4", _address(stream)).when(kind == "name", _full_name(e, again, key)).otherwise(swapped_and_joined(kind, e, stream))
+        return F.when((kind == "secret") & ~e.rlike(r"[\p{L}\p{N}]"), F.rpad(stream, F.length(e), stream)).otherwise(plain)
 
     return let(entity_of, lambda e: let(kind_of, lambda kind: let(_stream(key, kind, again, normal_form(kind, e)), lambda stream: whole(kind, e, stream))))
 
 
 def entities_in(text: Column) -> Column:
     """All entities of a text from left to right; none for texts without a hint."""
-    hinted = text.rlike(HINTS[0]) | text.rlike(HINTS[1]) | text.rlike(HINTS[2])
+    hinted = reduce(or_, [text.rlike(h) for h in HINTS])
     return F.when(hinted, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
