@@ -22,6 +22,13 @@ the hash of the text, which the engine may broadcast or split. Entities are
 reduced to distinct ones before they are shuffled, so a very common one is one
 row.
 
+What is not found: names without one of the titles or in capitals, letters after
+the third word of a name, IPv6 addresses with :: that have no digit or look like
+slices of a list (1::2, ::1), phones of fewer than nine digits, and national ones
+that begin with 1. Ten digits that begin with 2 to 9, and ten or
+eleven that begin with 0, count as a phone. The short and
+the full form of one IPv6 address are two entities.
+
 Defined results: null texts stay null and have no entities; empty ones stay
 empty; repeated rows are rewritten alike; overlapping candidates are taken from
 left to right, the earlier branch first; an empty table gives an empty one;
@@ -39,20 +46,24 @@ from pyspark.sql import functions as F
 from relata.llm.frames import fresh, table
 from relata.session import written
 
+#: A word of a name, with inner capitals and apostrophes, after any initials.
+NAME_PART = r"(?:\p{Lu}(?:\.[ -]?| ))*(?:\p{Lu}['’]\p{L}\p{Ll}+|\p{Lu}\p{Ll}+)(?:['’]?\p{Lu}\p{Ll}+)*"
 #: Type and pattern, tried in this order at each place.
 PATTERNS: tuple[tuple[str, str], ...] = (
     ("email", r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("mac", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])"),
     ("ipv6", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    ("ipv6", r"(?<![\p{L}\p{N}:])(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{2,4}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:|:(?::[0-9A-Fa-f]{1,4}){2,7})(?![\p{L}\p{N}:]|\.\d)"),
     ("ipv4", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("secret", r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})(?![\p{L}\p{N}])"),
     ("secret", r"(?<=[=: \"'])(?<=[=:] ?[\"']?)(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)[\"']? ?[=:] ?[\"']?)[^\s\"'=:]{6,}"),
     ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
-    ("card", r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d-])"),
+    ("card", r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\d-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\d-])"),
-    ("name", r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"),
+    ("phone", r"(?<![\p{L}\p{N}.,_/-])(?:(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}|[2-9]\d{9}|0\d{9,10}|(?=(?:[ /]?\d){9,12}(?!\d))0(?:\d{1,4} |\d{2,4}/)\d{2,4}(?: ?\d{2,4}){1,3})(?![\p{L}\p{N}_-]|[.,]\d)"),
+    ("name", r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? " + NAME_PART + "(?:[ -]" + NAME_PART + "){0,2}"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
 #: A text that none of these is found in has no entity: each pattern needs one of them. Digits or @: email, ipv4, iban, phone, card, ssn.
@@ -87,10 +98,20 @@ def type_of(entity: Column) -> Column:
     return found
 
 
+def _tokens(entity: Column) -> Column:
+    """The words and initials of a name without its title."""
+    return F.split(F.regexp_replace(entity, TITLE, ""), r"[ -]|(?<=\.)(?=\p{Lu})")
+
+
+def _spelling(token: Column) -> Column:
+    """What different spellings of a token of a name share."""
+    return F.lower(F.translate(token, "’.", "'"))
+
+
 def normal_form(kind: Column, entity: Column) -> Column:
     """What different spellings of one entity share."""
     loose = F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
-    name = F.lower(F.regexp_replace(F.regexp_replace(entity, TITLE, ""), "-", " "))
+    name = F.array_join(F.transform(_tokens(entity), _spelling), " ")
     return F.when(kind.isin("phone", "card", "ssn", "iban"), loose).when(kind == "name", name).otherwise(F.lower(entity))
 
 
@@ -162,9 +183,10 @@ def _full_name(entity: Column, again: Column, key: str) -> Column:
     def named(tokens: Column, g: Column) -> Column:
         last = F.size(tokens) - 1
         part = lambda i: F.when(i < last, F.concat(F.lit("given"), g)).otherwise(F.lit("surname"))
-        return F.transform(tokens, lambda t, i: let(_stream(key, part(i), again, F.lower(t)), lambda s: _name(t, s, g, i < last)))
+        initial = lambda t, made: F.when(t.rlike(r"^\p{Lu}\.?$"), F.concat(F.substring(made, F.lit(1), F.lit(1)), F.substring(t, F.lit(2), F.lit(1)))).otherwise(made)
+        return F.transform(tokens, lambda t, i: initial(t, let(_stream(key, part(i), again, _spelling(t)), lambda s: _name(t, s, g, i < last))))
 
-    tokens = F.split(F.regexp_replace(entity, TITLE, ""), "[ -]")
+    tokens = _tokens(entity)
     return F.concat(F.regexp_extract(entity, TITLE, 0), F.array_join(let(gender, lambda g: let(tokens, lambda t: named(t, g))), " "))
 
 

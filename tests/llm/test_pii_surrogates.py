@@ -120,3 +120,35 @@ def test_secrets_of_signs_alone(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.text for r in p.rewrite(docs, "k1").orderBy("doc_id").collect()]
     assert re.fullmatch("password: [0-9a-f]{8}", got[0]) and re.fullmatch("token=[0-9a-f]{9}", got[1]) and got[0] == got[2]
+
+
+#: Text around an entity, and the entity in a less usual form.
+FORMS = [
+    ("at {}, up", "2001:db8::8a2e:370:7334"), ("at {}.", "fe80::1"), ("net {}/32", "2001:db8::"), ("at {} up", "::ffff:a00:1"),
+    ("call {}.", "555 123 4567"), ("call {} now", "0171 1234567"), ("call {},", "5551234567"), ("call {}", "01 23 45 67 89"), ("call {}", "030/12345678"),
+    ("card {} ok", "3782 822463 10005"), ("card {} ok", "3056-930902-5904"),
+    ("met {}.", "Mr. O'Brien"), ("met {} there", "Dr. J. Smith"), ("met {}, too", "Mr. McDonald"), ("met {}", "Prof. J.R. R. D'Angelo-McKay"), ("met {}'s car", "Mrs Ann O’Neill"),
+]
+CLEAN = ["a::b and A::B, std::dec, x[1::2] y[::2] 5::", "1700000000 of 12345678 and 1.5551234567", "01-02-2024 01/02/2024 100 200 3000", "1234 567890 123", "v 0.1234567891 at 12:30:45"]
+
+
+def test_less_usual_forms(spark):
+    docs = spark.createDataFrame([(i, a.format(e)) for i, (a, e) in enumerate(FORMS)] + [(100 + i, t) for i, t in enumerate(CLEAN)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in p.rewrite(docs, "k1", counts="found").collect()}
+    for i, (around, entity) in enumerate(FORMS):
+        before, after = around.split("{}")
+        new = rows[i].text
+        assert rows[i].found == 1 and new.startswith(before) and new.endswith(after), (entity, new)
+        inner = new[len(before) : len(new) - len(after)]
+        same = {w for w in re.findall(r"\w{4,}", entity) if w in inner} - {"Prof"}
+        assert inner != entity and not same, (entity, new)
+    assert [rows[100 + i].text for i in range(len(CLEAN))] == CLEAN
+    assert re.fullmatch(r"met Dr\. [A-Z]\. [A-Z][a-z]+\.?( there)", rows[12].text)
+
+
+def test_spellings_of_a_name_are_one(spark):
+    texts = ["Mr. J.R. O'Brien", "Mr. J. R. O’Brien", "Mr. J R O'Brien", "Mr. O'Brien", "Mr. K. O'Brien"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in p.rewrite(docs, "k1").orderBy("doc_id").collect()]
+    letters = [re.sub(r"[^A-Za-z]", "", t) for t in got]
+    assert letters[0] == letters[1] == letters[2] != letters[4] and got[3].split()[-1] == got[0].split()[-1]
