@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from relata.llm import chat_format as c
@@ -67,3 +68,20 @@ def test_round_trip_and_digests(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string, record string, seq int").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in c.op7_chat_format(spark, str(tmp_path)).collect()] == [-1]
+
+
+def test_a_very_long_turn_is_whole(spark, tmp_path):
+    n = 21_000_000
+    long = spark.range(1).select("id", F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), F.lit(n)).alias("text"))
+    long.withColumnRenamed("id", "conv_id").write.parquet(f"{tmp_path}/conversations.parquet")
+    row = next(r for r in c.op7_chat_format(spark, str(tmp_path)).collect() if r.conv_id == 0)
+    text = "x" * n
+    assert (row.n_turns, row.loss_chars, row.formatted_chars) == (1, n, n + 24 + len("assistant"))
+    assert row.turns_sha256 == hashlib.sha256(f"assistant\n{text}\n".encode()).hexdigest() and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_record_too_long_to_parse_is_an_error(spark):
+    record = F.concat(F.lit('{"role": "user", "text": "'), F.repeat(F.lit("x"), F.lit(21_000_000)), F.lit('"}'))
+    frame = spark.range(1).select(F.col("id").alias("k"), F.lit(0).alias("o"), record.alias("record"))
+    with pytest.raises(Exception, match="does not parse"):
+        c.canonical(frame, ["k"], ["o"]).select(F.length("text")).collect()
