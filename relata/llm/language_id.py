@@ -42,7 +42,7 @@ _SHIFT = 21
 def letters() -> np.ndarray:
     """The lower-case letter of each code point, 0 where it is none."""
     out = np.zeros(0x110000, np.uint32)
-    for k in range(0x32000):
+    for k in range(len(out)):
         c = chr(k)
         if c.isalpha():
             out[k] = ord(c.lower()[0])

@@ -60,3 +60,10 @@ def test_bundle_is_the_sum_over_trigrams(monkeypatch):
     assert np.array_equal(l.bundle(text, known), total)
     monkeypatch.setattr(l, "PIECE", 5)
     assert np.array_equal(l.bundle(text, known), total)
+
+
+def test_letters_of_every_plane():
+    """The alphabet has each letter that Python has, up to the last of CJK Extension H."""
+    assert [k for k in range(0x110000) if chr(k).isalpha() != bool(l.letters()[k])] == []
+    known = l.alphabet(l.DIMENSIONS, l.SEED)
+    assert l.bundle("\U000323af\U00032000", known) is not None and l.bundle("12", known) is None
