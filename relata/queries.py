@@ -642,7 +642,7 @@ def fit_snap_point_estimate(spark, sf_dir):
 def fit_bootstrap(spark, sf_dir):
     from relata.plans import models as m
 
-    return m.point_fit(_trade_data(spark, sf_dir)).bootstrap(8).bootstrap_interval()
+    return m.point_fit(_trade_data(spark, sf_dir)).bootstrap().bootstrap_interval()
 
 
 @query()
@@ -650,7 +650,7 @@ def fit_sampled(spark, sf_dir):
     """Two chains for the trade panel with two factors: summary with R-hat and effective draws."""
     from relata.plans import models as m
 
-    return m.sampled_fit(_trade_data(spark, sf_dir), n_chains=2, rank=2, burn=100, scan=200, thin=5).summary()
+    return m.sampled_fit(_trade_data(spark, sf_dir), n_chains=2, rank=2).summary()
 
 
 @query()
@@ -658,7 +658,7 @@ def fit_goodness(spark, sf_dir):
     """Observed statistics against those of simulated networks."""
     from relata.plans import models as m
 
-    return m.sampled_fit(_trade_data(spark, sf_dir), burn=100, scan=200, thin=5).gof()
+    return m.sampled_fit(_trade_data(spark, sf_dir)).gof()
 
 
 @query()
@@ -666,7 +666,7 @@ def fit_forecast(spark, sf_dir):
     """Two years ahead under moving effects and coefficients."""
     from relata.plans import models as m
 
-    return m.sampled_fit(_trade_data(spark, sf_dir), burn=100, scan=200, thin=10, dynamic_ab=True, dynamic_beta=True, keep_gof=False).forecast(2)
+    return m.sampled_fit(_trade_data(spark, sf_dir), dynamic_ab=True, dynamic_beta=True, keep_gof=False).forecast(2)
 
 
 @query()
@@ -678,7 +678,7 @@ def fit_binary_bipartite(spark, sf_dir):
     one = x.withColumn("j", F.concat(F.lit("to "), "j"))
     bar = one.agg(F.percentile("y", 0.5)).first()[0]
     data = m.Data(one.withColumn("y", (F.col("y") >= bar).cast("double")).select("t", "i", "j", "y", *names), names, square=False)
-    return m.sampled_fit(data, family="binary", rank=1, burn=100, scan=200, thin=5).tidy()
+    return m.sampled_fit(data, family="binary", rank=1).tidy()
 
 
 @query()
@@ -686,7 +686,7 @@ def fit_leave_future_out(spark, sf_dir):
     from relata.plans import models as m
     from relata.plans.gibbs import Options
 
-    return m.leave_future_out(_trade_data(spark, sf_dir), Options(burn=50, scan=100, thin=5))
+    return m.leave_future_out(_trade_data(spark, sf_dir), Options())
 
 
 @query()

@@ -334,3 +334,25 @@ def test_actor_slopes_and_pooled_paths():
     assert np.abs(draws[draws.term == "x_dyad"].groupby("t").value.mean().to_numpy() - slopes).max() < 0.2
     with pytest.raises(ValueError):
         Options(cutpoints="none")
+
+
+def test_registered_fits_run_at_their_default_lengths(spark, monkeypatch):
+    from relata import registry
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def stop(*args, **named):
+        seen.append((args, named))
+        raise Stop
+
+    monkeypatch.setattr(m, "sampled_fit", stop)
+    monkeypatch.setattr(m, "leave_future_out", stop)
+    monkeypatch.setattr(m, "point_fit", lambda *args, **named: type("Fit", (), {"bootstrap": staticmethod(stop)}))
+    for name in ("fit_sampled", "fit_goodness", "fit_forecast", "fit_binary_bipartite", "fit_leave_future_out", "fit_bootstrap"):
+        with pytest.raises(Stop):
+            registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not [n for _, n in seen if {"burn", "scan", "thin", "n"} & set(n)]
+    assert seen[4][0][1] == Options() and seen[5] == ((), {})
