@@ -29,7 +29,7 @@ def test_recall_against_all_pairs(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
     got = {}
-    for r in h.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=700).collect():
+    for r in h.nearest(frame, F.col("vec_id") % 50 == 0, shard_bytes=700 * 16 * 4).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
     want = brute(rows, [r for r in rows if r[0] % 50 == 0])
     assert sorted(got) == sorted(want)
@@ -62,3 +62,31 @@ def test_single_layer_search_is_exhaustive_on_a_small_graph():
     q, ids, d = h.search(index, np.array([1000]), x[:1] + 0.01, 5)
     want = np.argsort(((x - x[0] - 0.01) ** 2).sum(1))[:5]
     assert ids.tolist() == want.tolist() and q.tolist() == [1000] * 5 and (np.diff(d) >= 0).all()
+
+
+def test_inserted_graph_on_scattered_vectors():
+    """Vectors without any clusters are the hard case; a walk finds most of the nearest, and looks at a part of the graph only."""
+    x = np.random.default_rng(5).normal(0, 1, (6000, 32))
+    index = h.build(np.arange(6000), x)
+    asked = np.arange(0, 6000, 60)
+    visits = np.zeros(len(asked), int)
+    q, ids, _ = h.search(index, asked, x[asked], 10, ef=160, visits=visits)
+    hits = 0
+    for a in asked:
+        near = np.argsort(((x - x[a]) ** 2).sum(1))[1:11]
+        hits += len(set(near) & set(ids[q == a]))
+    assert hits >= 0.95 * 10 * len(asked) and 0 < visits.mean() < 0.6 * 6000
+    n, most = index["sizes"][0]
+    links = index["links"][: n * most].reshape(n, most)
+    assert n == 6000 and all(len(set(r[r >= 0])) == (r >= 0).sum() and k not in r for k, r in enumerate(links))
+    assert [s[0] for s in index["sizes"]] == sorted((s[0] for s in index["sizes"]), reverse=True)
+
+
+def test_work_in_small_pieces_changes_nothing(monkeypatch):
+    x = np.random.default_rng(6).normal(0, 1, (500, 8))
+    a = h.build(np.arange(500), x)
+    monkeypatch.setattr(h, "WORKED", 4096)
+    b = h.build(np.arange(500), x)
+    assert a["sizes"].tolist() == b["sizes"].tolist() and (a["links"] == b["links"]).mean() > 0.99
+    huge = h.build(np.arange(500), x * 1e100)
+    assert h.search(huge, np.array([0]), x[:1] * 1e100, 3)[1].tolist() == h.search(a, np.array([0]), x[:1], 3)[1].tolist()
