@@ -69,6 +69,12 @@ def _cut(data: np.ndarray, at: int) -> int:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and byte length of each word, and n + 1 offsets of the texts' words."""
+    hashes, lengths, bounds, _ = placed_word_hashes(data, offsets)
+    return hashes, lengths, bounds
+
+
+def placed_word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `word_hashes`, and where each word begins."""
     hashes, lengths, at = [], [], 0
     firsts = offsets[:-1][offsets[1:] > offsets[:-1]]
     starts_all = []
@@ -94,9 +100,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             starts_all.append(starts + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     starts = np.concatenate(starts_all)
-    return np.concatenate(hashes), np.concatenate(lengths), np.searchsorted(starts, offsets)
+    return np.concatenate(hashes), np.concatenate(lengths), np.searchsorted(starts, offsets), starts
 
 
 def text_offsets(column: pa.Array) -> np.ndarray:

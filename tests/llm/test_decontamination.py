@@ -85,3 +85,74 @@ def test_words_over_pieces_and_text_edges(monkeypatch):
     for a, b in zip(whole, cut):
         assert np.array_equal(a, b)
     assert list(np.diff(whole[2])) == [len(words(t)) for t in texts]
+
+
+def longest_brute(doc, items):
+    """(words, place, item) of the longest match of at least a window, at the least place, of the first item that has it."""
+    w, best = words(doc), (0, None, None)
+    for q in range(len(w)):
+        for item_id, text in items:
+            v = words(text)
+            for p in range(len(v) - min(10, len(v)) + 1 if v else 0):
+                n = 0
+                while q + n < len(w) and p + n < len(v) and w[q + n] == v[p + n]:
+                    n += 1
+                if n >= min(10, len(v)) and n > best[0]:
+                    best = (n, q, None if item_id is None else str(item_id))
+    return best
+
+
+@pytest.mark.parametrize("seed,held", [(1, 2), (4, 0)])
+def test_longest_against_brute_force(spark, seed, held, monkeypatch):
+    docs, items = corpus(seed, 40)
+    monkeypatch.setattr(d.Needles.__init__, "__defaults__", (held,))
+    got = d.annotate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)).collect()
+    want = {(i, t): longest_brute(t, items) for i, t in docs}
+    for r in got:
+        n, at, item = want[(r.doc_id, r.text)]
+        assert (r.longest_words, r.longest_at) == (n, at)
+        if n:
+            v = words(r.text)[at : at + n]
+            assert any(v == words(t)[p : p + n] for i, t in items if r.longest_item in (None, str(i)) for p in range(len(words(t))))
+
+
+def test_many_equal_windows_make_no_pairs():
+    """10,000 items that share a window, in a text that repeats it 10,000 times: work and memory are those of the sum."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    window = "a b c d e f g h i j"
+    block = d.NeedleBlock([str(k) for k in range(10_000)], [f"{window} k{k}" for k in range(10_000)], 10)
+    tracemalloc.start()
+    shard = d.Shard(pa.array([f"{window} " * 10_000, f"x {window} k77 y"]))
+    shard.meet(block)
+    found = {k: v.to_pylist() for k, v in shard.columns().items()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert found["n_hit"] == [100_000, 11] and found["n_items"] == [10_000, 10_000] and found["longest_words"] == [10, 11]
+    assert found["longest_item"] == ["0", "77"] and found["longest_at"] == [0, 1]
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    block = d.NeedleBlock(["1"], ["red green"], 10)
+    shard = d.Shard(pa.array(["red green blue", "red grean blue"]))
+    shard.words[4] = shard.words[1]  # as if grean had the hash of green
+    shard.meet(block)
+    assert shard.columns()["n_hit"].to_pylist() == [2, 0]
+    with pytest.raises(RuntimeError, match="same hash"):
+        placed = d.placed_word_hashes
+        monkeypatch.setattr(d, "placed_word_hashes", lambda *a: (np.ones(2, np.uint64), *placed(*a)[1:]))
+        d.NeedleBlock(["1"], ["red green"], 10)
+
+
+def test_columns_that_would_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, N_HIT int")
+    bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    with pytest.raises(ValueError, match="n_hit"):
+        d.annotate(docs, bench)
+    assert d.annotate(docs, bench, prefix="d_").first().d_n_hit == 1
