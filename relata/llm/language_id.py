@@ -15,7 +15,8 @@ languages, which set the taken fraction, are over all learnable rows.
 Defined results: a null text, or one without a letter, is `und` with score 0;
 so is any text if no language was learned; a null lang or id is never learned
 from; equal cosines go to the lesser language in code-point order; repeated rows
-each get their row; extra columns are not read.
+each get their row; a very long text is bundled in pieces; extra columns are carried and not read,
+and one named like a result is an error, as the result would be there twice.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from relata.llm.frames import remainder, table
 
 DIMENSIONS = 512
 ORDER = 3
-SEED = 6886
+SEED = 1109
 PER_LANGUAGE = 4000
+#: Languages that are learned, those with the most rows; the prototypes are held in memory.
+MAX_LANGUAGES = 2000
 PIECE = 1 << 20
 _SHIFT = 21
 
@@ -97,18 +100,13 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / n if n > 0 else v
 
 
-def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
+def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """A prototype for each language among the usable rows."""
     rows = docs.where(usable).select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("i is not null and lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
     parts = 1 << 20
-    take = F.lit(parts)
-    for lang, n in counts.items():
-        if n > per_language:
-            take = F.when(F.col("lang") == lang, F.lit(max(1, parts * per_language // n))).otherwise(take)
-    picked = rows.where(F.pmod(F.xxhash64("i", "text", F.lit(seed)), F.lit(parts)) < take).select("lang", "text")
+    take = F.greatest(F.lit(1), F.floor(F.lit(parts * per_language) / F.col("n")))
+    picked = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("i", "text", F.lit(seed)), F.lit(parts)) < take).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found = alphabet(dimensions, seed), {}
@@ -130,6 +128,9 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """docs without the text, with lang_pred and score, the cosine brought to 0..1."""
+    clash = {"lang_pred", "score"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"rename {sorted(clash)} first: the results have these names")
     names = sorted(prototypes, key=lambda s: s.encode())
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, dimensions))
     at = docs.columns.index(text_col)
