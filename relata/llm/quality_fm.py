@@ -38,7 +38,7 @@ WORD_BITS = 15
 BINS = 12
 FACTORS = 8
 STEPS = 1500
-SEED = 6886
+SEED = 977
 THRESHOLD = 0.3
 #: Text that is scored at once; arrays of about forty times its size are made for it.
 SLICE_BYTES = 1 << 20
@@ -175,9 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     count = known.count()
     if count > fit_rows:
         known = known.where(F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(1 << 20)) < (1 << 20) * fit_rows // count)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *metadata_of(docs, metadata))
-    rows = rows.join(F.broadcast(known), F.col("i") == F.col("k")).select("i", "y", "t", *[fresh(docs, f"_meta{k}") for k in range(len(metadata))])
-    rows = rows.dropDuplicates(["i"])  # else an id that very many rows share would make the sample unbounded
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), *metadata_of(docs, metadata))
+    rows = rows.join(F.broadcast(known), F.col("i") == F.col("k").cast("string")).select("i", "y", "t", *[fresh(docs, f"_meta{k}") for k in range(len(metadata))])
+    # one row of each id, the same in every run; else an id that very many rows share would make the sample unbounded
+    names = rows.columns
+    rows = rows.groupBy("i").agg(F.min_by(F.struct(*names), F.struct(F.xxhash64(*names), F.col("t"))).alias("r")).select("r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(b, e - b) for whole in batches for b, e in slices(text_offsets(whole.column(2)), SLICE_BYTES)):
@@ -187,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             cut = lambda a, kind: pa.array([a[b:e].astype(kind).tobytes() for b, e in zip(bounds[:-1], bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut(feature, np.int32), cut(weight, np.float32), pa.array([v.tobytes() for v in values], pa.binary())], names=["i", "y", "f", "x", "v"])
 
-    sample = sorted(rows.mapInArrow(run, "i long, y int, f binary, x binary, v binary").collect(), key=lambda r: (r["i"], r["f"], r["x"]))
+    sample = sorted(rows.mapInArrow(run, "i string, y int, f binary, x binary, v binary").collect(), key=lambda r: (r["i"], r["f"], r["x"]))
     if not sample:
         return None
     parts = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["x"], np.float32)) for r in sample]
