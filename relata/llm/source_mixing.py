@@ -12,17 +12,18 @@ parties / (2 seats), -+ 1/2 (the sum of rounded shares passes the number of seat
 within that factor), so only quotients in that band are ranked: about seven per
 party, whatever the number of seats.
 
-Scale: one pass over the documents makes sums per source and hash class, at most
-4096 per source. A shard is some hash classes of a source, about `shard_rows`
-documents, more only beyond 4096 shards; running sums are per shard, so a source
+Scale: one pass over the documents makes sums per source and hash class, of which there are
+as many as the documents ask for. A shard is some hash classes of a source, about `shard_rows`
+documents; running sums are per shard, so a source
 with a third of all rows is spread over as many shards as its size asks for. The
 rest is arithmetic per row. Words of repeated blocks are counted, not copied.
 
 Defined results: a null text has size 0 and is taken 0 times; the null source is
 a source and comes last; a source without words has target 0; repeated rows are
 rows of their own; without any words all targets are 0; an empty table gives an
-empty one; extra columns are carried, the four result columns must not clash and
-are renamed by `names` if they would.
+empty one; a very long text has blocks in one shard only; extra columns are carried, the result
+columns must not clash and are renamed by `names` if they would. Columns with maps or variants
+do not count for the order of rows with the same id.
 """
 
 from __future__ import annotations
@@ -38,9 +39,8 @@ MOST = 3
 BLOCK_WORDS = 64
 #: A block is small enough for every source to have so many of them.
 LEAST_BLOCKS = 50
-CLASSES = 4096
 SHARD_ROWS = 400
-SEED = 6886
+SEED = 1931
 
 
 def word_count(text: Column) -> Column:
@@ -86,15 +86,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 def mix(docs: DataFrame, size: str = "size", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: int = SEED, names: tuple[str, str, str] = ("source_size", "target", "taken")) -> DataFrame:
     """docs, which has a column with each document's words, with its source's words and target, and the words that the mix takes of it."""
     size_of, target_of, taken = names
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
-    classes = docs.select(F.col(source_col).alias("source"), F.pmod(order, F.lit(CLASSES)).alias("class"), F.col(size).alias("size"))
+    # by the whole row, so that rows without an id, or with the same, are spread as well and have an order of their own
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = F.xxhash64(F.col(id_col), F.lit(seed), *hashed)
+    n_classes = 1 << max(12, (docs.count() // shard_rows).bit_length())
+    classes = docs.select(F.col(source_col).alias("source"), F.pmod(order, F.lit(n_classes)).alias("class"), F.col(size).alias("size"))
     classes = written(classes.groupBy("source", "class").agg(F.sum("size").alias("size"), F.count("*").alias("n_docs")), "classes")
     sources = targets(classes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n_docs").alias("n_docs")), weights, most)
     everything = Window.partitionBy(F.lit(1))
     smallest = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everything)
     wide = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(smallest / LEAST_BLOCKS))).cast("long")
     sources = sources.withColumn("block", F.coalesce(wide, F.lit(1).cast("long"))).withColumn("seats", F.round(F.sum("source_size").over(everything) / F.col("block")).cast("long"))
-    power = F.least(F.lit(CLASSES), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n_docs") / shard_rows))))).cast("long")
+    power = F.least(F.lit(n_classes), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n_docs") / shard_rows))))).cast("long")
     sources = sources.withColumn("shards", power)
     quotas = sainte_lague(sources.withColumn("all", F.lit(1)), ["all"], ["source_no"], "target", "seats", "source_quota").drop("all")
     sources = written(sources.join(quotas, "source_no"), "sources")
@@ -102,7 +105,13 @@ def mix(docs: DataFrame, size: str = "size", id_col: str = "doc_id", source_col:
     shards = shards.withColumn("shard", F.pmod("class", "shards")).groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     shards = shards.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(0.0))
     quotas = sainte_lague(shards, ["source_no"], ["shard"], "votes", "source_quota", "quota")
-    shards = written(shards.select("source_no", "shard", "shard_size").join(quotas, ["source_no", "shard"]), "shards")
+    shards = shards.select("source_no", "shard", "shard_size").join(quotas, ["source_no", "shard"]).join(sources.select("source_no", "block"), "source_no")
+    # a shard gives a block `most` times at most; what rounding gave it beyond that goes to shards with blocks to spare
+    room = F.lit(int(most)) * F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))).cast("long")
+    shards = shards.withColumn("over", F.greatest(F.lit(0), F.col("quota") - room)).withColumn("spare", F.greatest(F.lit(0), room - F.col("quota")))
+    shards = written(shards.withColumn("over", F.sum("over").over(Window.partitionBy("source_no"))).withColumn("quota", F.least("quota", room)).drop("block"), "shards")
+    more = sainte_lague(shards.where("over > 0"), ["source_no"], ["shard"], "spare", "over", "more")
+    shards = written(shards.join(more, ["source_no", "shard"], "left").withColumn("quota", F.col("quota") + F.least(F.coalesce("more", F.lit(0)), F.col("spare"))).drop("over", "spare", "more"), "shards")
 
     row = F.struct(*docs.columns)
     known = sources.select(F.col("source").alias("its_source"), "source_no", F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), "block", "shards")
@@ -125,5 +134,5 @@ def mix(docs: DataFrame, size: str = "size", id_col: str = "doc_id", source_col:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_mark"))
     return mix(written(sized, "sized")).select("doc_id", "size", "source_size", "target", "taken", "source")
