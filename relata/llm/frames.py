@@ -21,6 +21,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys that may be broadcast as hot ones, at most.
+HOT_KEYS = 20_000
+HOT_ROWS = 1_000
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with `keyed`, which has each key once and in `count` how many rows have it, without the count; both are written tables.
+
+    Keys with more rows than HOT_ROWS and than a HOT_KEYS-th of all rows, so HOT_KEYS keys at most, come
+    by broadcast and leave their rows where they are; no other key can fill a task. Keys of null are left out.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(HOT_ROWS, -(-total // HOT_KEYS))
+    few = keyed.where(hot).drop(count)
+    if few.isEmpty():
+        return rows.join(keyed.drop(count), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keyed.where(~hot).drop(count), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo `modulus`; null for a null key."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(modulus))

@@ -22,8 +22,8 @@ members differ in at most three bits; the check of the distance verifies it.
 
 Points travel in packed buckets by a hash of the point, whose number follows the
 number of fingerprints, so no group ever meets in one bucket. Equal fingerprints
-are one node; their documents come back by an equi join that the engine can
-split. Components are found by star contraction on written tables.
+are one node; their documents come back by a join that broadcasts the few
+fingerprints of very many documents. A very long text is hashed in pieces. Components are found by star contraction on written tables.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; fewer words than a shingle's make one shingle; repeated rows each keep
@@ -43,16 +43,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.operators.components import star_components
-from relata.llm.frames import fresh, table
+from relata.llm.frames import fresh, split_join, table
 from relata.llm.words import mix, utf8
 from relata.session import written
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Points that meet in one bucket, about.
+#: Points that meet in one bucket, about, while BUCKETS are enough; then up to eight times as many, and only then more buckets.
 BUCKET = 1 << 20
-#: Fingerprints whose points are packed together.
+BUCKETS = 1 << 16
+#: Fingerprints whose points are packed together, at least; about 35 points of a pack go to each bucket.
 PACK = 4096
 #: Fingerprints that one task emits the points of.
 FED = 1 << 15
@@ -111,14 +112,21 @@ def fingerprints(docs: DataFrame, text_col: str, name: str, shingle: int = SHING
     return docs.mapInArrow(run, schema)
 
 
+def bucket_count(count: int) -> int:
+    """Buckets for the points of so many fingerprints, 561 of each."""
+    points = count * 561
+    return max(1, min(-(-points // BUCKET), max(BUCKETS, -(-points // (8 * BUCKET)))))
+
+
 def emit(n_buckets: int):
     """Points of all fingerprints, packed by bucket; `mask` tells the step that leads back."""
+    pack = max(PACK, n_buckets * PACK // BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(0, len(marks), PACK):
-                part = marks[k : k + PACK]
+            for k in range(0, len(marks), pack):
+                part = marks[k : k + pack]
                 even = np.bitwise_count(part) % 2 == 0
                 points = np.concatenate([(part[:, None] ^ MASKS[:NEAR]).ravel(), (part[even][:, None] ^ MASKS[NEAR:]).ravel()])
                 steps = np.concatenate([np.tile(np.arange(NEAR, dtype=np.uint16), len(part)), np.tile(np.arange(NEAR, len(MASKS), dtype=np.uint16), int(even.sum()))])
@@ -186,7 +194,7 @@ def meetings(group: pa.Table) -> pa.Table:
 
 def ball_links(marks: DataFrame, count: int) -> DataFrame:
     """Links (a, b) that connect all fingerprints of the one-column table `marks` with RADIUS or fewer differing bits; marks are distinct."""
-    n_buckets = max(1, -(-count * 561 // BUCKET))
+    n_buckets = bucket_count(count)
     spread = marks.repartition(max(1, -(-count // FED)), "mark")
     packed = spread.mapInArrow(emit(n_buckets), "bucket int, points binary, steps binary")
     return packed.groupBy("bucket").applyInArrow(meetings, "a long, b long")
@@ -195,13 +203,13 @@ def ball_links(marks: DataFrame, count: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs."""
     marked = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "mark"), "fingerprints")
-    nodes = written(marked.groupBy("mark").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(marked.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     tree = star_components(ball_links(nodes.select("mark"), nodes.count()))
     tree = tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
     linked = tree.join(nodes, tree["node"] == nodes["mark"]).select("node", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("node").alias("mark"), "component")
-    final = nodes.join(named, "mark", "left").select("mark", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(final, "mark").select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
+    final = written(nodes.join(named, "mark", "left").select("mark", "n", F.coalesce("component", "least").alias("component_id")), "final")
+    return split_join(marked, final, "mark", "n").select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +217,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that share the least id one stays: the one with the least hash of all its columns.
     """
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = written(near_duplicates(docs, id_col, text_col), "groups")
     kept = groups.where("doc_id = component_id").select("doc_id").groupBy("doc_id").count()
     repeated = kept.where("count > 1").select("doc_id")
     key = fresh(docs, "_kept_id")

@@ -8,7 +8,8 @@ those are run as regular expressions; of the rules that fit, the longest wins.
 
 Scale: distinct URLs are judged once, with joins on tokens whose sides the
 engine broadcasts only below its size threshold and otherwise shuffles and
-splits where skewed; the rows come back by a join on the URL. Counts of tokens
+splits where skewed; the rows come back by a join on the URL, in which URLs of very many rows are
+broadcast. A very long URL is a row like any other. Counts of tokens
 are over all distinct URLs, and only of tokens that some rule has.
 
 Defined results: a null URL, or one without ://, has an empty host and path and
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.frames import table
+from relata.llm.frames import split_join, table
 from relata.session import written
 
 #: (action, host, path)
@@ -55,9 +56,9 @@ def quoted(text: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """(url, rule, action) of the distinct URLs that some rule fits."""
+    """(url, n, rule, action) of the distinct URLs, n rows of each; without rule and action where no rule fits."""
     host, path = host_and_path(F.col("url"))
-    urls = written(pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", host.alias("host"), path.alias("path")), "urls")
+    urls = written(pages.select(F.col(url_col).alias("url")).where("url is not null").groupBy("url").count().select("url", host.alias("host"), path.alias("path"), F.col("count").alias("n")), "urls")
     filed = rules.select("action", "host", "path", F.concat("host", "path").alias("rule")).distinct()
     end = F.when(F.col("path") == "", F.lit(r"(?=/|\z)")).otherwise(quoted(F.col("path")))
     filed = filed.withColumn("pattern", F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted(F.col("host")), end))
@@ -68,14 +69,17 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     index = written(index, "rules")
     fits = met.join(index, "token").where(F.expr("rlike(concat(host, path), pattern)"))
     best = F.min(F.struct((-F.length("rule")).alias("shorter"), "rule", "action"))
-    return fits.groupBy("url").agg(best.alias("best")).select("url", "best.rule", "best.action")
+    judged = fits.groupBy("url").agg(best.alias("best"))
+    return urls.select("url", "n").join(judged, "url", "left").select("url", "n", "best.rule", "best.action")
 
 
 def verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages."""
-    found = judge(pages, rules, url_col)
+    found = written(judge(pages, rules, url_col), "judged")
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).join(found, "url", "left")
+    all_rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    nothing = F.lit(None).cast("string")
+    rows = split_join(all_rows, found, "url", "n").unionByName(all_rows.where("url is null").select("page_id", "url", nothing.alias("rule"), nothing.alias("action")))
     return rows.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 

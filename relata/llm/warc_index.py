@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.llm.frames import table
+from relata.llm.frames import split_join, table
 from relata.session import scratch_path, written
 
 MIN_REVISIT = 1000
@@ -44,6 +44,8 @@ FILE_BYTES = 64 << 20
 RANGE_ROWS = 50_000
 #: Time of capture of page 0; pages carry no time, so page n counts as captured n seconds later.
 FIRST_CAPTURE = 1_577_836_800
+#: Times end with the year 9999.
+LAST_SECOND = 251_824_723_200
 LEVEL = 4
 
 CAPTURES = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, offset long, length long"
@@ -61,7 +63,7 @@ def url_key(url: str) -> str:
 
 
 def capture_time(page_id: int | None) -> datetime:
-    return datetime.fromtimestamp(FIRST_CAPTURE + (page_id or 0) % 1_000_000_000, UTC)
+    return datetime.fromtimestamp(FIRST_CAPTURE + (page_id or 0) % LAST_SECOND, UTC)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -231,8 +233,8 @@ def revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, digest, refers_to) of the rows that another stores the payload of."""
     long = pages.select("page_id", F.encode("html", "utf-8").alias("b")).where(F.octet_length("b") >= min_revisit).select("page_id", F.sha1("b").alias("digest"))
     long = written(long, "digests")
-    shared = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return long.join(shared, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    shared = written(long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "shared")
+    return split_join(long, shared, "digest", "n").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -241,7 +243,10 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     if not known.isEmpty():
         digest = F.when(F.octet_length("html") >= min_revisit, F.sha1(F.encode("html", "utf-8")))
-        rows = rows.withColumn("digest", digest).join(known, ["page_id", "digest"], "left")
+        # rows that can refer to nothing are dealt by their URL
+        free = F.col("page_id").isNull() | F.col("digest").isNull()
+        marked = rows.withColumn("digest", digest).withColumn("digest", F.when(free, F.concat(F.lit("-"), F.xxhash64("url").cast("string"))).otherwise(F.col("digest")))
+        rows = marked.join(known, ["page_id", "digest"], "left")
     else:
         rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
     rows = rows.select("page_id", "url", "html", "refers_to")
