@@ -110,10 +110,18 @@ def ar1_update(rng, paths: np.ndarray, rho: float, shape: float = 2.0, scale: fl
     """rho and the innovation variance of paths (k, T), with weights of the transitions (0: not part of the process)."""
     a, b = paths[:, :-1].ravel(), paths[:, 1:].ravel()
     w = np.ones(len(a)) if weights is None else weights.ravel()
-    sigma2 = inverse_gamma(rng, shape + (w > 0).sum() / 2, scale + (w * (b - rho * a) ** 2).sum() / 2)
+    # unweighted paths begin in their stationary distribution, whose variance depends on both
+    begins, first = weights is None, (paths[:, 0] ** 2).sum()
+    more = (len(paths) / 2, (1 - rho * rho) * first / 2) if begins else (0.0, 0.0)
+    sigma2 = inverse_gamma(rng, shape + (w > 0).sum() / 2 + more[0], scale + (w * (b - rho * a) ** 2).sum() / 2 + more[1])
     precision = (w * a * a).sum() / sigma2 + 1 / sd**2
     centre = ((w * a * b).sum() / sigma2 + mean / sd**2) / precision
-    return float(dist.truncated_normal(rng, centre, precision**-0.5, low, high)), sigma2
+    new = float(dist.truncated_normal(rng, centre, precision**-0.5, low, high))
+    if begins:
+        at_start = lambda r: 0.5 * len(paths) * np.log(max(1 - r * r, 1e-12)) - (1 - r * r) * first / (2 * sigma2)
+        if np.log(rng.random()) >= at_start(new) - at_start(rho):
+            new = rho
+    return new, sigma2
 
 
 class Chain:
@@ -486,11 +494,18 @@ class Chain:
             self.a *= np.minimum(1.0, seen.sum((1, 2)) / self.o.min_obs)[:, None]
             self.b *= np.minimum(1.0, seen.sum((0, 2)) / self.o.min_obs)[:, None]
 
-    def _dynamic_additive(self, e: np.ndarray) -> None:
-        gaps = None if self.o.time_index is None else np.diff(self.o.time_index)
-        prior = ar1_precision(self.T, self.rho_ab, self.sig_ab, gaps)
+    def _draw_additive_paths(self, e: np.ndarray, prior: np.ndarray) -> None:
+        """Row paths, then column paths; the paths of a symmetric network meet in every dyad, so they are drawn one actor after the other."""
+        if self.o.symmetric:
+            precision = prior + np.eye(self.T) * (self.n - 1) / self.s2
+            half, inverse = np.linalg.cholesky(precision), np.linalg.inv(precision)
+            for i in range(self.n):
+                sums = ((e[i] - self.a) * self.off[i][:, None]).sum(0) / self.s2
+                self.a[i] = inverse @ sums + np.linalg.solve(half.T, self.rng.standard_normal(self.T))
+            self.b = self.a.copy()
+            return
         for which in ("a", "b"):
-            if not (self.o.row_effects if which == "a" else self.o.col_effects) or (self.o.symmetric and which == "b"):
+            if not (self.o.row_effects if which == "a" else self.o.col_effects):
                 continue
             size, other = (self.n, self.m) if which == "a" else (self.m, self.n)
             rest = (e - (self.b[None, :, :] if which == "a" else self.a[:, None, :])) * self.off[:, :, None]
@@ -498,10 +513,11 @@ class Chain:
             precision = prior + np.eye(self.T) * (other - (1 if self.square else 0)) / self.s2
             half = np.linalg.cholesky(precision)
             mean = np.linalg.solve(precision, sums.T)
-            drawn = (mean + np.linalg.solve(half.T, self.rng.standard_normal((self.T, size)))).T
-            setattr(self, which, drawn)
-            if self.o.symmetric:
-                self.b = drawn.copy()
+            setattr(self, which, (mean + np.linalg.solve(half.T, self.rng.standard_normal((self.T, size)))).T)
+
+    def _dynamic_additive(self, e: np.ndarray) -> None:
+        gaps = None if self.o.time_index is None else np.diff(self.o.time_index)
+        self._draw_additive_paths(e, ar1_precision(self.T, self.rho_ab, self.sig_ab, gaps))
         paths = self.a if self.o.symmetric or not self.o.col_effects else (np.vstack([self.a, self.b]) if self.o.row_effects else self.b)
         self.rho_ab, self.sig_ab = ar1_update(self.rng, paths, self.rho_ab)
         both = np.cov(self.a.ravel(), self.b.ravel()) if self.square else np.diag([self.a.var(), self.b.var()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relata import queries
+from relata import conditional_queries, queries  # noqa: F401 - the first adds its queries to those of the second
 
 QUERIES = dict(queries.QUERIES)
 ORACLE_SQL = dict(queries.ORACLE_SQL)
