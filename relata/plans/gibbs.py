@@ -223,6 +223,36 @@ class Chain:
             return np.einsum("irt,jrt->ijt", self.u, v)
         return np.einsum("irt,rst,jst->ijt", self.u, self.g, self.v)
 
+    def ahead(self, x: np.ndarray) -> np.ndarray:
+        """Positions one period on from x (n, r): drift, and resets or heavy tails where the model has them."""
+        kind = self.o.dynamic_uv if isinstance(self.o.dynamic_uv, str) else "ar1"
+        noise = self.sig_uv**0.5 * self.rng.standard_normal(x.shape)
+        if kind == "t":
+            nu = float(self.o.prior.get("nu", 4.0))
+            noise /= np.sqrt(self.rng.gamma(nu / 2, 2 / nu, (len(x), 1)))
+        new = self.rho_uv * x + noise
+        if kind == "snap":
+            again = self.rng.random((len(x), 1)) < self.pi_snap
+            new = np.where(again, float(self.o.prior.get("kappa", 1.0)) * self.rng.standard_normal(x.shape), new)
+        return new
+
+    def multiplicative_ahead(self) -> np.ndarray:
+        """The products of positions in the period after the last, drawn from their process if they move."""
+        if not self.rank or not self.o.dynamic_uv:
+            return self.multiplicative()[:, :, -1]
+        u = self.ahead(self.u[:, :, -1])
+        if self.o.symmetric:
+            return u @ (u * self.sign[None, :]).T
+        v = self.ahead(self.v[:, :, -1])
+        return u @ v.T if self.square else u @ self.g[:, :, -1] @ v.T
+
+    def slopes_ahead(self, x: np.ndarray) -> np.ndarray:
+        """What actors' own slopes add in the period after the last, whose covariates are x (n, m, K)."""
+        if self.slope_at is None:
+            return np.zeros(x.shape[:2])
+        theta = self.rho_actor * self.theta[:, -1] + self.sig_actor**0.5 * self.rng.standard_normal(len(self.theta))
+        return x[:, :, self.slope_at] * (theta[:, None] if self.o.actor_side == "row" else theta[None, :])
+
     def slopes(self) -> np.ndarray:
         """What actors' own slopes of one covariate add."""
         if self.slope_at is None:

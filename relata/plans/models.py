@@ -467,7 +467,7 @@ def shown(z: DataFrame, options: Options, data: Data, seed: int) -> DataFrame:
 
 
 def advance(fit: BayesFit, last: int, h: int, seed: int) -> DataFrame:
-    """The draws with t = 1..h instead of the panel's periods: x <- rho x + noise for what moves."""
+    """The draws with t = 1..h instead of the panel's periods: x <- rho x + noise for what moves; positions begin anew or jump where the model has resets or heavy tails."""
     o, unit = fit.options, ["chain", "draw"]
     wide = fit.block("vc").groupBy(*unit).pivot("term").agg(F.first("value")) if o.dynamic_ab or o.dynamic_uv or o.dynamic_beta else None
     rows = fit.draws.where("block in ('beta', 'a', 'b', 'u', 'v', 'g', 'vc') and draw > 0")
@@ -478,14 +478,28 @@ def advance(fit: BayesFit, last: int, h: int, seed: int) -> DataFrame:
     has = set(wide.columns)
     name = lambda stem, b: F.coalesce(*[F.when((F.col("block") == b) & (F.col("term") == n.split(":", 1)[1]), F.col(f"`{n}`")) for n in has if n.startswith(stem + ":")], F.lit(0.9 if stem == "rho_beta" else 0.1))
     pick = lambda n, default: F.col(n) if n in has else F.lit(default)
-    kind = o.beta_kind
-    rho = F.when(F.col("block").isin("a", "b"), pick("rho_ab", 1.0)).when(F.col("block").isin("u", "v"), pick("rho_uv", 1.0)).when(F.col("block") == "beta", name("rho_beta", "beta") if kind == "ar1" else F.lit(1.0)).otherwise(1.0)
+    path = o.beta_kind
+    rho = F.when(F.col("block").isin("a", "b"), pick("rho_ab", 1.0)).when(F.col("block").isin("u", "v"), pick("rho_uv", 1.0)).when(F.col("block") == "beta", name("rho_beta", "beta") if path == "ar1" else F.lit(1.0)).otherwise(1.0)
     var = F.when(F.col("block").isin("a", "b"), pick("sigma2_ab", 0.0)).when(F.col("block").isin("u", "v"), pick("sigma2_uv", 0.0)).when(F.col("block") == "beta", name("sigma2_beta", "beta")).otherwise(0.0)
     first = moving.withColumn("rho", rho).withColumn("var", var).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h))))
     noise = lambda k: hash_normal("chain", "draw", "block", "term", F.coalesce("i", F.lit("")), k, F.lit(seed))
-    total = F.pow("rho", F.col("h")) * F.col("value")
-    for k in range(1, h + 1):
-        total = total + F.when(F.col("h") >= k, F.pow("rho", F.col("h") - k) * F.sqrt("var") * noise(F.lit(k))).otherwise(0.0)
+    kind = o.dynamic_uv if isinstance(o.dynamic_uv, str) else "ar1"
+    kappa, nu = float(o.prior.get("kappa", 1.0)), int(o.prior.get("nu", 4))
+    is_position = F.col("block").isin("u", "v")
+    # what an actor's positions of one period share: whether they begin anew, and how heavy their innovation is
+    shared = lambda k, *more: hash_normal("chain", "draw", "block", F.coalesce("i", F.lit("")), k, F.lit(seed + 1), *more)
+
+    def step(x, k):
+        move = F.sqrt("var") * noise(k)
+        if kind == "t":
+            chi = F.aggregate(F.array(*[shared(k, F.lit(m)) for m in range(nu)]), F.lit(0.0), lambda s, z: s + z * z)
+            move = move * F.when(is_position, F.sqrt(nu / F.greatest(chi, F.lit(1e-12)))).otherwise(1.0)
+        on = F.col("rho") * x + move
+        if kind != "snap":
+            return on
+        return F.when(is_position & (normal_cdf(shared(k)) < pick("pi_snap", 0.1)), kappa * noise(k)).otherwise(on)
+
+    total = F.aggregate(F.sequence(F.lit(1), F.col("h")), F.col("value"), step)
     ahead = first.withColumn("value", total).withColumn("t", F.col("h"))
     return static.unionByName(ahead.select(*static.columns))
 
@@ -786,7 +800,7 @@ def leave_future_out(data: Data, options: Options, periods: Sequence[int] | None
                     beta = np.where(chain.moving, chain.rho_beta * beta + chain.sig_beta**0.5 * chain.rng.standard_normal(len(beta)), beta)
                 if options.dynamic_ab:
                     a, b = (chain.rho_ab * x + chain.sig_ab**0.5 * chain.rng.standard_normal(len(x)) for x in (a, b))
-                eta = np.einsum("ijk,k->ij", panel.x[:, :, :, s], beta) + a[:, None] + b[None, :] + chain.multiplicative()[:, :, -1]
+                eta = np.einsum("ijk,k->ij", panel.x[:, :, :, s], beta) + a[:, None] + b[None, :] + chain.multiplicative_ahead() + chain.slopes_ahead(panel.x[:, :, :, s])
                 total.append(pointwise(now, eta[:, :, None], options.family, chain.s2)[:, :, 0])
         ll = np.stack(total)
         top = np.nanmax(ll, axis=0)

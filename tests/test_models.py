@@ -356,3 +356,18 @@ def test_registered_fits_run_at_their_default_lengths(spark, monkeypatch):
             registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert not [n for _, n in seen if {"burn", "scan", "thin", "n"} & set(n)]
     assert seen[4][0][1] == Options() and seen[5] == ((), {})
+
+
+@pytest.mark.parametrize("kind,variance", [("ar1", 1.0), ("snap", 0.7 + 0.3 * 9), ("t", 1.5)])
+def test_positions_go_on_by_their_own_process(spark, kind, variance):
+    """One step from zero has the variance of a drift, of a drift or a reset, or of a Student-t with six degrees of freedom."""
+    n = 6000
+    vc = [(k % 2, k + 1, "vc", t, None, None, None, v) for k in range(n) for t, v in (("rho_uv", 0.5), ("sigma2_uv", 1.0), ("pi_snap", 0.3))]
+    rows = [(k % 2, k + 1, "u", str(r), 5, "a", None, 2.0 * r) for k in range(n) for r in (0, 1)] + vc
+    draws = spark.createDataFrame(rows, "chain int, draw int, block string, term string, t int, i string, j string, value double").cache()
+    options = type("O", (), {"dynamic_ab": False, "dynamic_uv": kind, "dynamic_beta": False, "beta_kind": "ar1", "prior": {"kappa": 3.0, "nu": 6}})()
+    fit = type("Fit", (), {"options": options, "draws": draws, "block": lambda self, b: draws.where(F.col("block") == b)})()
+    got = {(r.term, r.t): (r.m, r.v) for r in m.advance(fit, 5, 2, 3).where("block = 'u'").groupBy("term", "t").agg(F.avg("value").alias("m"), F.variance("value").alias("v")).collect()}
+    assert got[("0", 1)][1] == pytest.approx(variance, rel=0.15) and abs(got[("0", 1)][0]) < 0.15
+    stay = 0.7 if kind == "snap" else 1.0
+    assert got[("1", 1)][0] == pytest.approx(stay * 1.0, abs=0.15) and got[("1", 2)][0] == pytest.approx(stay**2 * 0.5, abs=0.15)
