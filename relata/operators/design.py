@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relata.operators.running import running_sums
+
 SUFFIXES = ("_row", "_col", "_dyad")
 
 
@@ -145,9 +147,14 @@ def normal_quantile(p: Column) -> Column:
 
 def normal_scores(dyads: DataFrame, value: str = "y", by: Sequence[str] = (), name: str = "z") -> DataFrame:
     """Normal quantiles of average rank / (1 + number observed); null stays null."""
-    n = F.count(value).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
-    ranked = dyads.withColumn("_rank", average_rank(value, by)).withColumn("_n", n)
-    return ranked.withColumn(name, normal_quantile(F.col("_rank") / (1.0 + F.col("_n")))).drop("_rank", "_n")
+    score = lambda rank, n: normal_quantile(rank / (1.0 + n))
+    if by:
+        ranked = dyads.withColumn("_rank", average_rank(value, by)).withColumn("_n", F.count(value).over(Window.partitionBy(*by)))
+        return ranked.withColumn(name, score(F.col("_rank"), F.col("_n"))).drop("_rank", "_n")
+    counts = running_sums(dyads.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_c")), "_value", ["_c"])
+    total = dyads.agg(F.count(value).alias("_n"))
+    scores = counts.crossJoin(F.broadcast(total)).select("_value", score(F.col("_c_upto") - (F.col("_c") - 1) / 2.0, F.col("_n")).alias(name))
+    return dyads.drop(name).join(scores, F.col(value) == F.col("_value"), "left").drop("_value")
 
 
 def working_response(dyads: DataFrame, family: str, by: Sequence[str] = ("t",)) -> DataFrame:

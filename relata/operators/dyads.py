@@ -120,8 +120,9 @@ def aligned_over_time(positions: DataFrame, rank: int) -> DataFrame:
 
 def centred_products(surface: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, i, j, value, row, col, mean): the surface without its margins, which belong to the additive terms."""
-    w = lambda *k: F.avg("value").over(Window.partitionBy(*by, *k) if (by or k) else Window.partitionBy(F.lit(1)))
-    full = surface.withColumn("mean", w()).withColumn("row", w("i") - F.col("mean")).withColumn("col", w("j") - F.col("mean"))
+    w = lambda *k: F.avg("value").over(Window.partitionBy(*by, *k))
+    full = surface.withColumn("mean", w()) if by else surface.crossJoin(F.broadcast(surface.agg(F.avg("value").alias("mean"))))
+    full = full.withColumn("row", w("i") - F.col("mean")).withColumn("col", w("j") - F.col("mean"))
     return full.select(*by, "i", "j", (F.col("value") - F.col("mean") - F.col("row") - F.col("col")).alias("value"), "row", "col", "mean")
 
 

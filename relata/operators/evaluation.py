@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.operators.design import average_rank
+from relata.operators.running import running_sums
 
 CLIP = 1e-12
 
@@ -24,18 +24,19 @@ def evaluate(predictions: DataFrame, family: str, y: str = "y", p: str = "predic
     if family not in ("binary", "cbin"):
         raise ValueError(f"no scores for the family {family}")
     q = F.least(F.greatest(F.col("p"), F.lit(CLIP)), F.lit(1 - CLIP))
-    tie = (F.col("y") > 0).cast("double")
-    ranked = seen.withColumn("y", tie).withColumn("rank", average_rank("p"))
-    basic = ranked.agg(
+    seen = seen.withColumn("y", (F.col("y") > 0).cast("double"))
+    basic = seen.agg(
         F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))).alias("brier"),
         (-F.avg(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))).alias("log_loss"),
-        F.sum(F.col("rank") * F.col("y")).alias("ranks"), F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"),
+        F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"),
     )
-    # precision at each distinct score, counted from above, weighted by the ties found there
-    steps = ranked.groupBy("p").agg(F.sum("y").alias("hits"), F.count("*").alias("n"))
-    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.withColumn("precision", F.sum("hits").over(above) / F.sum("n").over(above)).agg(F.try_divide(F.sum(F.col("hits") * F.col("precision")), F.sum("hits")).alias("auprc"))
-    auroc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")))
+    # at each distinct score: misses below it, half of those at it, and the precision counted from above, weighted by the hits there
+    steps = running_sums(seen.groupBy("p").agg(F.sum("y").alias("hits"), F.sum(1 - F.col("y")).alias("misses")), "p", ["hits", "misses"])
+    hits, misses = F.col("hits"), F.col("misses")
+    over = F.col("n1") - F.col("hits_upto") + hits
+    precision = over / (over + F.col("n0") - F.col("misses_upto") + misses)
+    curve = steps.crossJoin(F.broadcast(basic.select("n1", "n0"))).agg(F.try_divide(F.sum(hits * precision), F.sum(hits)).alias("auprc"), F.sum(hits * (F.col("misses_upto") - misses / 2)).alias("above"))
+    auroc = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("above") / (F.col("n1") * F.col("n0")))
     return basic.crossJoin(curve).select("brier", "log_loss", auroc.alias("auroc"), "auprc")
 
 
@@ -67,8 +68,9 @@ def pit(draws: DataFrame, observed: DataFrame, discrete: bool = False, by: tuple
 
 def pit_summary(values: DataFrame, level: float = 0.9) -> DataFrame:
     """One row: n, mean, Kolmogorov-Smirnov distance from the uniform, and the share within the central interval."""
-    order = Window.partitionBy(F.lit(1)).orderBy("pit")
-    ranked = values.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    low = (1 - level) / 2
-    gap = F.greatest(F.col("k") / F.col("n") - F.col("pit"), F.col("pit") - (F.col("k") - 1) / F.col("n"))
-    return ranked.agg(F.count("*").alias("n"), F.avg("pit").alias("mean"), F.max(gap).alias("ks"), F.avg(F.col("pit").between(low, 1 - low).cast("double")).alias("coverage"))
+    low, pit_ = (1 - level) / 2, F.col("pit")
+    basic = values.agg(F.count("*").alias("n"), F.avg("pit").alias("mean"), F.avg(pit_.between(low, 1 - low).cast("double")).alias("coverage"))
+    steps = running_sums(values.where("pit is not null").groupBy("pit").agg(F.count("*").alias("c")), "pit", ["c"])
+    gap = F.greatest(F.col("c_upto") / F.col("n") - pit_, pit_ - (F.col("c_upto") - F.col("c")) / F.col("n"))
+    worst = steps.crossJoin(F.broadcast(basic.select("n"))).agg(F.max(gap).alias("ks"))
+    return basic.crossJoin(worst).select("n", "mean", "ks", "coverage")

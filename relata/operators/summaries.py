@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relata.operators.running import running_sums
+
 Terms = Sequence[str]
 
 
@@ -181,11 +183,13 @@ def psis_loo(loglik: DataFrame, by: Terms = ("t", "i", "j")) -> DataFrame:
     by = list(by)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in loglik.schema if f.name in by), "elpd double, k double"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        elpd, k = psis_point(pdf["ll"].to_numpy(float))
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "elpd": [elpd], "k": [k]})
+    def many(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a bucket has many points, as a call for each would cost more than its work
+        found = [(*(key if isinstance(key, tuple) else (key,)), *psis_point(one.to_numpy(float))) for key, one in pdf.groupby(by, sort=False, dropna=False)["ll"]]
+        return pd.DataFrame(found, columns=[*by, "elpd", "k"])
 
-    return loglik.groupBy(*by).applyInPandas(one, schema)
+    buckets = 8 * int(loglik.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return loglik.groupBy(F.pmod(F.xxhash64(*by), F.lit(buckets))).applyInPandas(many, schema)
 
 
 def saved_draws(draws: DataFrame, n: int, seed: int = 6886) -> DataFrame:
@@ -197,8 +201,8 @@ def saved_draws(draws: DataFrame, n: int, seed: int = 6886) -> DataFrame:
 
 def weighted_quantile(values: DataFrame, probs: Sequence[float], value: str = "value", weight: str = "weight") -> DataFrame:
     """(prob, value): the least value at which the cumulative share of the weight reaches prob."""
-    order = Window.partitionBy(F.lit(1)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    per = values.groupBy(value).agg(F.sum(weight).alias("w"))
-    share = per.withColumn("share", F.sum("w").over(order) / F.sum("w").over(Window.partitionBy(F.lit(1))))
+    per = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(weight).alias("w"))
+    total = per.agg(F.sum("w").alias("total"))
+    share = running_sums(per, value, ["w"]).crossJoin(F.broadcast(total)).withColumn("share", F.col("w_upto") / F.col("total"))
     asked = values.sparkSession.createDataFrame([(float(p),) for p in probs], "prob double")
     return share.join(F.broadcast(asked), F.col("share") >= F.col("prob") - 1e-12).groupBy("prob").agg(F.min(value).alias("value"))

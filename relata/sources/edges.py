@@ -32,17 +32,20 @@ def actors_of(edges: DataFrame, by_period: bool = True, square: bool = True) ->
     return rows, columns
 
 
-def deduplicate(edges: DataFrame, how: str = "last", order: str | None = None, key: Sequence[str] = ("t", "i", "j"), value: str = "y") -> DataFrame:
-    """One row per pair: the last by the ordering column, or the sum."""
+def deduplicate(edges: DataFrame, how: str = "max", order: str | None = None, key: Sequence[str] = ("t", "i", "j"), value: str = "y") -> DataFrame:
+    """One row per pair: the largest value, the sum, or the last by an ordering column."""
     if how == "sum":
         return edges.groupBy(*key).agg(F.sum(value).alias(value))
+    if how == "max":
+        return edges.groupBy(*key).agg(F.max(value).alias(value))
     if how != "last":
-        raise ValueError("how is last or sum")
-    by = F.col(order) if order else F.lit(0)
-    return edges.groupBy(*key).agg(F.max_by(value, F.struct(by, value)).alias(value))
+        raise ValueError("how is max, sum or last")
+    if order is None:
+        raise ValueError("last needs an ordering column")
+    return edges.groupBy(*key).agg(F.max_by(value, F.struct(order, value)).alias(value))
 
 
-def edges_to_dyads(edges: DataFrame, directed: bool = True, square: bool = True, dedupe: str = "last", order: str | None = None, actors: DataFrame | None = None) -> DataFrame:
+def edges_to_dyads(edges: DataFrame, directed: bool = True, square: bool = True, dedupe: str = "max", order: str | None = None, actors: DataFrame | None = None) -> DataFrame:
     """Edges (t, i, j[, y]) on the full spine: no edge is 0, the diagonal is null if no self-loop occurs.
 
     Undirected: the value of a pair is the sum of both directions, so a pair that is listed both ways doubles.
