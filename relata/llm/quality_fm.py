@@ -122,6 +122,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(n, text, feature, x)[0].astype(np.float64), -35, 35)))
 
 
+def rows_of(m: Machine, parts: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and weights of all rows, one after the other, and where each begins: its words, then its bins."""
+    bins = m.binned(values).astype(np.int32)
+    scale = np.full(bins.shape[1], 2 / np.sqrt(bins.shape[1]), np.float32)
+    starts = np.concatenate([[0], np.cumsum([len(f) + bins.shape[1] for f, _ in parts])])
+    features = np.concatenate([a for (f, _), b in zip(parts, bins) for a in (f, b)])
+    weights = np.concatenate([a for _, x in parts for a in (x, scale)])
+    return starts, features, weights
+
+
 def train(parts: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray, labels: np.ndarray, steps: int = STEPS, rate: float = 0.1, decay: float = 1e-5, batch: int = 128) -> Machine:
     """Adagrad on logistic loss. parts: features and weights of each text's words."""
     quantiles = np.linspace(0, 1, BINS)[1:-1]
@@ -134,21 +144,31 @@ def train(parts: list[tuple[np.ndarray, np.ndarray]], values: np.ndarray, labels
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     m.bias = float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(m.w.shape, 1e-3, np.float32), np.full(m.v.shape, 1e-3, np.float32), 1e-3
+    starts, features, weights = rows_of(m, parts, values)
+    sizes = np.diff(starts)
+    held, place_of = np.zeros(len(m.w), bool), np.zeros(len(m.w), np.int64)
     rng = np.random.default_rng(SEED)
     for _ in range(-(-steps * batch // len(labels))):
         order = rng.permutation(len(labels))
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
             n = len(rows)
-            text = np.repeat(np.arange(n), [len(parts[r][0]) for r in rows])
-            text, feature, x = m.rows(n, text, np.concatenate([parts[r][0] for r in rows]), np.concatenate([parts[r][1] for r in rows]), values[rows])
-            raw, sums = m.raw(n, text, feature, x)
+            text = np.repeat(np.arange(n), sizes[rows])
+            at = np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(sizes[rows])[:-1]]), sizes[rows]) + np.arange(len(text))
+            feature = features[at]
+            held[feature] = True
+            used = np.flatnonzero(held)
+            held[used] = False
+            place_of[used] = np.arange(len(used))
+            # dense over the features that the batch uses: at most 128 x 33,000 values
+            x = np.zeros((n, len(used)), np.float32)
+            x[text, place_of[feature]] = weights[at]
+            squared, w, v = x * x, m.w[used], m.v[used]
+            sums = x @ v
+            raw = m.bias + x @ w + 0.5 * ((sums * sums).sum(axis=1) - squared @ (v * v).sum(axis=1))
             error = ((1 / (1 + np.exp(-np.clip(raw, -35, 35))) - labels[rows]) / n).astype(np.float32)
-            each = error[text] * x
-            used, place = np.unique(feature, return_inverse=True)
-            dw = np.bincount(place, each, len(used)) + decay * m.w[used]
-            change = each[:, None] * (sums[text] - m.v[feature] * x[:, None])
-            dv = np.column_stack([np.bincount(place, change[:, f], len(used)) for f in range(FACTORS)]) + decay * m.v[used]
+            dw = x.T @ error + decay * w
+            dv = x.T @ (error[:, None] * sums) - (squared.T @ error)[:, None] * v + decay * v
             gw[used] += dw * dw
             gv[used] += dv * dv
             m.w[used] -= (rate * dw / np.sqrt(gw[used])).astype(np.float32)
