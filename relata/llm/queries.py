@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from relata.llm import chat_format, decontamination, hnsw, language_id, pii_surrogates, quality_fm, simhash_dedup, source_mixing, url_rules, warc_index
+from relata.llm import chat_format, decontamination, fill_in_middle, hnsw, language_id, periodic_runs, piece_encoding, pii_surrogates, quality_fm
+from relata.llm import simhash_dedup, source_mixing, url_rules, warc_index
 
 QUERIES = {
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
@@ -15,6 +16,9 @@ QUERIES = {
     "op10_hnsw": hnsw.op10_hnsw,
     "op7_chat_format": chat_format.op7_chat_format,
     "op4_decontaminate": decontamination.op4_decontaminate,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_piece_encoding": piece_encoding.op13_piece_encoding,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_hnsw": hnsw.ORACLE,
     "op2_warc_index": warc_index.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
