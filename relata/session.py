@@ -46,8 +46,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
-#: Paths handed out in this process, for `remove_scratch`.
+#: Paths handed out in this process, and tables over some of them, for `remove_scratch`.
 _SCRATCH: list[str] = []
+_TABLES: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -60,6 +61,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def remove_scratch(spark: SparkSession) -> int:
     """Deletes what this process wrote below the shared folder; for the end of a job, as results are read from there until then."""
     jvm, n = spark.sparkContext._jvm, 0
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _SCRATCH:
         path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
@@ -75,3 +78,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """As `written`, as a table in buckets of `key`: joins and groupings on it leave the rows where they are.
+
+    Rows should come dealt out by `key` into as many partitions, so that each bucket is one file.
+    """
+    path, name = scratch_path(df.sparkSession, label), f"relata_{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    _TABLES.append(name)
+    return df.sparkSession.table(name)
