@@ -39,6 +39,14 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.lit(0).alias("t"), "i", "j", F.lit(1.0).alias("y"))
 
 
+def spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j, items, price, discount): customer i's items from supplier j, what they cost, and their mean discount in tenths."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    pairs = items.join(orders, items.l_orderkey == orders.o_orderkey).groupBy(F.col("o_custkey").cast("string").alias("i"), F.col("l_suppkey").cast("string").alias("j"))
+    return pairs.agg(F.count("*").cast("double").alias("items"), F.sum("l_extendedprice").cast("double").alias("price"), (10 * F.avg("l_discount")).cast("double").alias("discount"))
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, i, j, y, x): events of user i of type j in week t, and the sum of their values."""
     e = read(spark, sf_dir, "events")
@@ -64,6 +72,10 @@ TRADE_SQL = """trade AS (
 PURCHASES_SQL = """purchases AS (
   SELECT DISTINCT CAST(o.o_custkey AS VARCHAR(9)) AS i, CAST(l.l_suppkey AS VARCHAR(9)) AS j FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 )"""
+SPENDING_SQL = """spending AS (
+  SELECT CAST(o.o_custkey AS VARCHAR(9)) AS i, CAST(l.l_suppkey AS VARCHAR(9)) AS j, CAST(count(*) AS DOUBLE) AS items, CAST(sum(l.l_extendedprice) AS DOUBLE) AS price, CAST(10 * avg(l.l_discount) AS DOUBLE) AS discount
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2
+)"""
 ACTIVITY_SQL = """activity AS (
   SELECT CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) AS t, CAST(user_id AS VARCHAR(9)) AS i, event_type AS j, CAST(count(*) AS DOUBLE) AS y, sum(value) AS x
   FROM events GROUP BY 1, 2, 3

@@ -45,19 +45,6 @@ def reciprocity_profile(cells: DataFrame, rhos: Sequence[float], s2: float = 1.0
     return grid.select(*by, "rho", value.alias("log_likelihood"))
 
 
-def irls_poisson(y: Column, eta: Column) -> tuple[Column, Column]:
-    """Working response and weight of a Poisson response, with steps and weights kept in bounds."""
-    mu = F.exp(F.least(F.greatest(eta, F.lit(-20.0)), F.lit(20.0)))
-    return eta + F.least(F.greatest((y - mu) / mu, F.lit(-30.0)), F.lit(30.0)), F.greatest(mu, F.lit(1e-6))
-
-
-def irls_logit(y: Column, eta: Column) -> tuple[Column, Column]:
-    e = F.least(F.greatest(eta, F.lit(-30.0)), F.lit(30.0))
-    p = F.least(F.greatest(1 / (1 + F.exp(-e)), F.lit(1e-6)), F.lit(1 - 1e-6))
-    w = F.greatest(p * (1 - p), F.lit(1e-8))
-    return eta + F.least(F.greatest((y - p) / w, F.lit(-30.0)), F.lit(30.0)), w
-
-
 def poisson_deviance(y: Column, mu: Column) -> Column:
     """An aggregate: twice the log ratio to the saturated fit."""
     return 2 * F.sum(F.when(y > 0, y * F.log(y / mu)).otherwise(0.0) - (y - mu))

@@ -14,12 +14,17 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from relata.functions import distributions as dist
+from relata.functions.links import deviance, working_response
 from relata.functions.linear import align_series, procrustes, rebalance, safe_solve, truncate
 from relata.operators.regression import degrees_of_freedom
 from relata.plans.arrays import Panel
 from relata.plans.gibbs import ALIASES, path_precision
 
 
+#: Times that a step which raises the deviance is halved.
+HALVINGS = 8
+
+
 @dataclass
 class AlsOptions:
     family: str = "normal"
@@ -57,35 +62,6 @@ class AlsOptions:
             raise ValueError("snap estimates are for normal responses")
 
 
-def irls_poisson(y, eta):
-    """Working response and weight, with eta, steps and weights kept in bounds."""
-    mu = np.exp(np.clip(eta, -20, 20))
-    return eta + np.clip((y - mu) / mu, -30, 30), np.maximum(mu, 1e-6)
-
-
-def irls_binary(y, eta, link: str = "probit"):
-    if link == "logit":
-        p = np.clip(1 / (1 + np.exp(-np.clip(eta, -30, 30))), 1e-6, 1 - 1e-6)
-        w = np.maximum(p * (1 - p), 1e-8)
-        return eta + np.clip((y - p) / w, -30, 30), w
-    e = np.clip(eta, -8, 8)
-    p = np.clip(dist.ndtr(e), 1e-6, 1 - 1e-6)
-    d = np.maximum(np.exp(-0.5 * e * e) / np.sqrt(2 * np.pi), 1e-8)
-    return e + np.clip((y - p) / d, -30, 30), np.maximum(d * d / (p * (1 - p)), 1e-8)
-
-
-def deviance(y, eta, family: str, link: str = "probit") -> float:
-    seen = ~np.isnan(y)
-    y, eta = y[seen], eta[seen]
-    if family == "normal":
-        return float(((y - eta) ** 2).sum())
-    if family == "poisson":
-        mu = np.exp(np.clip(eta, -20, 20))
-        return float(2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0.0) - (y - mu)).sum())
-    p = np.clip(dist.ndtr(eta) if link == "probit" else 1 / (1 + np.exp(-eta)), 1e-12, 1 - 1e-12)
-    return float(-2 * (y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
-
-
 def working(y: np.ndarray, family: str) -> np.ndarray:
     """The transformed response: y, log(y + 1), or normal scores per period parted at zero."""
     if family == "normal":
@@ -167,17 +143,21 @@ class Als:
         z = working(self.y, self.o.family)
         seen = (~np.isnan(self.y)).astype(float)
         self.descend(np.nan_to_num(z), seen, max(20, self.o.max_iter // 4))
-        y = np.nan_to_num(self.y)
-        best, kept = deviance(self.y, self.eta(), self.o.family, self.o.link), self.save()
+        y, link = np.nan_to_num(self.y), self.o.link if self.o.family == "binary" else None
+        best, kept = deviance(self.y, self.eta(), self.o.family, link), self.save()
         for _ in range(self.o.irls_max):
-            z, w = irls_poisson(y, self.eta()) if self.o.family == "poisson" else irls_binary(y, self.eta(), self.o.link)
+            z, w = working_response(y, self.eta(), self.o.family, link)
             self.descend(z, w * seen, max(20, self.o.max_iter // 4))
-            now = deviance(self.y, self.eta(), self.o.family, self.o.link)
-            if now < best:
-                gain, best, kept = (best - now) / (abs(best) + 1e-12), now, self.save()
-                if gain < self.o.irls_tol:
+            now = deviance(self.y, self.eta(), self.o.family, link)
+            for _ in range(HALVINGS):
+                if np.isfinite(now) and now <= best:
                     break
-            else:
+                self.load({k: (v + getattr(self, k)) / 2 for k, v in kept.items()})
+                now = deviance(self.y, self.eta(), self.o.family, link)
+            if not (np.isfinite(now) and now < best):
+                break
+            gain, best, kept = (best - now) / (abs(best) + 1e-12), now, self.save()
+            if gain < self.o.irls_tol:
                 break
         self.load(kept)
         return self

@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,8 +117,11 @@ def start(actors: DataFrame, rank: int, seed: int, zero: bool) -> DataFrame:
     return written(actors.withColumn("position", F.array(F.lit(0.0), *[F.lit(0.0) if zero else uniform(k) for k in range(rank)])), "positions")
 
 
-def half_sweep(tiles: Tiles, side: str, state: State, names: list[str], rank: int, z: str, w: str | None) -> DataFrame:
-    """(actor, position, spread) of one side given the other: exact minimisers, and the diagonal of each inverse."""
+def half_sweep(tiles: Tiles, side: str, state: State, names: list[str], rank: int, z: str, w: str | None) -> tuple[DataFrame, float, float]:
+    """(actor, position, spread) of one side given the other: exact minimisers, and the diagonal of each inverse; the mean effect, and the penalty.
+
+    The last two are observed while the positions are written, so they take no job of their own.
+    """
     own, other, number = ("i", "columns", "jl") if side == "rows" else ("j", "rows", "il")
     width, weight = rank + 1, F.col(w) if w else F.lit(1.0)
     cells = tiles.cells.join(gathered(getattr(tiles, other), getattr(state, other), "far"), "tile")
@@ -143,12 +146,15 @@ def half_sweep(tiles: Tiles, side: str, state: State, names: list[str], rank: in
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), width).cast(pa.list_(pa.float64())) for x in (position, spread)]
             yield pa.RecordBatch.from_arrays([batch.column("actor"), *lists], names=["actor", "position", "spread"])
 
-    return written(cells.groupBy(F.col(own).alias("actor")).agg(*sums).mapInArrow(solve, schema), "positions")
+    solved = cells.groupBy(F.col(own).alias("actor")).agg(*sums).mapInArrow(solve, schema)
+    seen, entry = Observation(), lambda k: F.get("position", F.lit(k))
+    squares = sum((float(r) * entry(k + 1) * entry(k + 1) for k, r in enumerate(state.ridge[side])), F.lit(0.0))
+    out = written(solved.observe(seen, F.avg(entry(0)).alias("mean"), F.sum(squares).alias("penalty")), "positions")
+    return out, seen.get["mean"] or 0.0, seen.get["penalty"] or 0.0
 
 
-def centred(positions: DataFrame) -> DataFrame:
+def centred(positions: DataFrame, mean: float) -> DataFrame:
     """Effects less their mean over the actors; the intercept takes the mean up at its next update."""
-    mean = positions.agg(F.avg(F.get("position", F.lit(0)))).first()[0] or 0.0
     return positions.select("actor", F.transform("position", lambda x, k: F.when(k == 0, x - mean).otherwise(x)).alias("position"))
 
 
@@ -187,12 +193,14 @@ def _sweeps(tiles: Tiles, state: State, names: list[str], rank: int, z: str, w:
     """State, penalised objective, sweeps made, and whether the objective has settled."""
     last, objective, done, weight = np.inf, np.inf, 0, F.col(w) if w else F.lit(1.0)
     for done in range(1, sweeps + 1):
+        penalties = 0.0
         for side in ("rows", "columns"):
-            solved = half_sweep(tiles, side, state, names, rank, z, w)
-            setattr(state, side, centred(solved) if centre else solved.select("actor", "position"))
+            solved, mean, part = half_sweep(tiles, side, state, names, rank, z, w)
+            setattr(state, side, centred(solved, mean) if centre else solved.select("actor", "position"))
+            penalties += part
         xx, xz, zz = _weighted_products(with_eta(tiles, state, names, rank), names, F.col(z) - F.col("base"), weight)
         state.beta = safe_solve(xx, xz)
-        objective = zz - 2 * float(state.beta @ xz) + float(state.beta @ xx @ state.beta) + penalty(state, rank)
+        objective = zz - 2 * float(state.beta @ xz) + float(state.beta @ xx @ state.beta) + penalties
         if abs(last - objective) <= tol * (abs(objective) + 1e-12):
             return state, objective, done, True
         last = objective
@@ -206,7 +214,7 @@ def _empirical_ridge(tiles: Tiles, state: State, names: list[str], rank: int, z:
     """
     out = {}
     for side in ("rows", "columns"):
-        spread = half_sweep(tiles, side, state, names, rank, z, w).select("actor", "spread")
+        spread = half_sweep(tiles, side, state, names, rank, z, w)[0].select("actor", "spread")
         both = getattr(state, side).join(spread, "actor")
         moment = lambda k: F.sum(F.pow(F.get("position", F.lit(k)), 2) + F.get("spread", F.lit(k)))
         n, *sums = both.agg(F.count("*"), *[moment(k) for k in range(1, rank + 1)]).first()

@@ -1,23 +1,12 @@
-"""The additive model for networks that no worker could hold: every block is an aggregation.
-
-Coefficients come from p x p sums, of which X'X is made once; effects are means
-of residuals per actor. A sweep reads the cells three times with partial sums and
-shuffles one row per actor and task. The effect tables, one row per actor, are
-written every sweep, so plans stay short and a lost executor costs one sweep.
-"""
+"""The additive model for networks that no worker could hold: the block fit without factors."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from relata.functions.linear import conditioned_solver
-from relata.operators.design import linear_predictor
-from relata.operators.regression import normal_equations
-from relata.session import written
+from relata.plans.blocks import BlockFit, block_fit
 
 
 @dataclass
@@ -28,40 +17,16 @@ class AdditiveFit:
     sse: float
     sweeps: int
     converged: bool
+    blocks: BlockFit
 
     def residuals(self, cells: DataFrame) -> DataFrame:
-        return with_effects(linear_predictor(cells, self.beta, "eta"), self.rows, self.columns).withColumn("residual", F.col("y") - F.col("eta") - F.col("a") - F.col("b"))
-
-
-def with_effects(cells: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    a = rows.select(F.col("actor").alias("i"), F.col("effect").alias("a"))
-    b = columns.select(F.col("actor").alias("j"), F.col("effect").alias("b"))
-    out = cells.join(a, "i", "left").join(b, "j", "left")
-    return out.withColumn("a", F.coalesce("a", F.lit(0.0))).withColumn("b", F.coalesce("b", F.lit(0.0)))
+        return self.blocks.residuals(cells)
 
 
 def additive_fit(cells: DataFrame, names: list[str], max_sweeps: int = 50, tol: float = 1e-8) -> AdditiveFit:
-    """Least squares of y on the named columns (with an intercept among them) and centred effects of senders and receivers."""
-    seen = written(cells.where(F.col("y").isNotNull()).select("i", "j", "y", *names), "cells")  # read three times a sweep
-    xx = normal_equations(seen, names, (), "y")[()][0]
-    solve = conditioned_solver(xx)
-    zero = lambda c: seen.select(F.col(c).alias("actor")).distinct().withColumn("effect", F.lit(0.0))
-    rows, columns = written(zero("i"), "effects"), written(zero("j"), "effects")
-    beta, last, converged, sweep = np.zeros(len(names)), np.inf, False, 0
-    for sweep in range(1, max_sweeps + 1):
-        rest = with_effects(seen, rows, columns).withColumn("r", F.col("y") - F.col("a") - F.col("b"))
-        sums = rest.agg(*[F.sum(F.col(n) * F.col("r")).alias(n) for n in names]).first()
-        beta = solve(np.array([sums[n] for n in names]))
-        left = linear_predictor(seen, dict(zip(names, beta)), "eta").withColumn("e", F.col("y") - F.col("eta"))
-        for side in ("rows", "columns"):
-            mine, other = ("i", columns.withColumnRenamed("actor", "j")) if side == "rows" else ("j", rows.withColumnRenamed("actor", "i"))
-            mean = left.join(other, other.columns[0]).groupBy(F.col(mine).alias("actor")).agg(F.avg(F.col("e") - F.col("effect")).alias("effect"))
-            centre = mean.agg(F.avg("effect").alias("c"))
-            table = written(mean.crossJoin(F.broadcast(centre)).select("actor", (F.col("effect") - F.col("c")).alias("effect")), "effects")
-            rows, columns = (table, columns) if side == "rows" else (rows, table)
-        sse = with_effects(left, rows, columns).agg(F.sum((F.col("e") - F.col("a") - F.col("b")) ** 2)).first()[0] or 0.0
-        if abs(last - sse) <= tol * (sse + 1e-12):
-            converged = True
-            break
-        last = sse
-    return AdditiveFit(dict(zip(names, map(float, beta))), rows, columns, float(sse), sweep, converged)
+    """Least squares of y on the named columns (with an intercept among them) and centred effects of senders and receivers.
+
+    Effects are solved side by side, each from one pass over the cells, then the coefficients.
+    """
+    fit = block_fit(cells, names, sweeps=max_sweeps, tol=tol)
+    return AdditiveFit(fit.beta, fit.rows.drop("position"), fit.columns.drop("position"), fit.objective, fit.sweeps, fit.converged, fit)

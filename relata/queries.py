@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relata import datasets as d
+from relata.functions import links
 from relata.operators import components, design, dyads, evaluation, regression, statistics, summaries
 from relata.session import written
 from relata.sources import edges
@@ -444,15 +445,15 @@ def reciprocity_likelihood(spark, sf_dir):
     return rounded(dyads.reciprocity_profile(_residuals(spark, sf_dir), (-0.5, 0.0, 0.5)))
 
 
-@query(with_(PANEL_SQL, RESIDUAL_SQL, select=f"SELECT t, i, j, {r('eta + least(greatest((y - exp(eta)) / exp(eta), -30), 30)', 'z')}, {r('greatest(exp(eta), 1e-6)', 'w')} FROM ee WHERE y IS NOT NULL"))
+@query(with_(PANEL_SQL, RESIDUAL_SQL, select=f"SELECT t, i, j, {r('eta + (y - exp(eta)) / exp(eta)', 'z')}, {r('exp(eta)', 'w')} FROM ee WHERE y IS NOT NULL"))
 def irls_working_poisson(spark, sf_dir):
-    z, w = dyads.irls_poisson(F.col("y"), F.col("eta"))
+    z, w = links.working_columns(F.col("y"), F.col("eta"), "poisson")
     return rounded(_residuals(spark, sf_dir).where("y is not null").select("t", "i", "j", z.alias("z"), w.alias("w")))
 
 
-@query(with_(PANEL_SQL, RESIDUAL_SQL, "lo AS (SELECT t, i, j, CASE WHEN y > 2 THEN 1.0 ELSE 0.0 END AS v, eta - 1 AS f, 1 / (1 + exp(-(eta - 1))) AS p FROM ee WHERE y IS NOT NULL)", select=f"SELECT t, i, j, {r('f + least(greatest((v - p) / (p * (1 - p)), -30), 30)', 'z')}, {r('p * (1 - p)', 'w')} FROM lo"))
+@query(with_(PANEL_SQL, RESIDUAL_SQL, "lo AS (SELECT t, i, j, CASE WHEN y > 2 THEN 1.0 ELSE 0.0 END AS v, eta - 1 AS f, 1 / (1 + exp(-(eta - 1))) AS p FROM ee WHERE y IS NOT NULL)", select=f"SELECT t, i, j, {r('f + (v - p) / (p * (1 - p))', 'z')}, {r('p * (1 - p)', 'w')} FROM lo"))
 def irls_working_logit(spark, sf_dir):
-    z, w = dyads.irls_logit(F.when(F.col("y") > 2, 1.0).otherwise(0.0), F.col("eta") - 1)
+    z, w = links.working_columns(F.when(F.col("y") > 2, 1.0).otherwise(0.0), F.col("eta") - 1, "binary")
     return rounded(_residuals(spark, sf_dir).where("y is not null").select("t", "i", "j", z.alias("z"), w.alias("w")))
 
 

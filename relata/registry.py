@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relata import conditional_queries, queries  # noqa: F401 - the first adds its queries to those of the second
+from relata import block_queries, conditional_queries, queries  # noqa: F401 - the others add their queries to those of the last
 
 QUERIES = dict(queries.QUERIES)
 ORACLE_SQL = dict(queries.ORACLE_SQL)
