@@ -17,7 +17,9 @@ between ranges, as the page is part of the key.
 Defined results: null payloads are empty, null URLs have an empty key and come
 first; a null page refers to nothing, is a response, and comes first among its
 equals; of repeated rows with the largest page_id all are responses; rows with
-equal page_id and payload are equal captures in any order; an empty table gives
+equal page_id and payload are equal captures in any order; negative pages were
+captured before page 0, and times stay within the years 1 to 9999; a very long
+payload is in memory a few times, as text, record and member; an empty table gives
 no archive and no row; extra columns are not read.
 """
 
@@ -28,7 +30,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyarrow import fs
@@ -42,10 +44,11 @@ MIN_REVISIT = 1000
 FILE_BYTES = 64 << 20
 #: Captures that one task merges, about.
 RANGE_ROWS = 50_000
-#: Time of capture of page 0; pages carry no time, so page n counts as captured n seconds later.
-FIRST_CAPTURE = 1_577_836_800
-#: Times end with the year 9999.
-LAST_SECOND = 251_824_723_200
+#: Time of capture of page 0; pages carry no time, so page n counts as captured n seconds later, or before if n is negative.
+FIRST_CAPTURE = datetime(2020, 1, 1, tzinfo=UTC)
+#: Seconds from there to the first and the last that a date can have, in the years 1 and 9999; times beyond stay there.
+EARLIEST = int((datetime(1, 1, 1, tzinfo=UTC) - FIRST_CAPTURE).total_seconds())
+LATEST = int((datetime(9999, 12, 31, 23, 59, 59, tzinfo=UTC) - FIRST_CAPTURE).total_seconds())
 LEVEL = 4
 
 CAPTURES = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, offset long, length long"
@@ -62,8 +65,9 @@ def url_key(url: str) -> str:
     return ",".join(reversed(rest[:cut].lower().split("."))) + ")" + (rest[cut:] or "/")
 
 
-def capture_time(page_id: int | None) -> datetime:
-    return datetime.fromtimestamp(FIRST_CAPTURE + (page_id or 0) % LAST_SECOND, UTC)
+def capture_time(page_id: int | None) -> str:
+    seconds = min(max(page_id or 0, EARLIEST), LATEST)
+    return (FIRST_CAPTURE + timedelta(seconds=seconds)).isoformat(timespec="seconds").replace("+00:00", "Z")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -76,7 +80,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {name(page_id)}",
-        f"WARC-Date: {capture_time(page_id):%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Date: {capture_time(page_id)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         "Content-Type: application/http; msgtype=response",
     ]

@@ -76,3 +76,16 @@ def test_members_over_pieces_and_files(tmp_path, monkeypatch):
 
 def test_empty_table(spark, tmp_path):
     assert w.archive_and_index(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e").count() == 0
+
+
+def test_any_page_id(spark, tmp_path):
+    """Ids around the bounds of dates, negative and of 64 bits: all are captured, before page 0 if negative, in order of the ids."""
+    ids = [-1, -259_200, -259_201, -(10**12), -(2**63), 0, 1, 251_824_463_999, 251_824_464_000, 251_824_723_199, 2**62, 2**63 - 1]
+    pages = [(k, "http://a.org/", "z" * 1200 if k % 2 else f"own {k}") for k in ids]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    got = w.archive_and_index(frame, f"file://{tmp_path}/n", range_rows=5).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(plain(pages))
+    got.sort(key=lambda r: (r.range, r.place))
+    assert [r.page_id for r in got] == sorted(ids)
+    times = {r.page_id: r.captured for r in got}
+    assert times[0] == "20200101000000" and times[-1] == "20191231235959" and times[-(2**63)] == "00010101000000" and times[2**62] == "99991231235959"
