@@ -25,8 +25,11 @@ counts once; an empty test set hits nothing; extra columns are carried by
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm.frames import batch_of, fresh, table
-from relata.llm.words import LOWER, mix, placed_word_hashes, slices, text_offsets, utf8
+from relata.llm.words import LOWER, keyed_word_hashes, mix, placed_word_hashes, slices, text_offsets, utf8
 from relata.session import scratch_path
 
 WINDOW = 10
@@ -60,9 +63,19 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class NeedleBlock:
     """Some test items: their words, the windows that begin in them, and the search keys. Equal windows are one, with a list of places and a set of items."""
 
-    def __init__(self, ids: list[str | None], texts: list[str], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str], window: int, seeds: Iterable[int] | None = None):
         data, offsets = utf8(pa.array(texts, pa.string()))
-        words, lengths, bounds, starts = placed_word_hashes(data, offsets)
+        _, lengths, bounds, starts = placed_word_hashes(data, offsets)
+        # the first seed under which no two of these words have one hash; nearly always the first of all
+        for self.seed in count() if seeds is None else seeds:
+            words = keyed_word_hashes(data, starts, lengths, self.seed)
+            # the distinct words as bytes, to verify what hashes find
+            self.known, first = np.unique(words, return_index=True)
+            self.known_size = lengths[first]
+            self.known_at = np.cumsum(self.known_size) - self.known_size
+            self.known_bytes = LOWER[data[spread(starts[first], self.known_size)]]
+            if not len(self.unlike(data, starts, lengths, words, np.arange(len(words)))):
+                break
         self.ids, self.words, self.window = ids, words, window
         sizes = np.diff(bounds)
         item = np.repeat(np.arange(len(texts)), sizes)
@@ -77,13 +90,6 @@ class NeedleBlock:
         self.leads = np.unique(lead_keys(words, self.lead)[at])
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[(self.leads >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
-        # the distinct words as bytes, to verify what hashes find
-        self.known, first = np.unique(words, return_index=True)
-        self.known_size = lengths[first]
-        self.known_at = np.cumsum(self.known_size) - self.known_size
-        self.known_bytes = LOWER[data[spread(starts[first], self.known_size)]]
-        if len(self.unlike(data, starts, lengths, words, np.arange(len(words)))):
-            raise RuntimeError("two words of the test set have the same hash")
         # the distinct windows, their places in order, and the items that have them
         low, one, uid = np.unique(suffix_keys(words, at, at + width, window, 0), return_index=True, return_inverse=True)
         self.low, self.high, self.width = low, suffix_keys(words, at[one], at[one] + width[one], window, 0xFFFFFFFFFFFFFFFF), width[one]
@@ -190,21 +196,26 @@ class Shard:
 
     def __init__(self, texts: pa.Array):
         self.data, offsets = utf8(texts)
-        self.words, self.lengths, self.bounds, self.starts = placed_word_hashes(self.data, offsets)
+        _, self.lengths, self.bounds, self.starts = placed_word_hashes(self.data, offsets)
+        self.hashes = {}
         n = len(texts)
-        self.hit = np.zeros(len(self.words), bool)
+        self.hit = np.zeros(len(self.starts), bool)
         self.best, self.best_at, self.best_item = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
         self.items: dict[int, set[str]] = {}
 
     def meet(self, block: NeedleBlock) -> None:
-        at, uid, end = occurrences(block, self.words, self.bounds)
+        words = self.hashes.get(block.seed)
+        if words is None:
+            words = self.hashes[block.seed] = keyed_word_hashes(self.data, self.starts, self.lengths, block.seed)
+        at, uid, end = occurrences(block, words, self.bounds)
         while len(at):
-            inside = covered(at, block.width[uid], len(self.words))
-            other = block.unlike(self.data, self.starts, self.lengths, self.words, np.flatnonzero(inside))
+            inside = covered(at, block.width[uid], len(words))
+            other = block.unlike(self.data, self.starts, self.lengths, words, np.flatnonzero(inside))
             if not len(other):
                 break
-            self.words[other] = 0  # no word of a test item
-            at, uid, end = occurrences(block, self.words, self.bounds)
+            words = words.copy()
+            words[other] = 0  # no word of this block's items
+            at, uid, end = occurrences(block, words, self.bounds)
         if not len(at):
             return
         self.hit |= inside
@@ -224,7 +235,7 @@ class Shard:
         todo = (place == 0) | (run[place] != run[np.maximum(place - 1, 0)])
         for rest in (todo, ~todo):
             rest = np.flatnonzero(rest & (bound > self.best[doc]))
-            size, where = longest(block, self.words, at[rest], uid[rest], end[rest])
+            size, where = longest(block, words, at[rest], uid[rest], end[rest])
             order = np.lexsort((where, at[rest], -size, doc[rest]))
             for k in order[np.flatnonzero(np.diff(doc[rest][order], prepend=-1))]:
                 d = doc[rest[k]]
@@ -267,30 +278,39 @@ class Needles:
             yield block
 
 
-def needle_blocks(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Needles:
-    """The test set in blocks; items come one by one and each block is written when it is full, so the driver holds one at a time."""
-    folder, names = scratch_path(spark, "needles"), []
-    store, path = fs.FileSystem.from_uri(folder)
-    ids, texts, size = [], [], 0
+def needle_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Needles:
+    """The test set in blocks of about `block_words` words, each built and written by a task.
 
-    def close() -> None:
-        nonlocal ids, texts, size
-        if texts:
+    Files have a name of their own per attempt, and only those that the job returns are ever read.
+    """
+    folder = scratch_path(benchmark.sparkSession, "needles")
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    words = rows.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        ids, texts, size = [], [], 0
+
+        def close() -> pa.RecordBatch:
             store.create_dir(path, recursive=True)
-            names.append(f"block{len(names)}")
-            with store.open_output_stream(f"{path}/{names[-1]}") as file:
+            name = f"block-{uuid.uuid4().hex}"
+            with store.open_output_stream(f"{path}/{name}") as file:
                 file.write(pickle.dumps(NeedleBlock(ids, texts, window)))
-        ids, texts, size = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    for row in rows.toLocalIterator():
-        ids.append(row["i"])
-        texts.append(row["t"])
-        size += len(row["t"]) // 2 + 1
-        if size >= block_words:
-            close()
-    close()
-    return Needles(folder, names)
+        for batch in batches:
+            for i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                ids.append(i)
+                texts.append(t)
+                size += len(t) // 2 + 1
+                if size >= 2 * block_words:
+                    yield close()
+                    ids, texts, size = [], [], 0
+        if texts:
+            yield close()
+
+    dealt = rows.repartition(max(1, math.ceil(words / block_words)), F.xxhash64("i", "t"))
+    return Needles(folder, sorted(r["name"] for r in dealt.mapInArrow(run, "name string").collect()))
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, prefix: str = "", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -299,7 +319,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, prefix: str = "", text_col:
     clash = {n.lower() for n, _ in added} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"give another prefix: {sorted(clash)} would be there twice")
-    needles = needle_blocks(docs.sparkSession, benchmark, item_col, item_text, window, block_words)
+    needles = needle_blocks(benchmark, item_col, item_text, window, block_words)
     at = docs.columns.index(text_col)
     schema = docs.limit(0).select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in added]).schema
 

@@ -51,6 +51,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=4)
+def _place_keys(n: int, seed: int) -> np.ndarray:
+    """An odd number for each place in a word, without any relation between places."""
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE + np.uint64(seed)) | np.uint64(1)
+
+
+def keyed_word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Another hash of the words that begin at `starts`: bytes times keys of their places in the word, summed.
+
+    Powers of one base have pairs of words that clash under every base; keys without relation have none.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
+        n, at = lengths[first:last], starts[first:last]
+        before = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(before, n)
+        keys = _place_keys(1 << max(6, int(n.max() - 1).bit_length()), seed)
+        with np.errstate(over="ignore"):
+            parts = (LOWER[data[place + np.repeat(at, n)]].astype(np.uint64) + np.uint64(1)) * keys[place]
+            out[first:last] = mix(np.add.reduceat(parts, before) + n.astype(np.uint64) * _BASE) | np.uint64(1)
+        first = last
+    return out
+
+
 def _cut(data: np.ndarray, at: int) -> int:
     """The end of the piece that begins at `at`: between words, PIECE bytes on if words allow."""
     end = at + PIECE

@@ -141,13 +141,43 @@ def test_words_with_equal_hashes_are_told_apart(monkeypatch):
 
     block = d.NeedleBlock(["1"], ["red green"], 10)
     shard = d.Shard(pa.array(["red green blue", "red grean blue"]))
-    shard.words[4] = shard.words[1]  # as if grean had the hash of green
+    words = d.keyed_word_hashes(shard.data, shard.starts, shard.lengths)
+    words[4] = words[1]  # as if grean had the hash of green
+    shard.hashes[0] = words
     shard.meet(block)
     assert shard.columns()["n_hit"].to_pylist() == [2, 0]
-    with pytest.raises(RuntimeError, match="same hash"):
-        placed = d.placed_word_hashes
-        monkeypatch.setattr(d, "placed_word_hashes", lambda *a: (np.ones(2, np.uint64), *placed(*a)[1:]))
-        d.NeedleBlock(["1"], ["red green"], 10)
+    # another block of the same search may well have that word
+    shard.meet(d.NeedleBlock(["2"], ["red grean"], 10))
+    assert (words[4], shard.columns()["n_hit"].to_pylist()) == (words[1], [2, 0])
+    # words of the test set that clash get another seed, and texts are hashed with it
+    plain = d.keyed_word_hashes
+    monkeypatch.setattr(d, "keyed_word_hashes", lambda data, starts, lengths, seed=0: plain(data, starts, lengths, seed) if seed else np.ones(len(starts), np.uint64))
+    block, shard = d.NeedleBlock(["1"], ["red green"], 10), d.Shard(pa.array(["red green blue", "red grean blue"]))
+    shard.meet(block)
+    assert block.seed == 1 and shard.columns()["n_hit"].to_pylist() == [2, 0]
+
+
+def pattern(n):
+    """The first letters of the Thue-Morse sequence: with its complement it defeats sums of powers of any base modulo 2^64."""
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_defeat_powers_of_a_base(spark):
+    one = pattern(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"{two}"), (3, pattern(1024)), (4, one[:-1])], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, f"{one} y"), (8, two), (9, f"x {two}")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in d.annotate(docs, bench).collect()}
+    assert got == {1: (2, 1), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+
+
+def test_blocks_come_from_tasks_and_find_the_same(spark):
+    docs = spark.createDataFrame([(k, f"w{k} alpha beta w{k + 1} gamma") for k in range(60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"w{k} alpha beta") for k in range(0, 60, 2)], "item_id long, text string").repartition(7)
+    rows = lambda **o: sorted((r.doc_id, r.n_hit, r.n_items, r.longest_item) for r in d.annotate(docs, bench, **o).collect())
+    needles = d.needle_blocks(bench, "item_id", "text", 10, 10)
+    assert len(needles.names) >= 10 and len(d.needle_blocks(bench, "item_id", "text", 10, 1 << 20).names) == 1
+    assert rows() == rows(block_words=10) and sum(r[1] for r in rows()) == 90
 
 
 def test_columns_that_would_clash(spark):
