@@ -11,8 +11,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relata.session import written
+
 By = Sequence[str]
 
+#: Actors of a block where networks are full.
+GRID_BLOCK = 1024
+
 
 def correlation(x: str, y: str) -> Column:
     """Pearson correlation of rows where both are known; null, and no error, where either is constant."""
@@ -40,65 +45,151 @@ def degrees(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
 
 def heterogeneity(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     """(by, sd_row, sd_col): standard deviation of the row and of the column means of observed cells."""
-    rows = dyads.groupBy(*by, "i").agg(F.avg("y").alias("m")).groupBy(*by).agg(F.stddev_samp("m").alias("sd_row"))
-    columns = dyads.groupBy(*by, "j").agg(F.avg("y").alias("m")).groupBy(*by).agg(F.stddev_samp("m").alias("sd_col"))
-    return rows.join(columns, list(by))
+    ends = F.explode(F.array(F.struct(F.lit(True).alias("row"), F.col("i").alias("actor")), F.struct(F.lit(False).alias("row"), F.col("j").alias("actor"))))
+    means = dyads.select(*by, "y", ends.alias("end")).groupBy(*by, "end").agg(F.avg("y").alias("m"))
+    row = F.col("end.row")
+    return means.groupBy(*by).agg(F.stddev_samp(F.when(row, F.col("m"))).alias("sd_row"), F.stddev_samp(F.when(~row, F.col("m"))).alias("sd_col"))
+
 
+def pairs_of(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
+    """(by, lo, hi, f, g): the observed cells of each unordered pair, f from the lesser to the greater actor and g back; null where unobserved."""
+    cells = dyads.where("y is not null and i <> j")
+    up = F.col("i") < F.col("j")
+    ends = cells.select(*by, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(up, F.col("y")).alias("f"), F.when(~up, F.col("y")).alias("g"))
+    return ends.groupBy(*by, "lo", "hi").agg(F.max("f").alias("f"), F.max("g").alias("g"))
 
-def reciprocity(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
-    """(by, dyad_dep): correlation of the cells with those of the opposite pairs."""
-    return transposed(dyads, "_b", "y", by).where("y is not null and _b is not null").groupBy(*by).agg(correlation("y", "_b").alias("dyad_dep"))
 
+def reciprocity(dyads: DataFrame, by: By = ("t",), pairs: DataFrame | None = None) -> DataFrame:
+    """(by, dyad_dep): correlation of the cells with those of the opposite pairs; actors with themselves take no part."""
+    seen = (pairs_of(dyads, by) if pairs is None else pairs).where("f is not null and g is not null")
+    both = seen.select(*by, F.inline(F.array(F.struct(F.col("f").alias("y"), F.col("g").alias("_b")), F.struct(F.col("g").alias("y"), F.col("f").alias("_b")))))
+    return both.groupBy(*by).agg(correlation("y", "_b").alias("dyad_dep"))
 
-def triads(dyads: DataFrame, by: By = ("t",), method: str = "join") -> DataFrame:
-    """(by, cycle_dep, trans_dep): normalised third moments of the centred cells around cycles and transitive triples.
 
-    join: two-step products are summed per pair before the third side is joined.
-    dense: each network is one matrix in a grouped task, for networks of up to some thousand actors.
+def triads(dyads: DataFrame, by: By = ("t",), method: str = "wedges", pairs: DataFrame | None = None, block: int = GRID_BLOCK) -> DataFrame:
+    """(by, cycle_dep, trans_dep): normalised third moments of the centred cells around cycles and transitive triples of three actors.
+
+    wedges: pairs point from the end of lower to that of higher degree, so an actor starts at most as many as the
+    square root of twice the pairs, however many it has; two pairs from one start are a wedge, and the third
+    pair closes it. Each triangle is met once, with its six cells. For networks of which few cells are rows.
+    grid: actors in hash blocks, and a task for each three blocks of a network, which multiplies their
+    matrices. For full networks; a task holds four blocks of `block` actors squared.
     """
     by = list(by)
-    cells = dyads.where("y is not null").select(*by, "i", "j", "y")
-    if method == "dense":
-        return _dense_triads(cells, by)
-    moments = cells.groupBy(*by).agg(F.avg("y").alias("mu"), F.stddev_samp("y").alias("sd"))
-    e = cells.join(moments, by).select(*by, "i", "j", (F.col("y") - F.col("mu")).alias("e"))
-    side = lambda i, j, v: e.select(*by, F.col("i").alias(i), F.col("j").alias(j), F.col("e").alias(v))
-    paths = side("a", "b", "e1").join(side("b", "c", "e2"), [*by, "b"]).groupBy(*by, "a", "c").agg(F.sum(F.col("e1") * F.col("e2")).alias("s"), F.count("*").alias("n"))
-    shared = side("a", "b", "e1").join(side("c", "b", "e2"), [*by, "b"]).groupBy(*by, "a", "c").agg(F.sum(F.col("e1") * F.col("e2")).alias("s"), F.count("*").alias("n"))
-    close = side("c", "a", "e3")
-    total = lambda x, name: x.join(close, [*by, "c", "a"]).groupBy(*by).agg((F.sum(F.col("s") * F.col("e3")) / F.sum("n")).alias(name))
-    out = moments.join(total(paths, "cycle"), by, "left").join(total(shared, "trans"), by, "left")
+    moments = dyads.where("y is not null").groupBy(*by).agg(F.avg("y").alias("mu"), F.stddev_samp("y").alias("sd"))
+    if method == "grid":
+        sums = _grid_triads(dyads, moments, by, block)
+    elif method == "wedges":
+        sums = _wedge_triads(pairs_of(dyads, by) if pairs is None else pairs, moments, by)
+    else:
+        raise ValueError("method is wedges or grid")
     cube = F.pow(F.col("sd"), F.lit(3.0))
-    return out.select(*by, F.try_divide("cycle", cube).alias("cycle_dep"), F.try_divide("trans", cube).alias("trans_dep"))
-
-
-def _dense_triads(cells: DataFrame, by: list[str]) -> DataFrame:
+    part = lambda name: F.try_divide(F.try_divide(f"{name}_sum", f"{name}_n"), cube).alias(f"{name}_dep")
+    return moments.join(sums, by, "left").select(*by, part("cycle"), part("trans"))
+
+
+def _wedge_triads(pairs: DataFrame, moments: DataFrame, by: list[str]) -> DataFrame:
+    ends = pairs.select(*by, F.explode(F.array("lo", "hi")).alias("actor"))
+    degree = ends.groupBy(*by, "actor").agg(F.count("*").alias("d"))
+    end = lambda name: degree.select(*by, F.col("actor").alias(name), F.col("d").alias(f"d_{name}"))
+    known = pairs.join(moments.select(*by, "mu"), by).join(end("lo"), [*by, "lo"]).join(end("hi"), [*by, "hi"])
+    keep = (F.col("d_lo") < F.col("d_hi")) | ((F.col("d_lo") == F.col("d_hi")) & (F.col("lo") < F.col("hi")))
+    pick = lambda one, two: F.when(keep, F.col(one)).otherwise(F.col(two))
+    # e and m are the centred cell and whether there is one, from x to y (1) and back (2)
+    cell = lambda v: [F.coalesce(v - F.col("mu"), F.lit(0.0)), v.isNotNull().cast("long")]
+    (e1, m1), (e2, m2) = cell(pick("f", "g")), cell(pick("g", "f"))
+    point = known.select(*by, pick("lo", "hi").alias("x"), pick("hi", "lo").alias("y"), pick("d_hi", "d_lo").alias("d"), e1.alias("e1"), m1.alias("m1"), e2.alias("e2"), m2.alias("m2"))
+    as_ = lambda x, y, k: point.select(*by, F.col("x").alias(x), F.col("y").alias(y), *([F.col("d").alias(f"d_{y}")] if k < 3 else []), *[F.col(c).alias(f"{c}_{k}") for c in ("e1", "m1", "e2", "m2")])
+    order = (F.col("d_y") < F.col("d_z")) | ((F.col("d_y") == F.col("d_z")) & (F.col("y") < F.col("z")))
+    wedges = as_("x", "y", 1).join(as_("x", "z", 2), [*by, "x"]).where(order).drop("d_y", "d_z")
+    closed = wedges.join(as_("y", "z", 3), [*by, "y", "z"])
+
+    def sums(c: str) -> tuple[Column, Column]:
+        xy, yx, xz, zx, yz, zy = (F.col(f"{c}{way}_{k}") for k in (1, 2, 3) for way in (1, 2))
+        cycles = 3 * (xy * yz * zx + xz * zy * yx)
+        # source to middle, middle to sink, source to sink, for each order of the three
+        return cycles, xy * yz * xz + xz * zy * xy + yx * xz * yz + yz * zx * yx + zx * xy * zy + zy * yx * zx
+
+    (cycle, trans), (cycles, transitive) = sums("e"), sums("m")
+    return closed.groupBy(*by).agg(F.sum(cycle).alias("cycle_sum"), F.sum(cycles).alias("cycle_n"), F.sum(trans).alias("trans_sum"), F.sum(transitive).alias("trans_n"))
+
+
+def _grid_triads(dyads: DataFrame, moments: DataFrame, by: list[str], block: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name in by), "cycle_dep double", "trans_dep double"])
+    cells = dyads.where("y is not null and i <> j").join(moments.select(*by, "mu"), by)
+    most = cells.groupBy(*by).agg(F.approx_count_distinct("i").alias("n")).agg(F.max("n")).first()[0] or 1
+    side = -(-most // block)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    placed = cells.select(*by, "i", "j", (F.col("y") - F.col("mu")).alias("e"), of("i").alias("p"), of("j").alias("q"))
+    # the block (p, q) takes part in the three blocks (p, q, c) as ab and, once for each a and b, as bc, cb and ca
+    third = F.sequence(F.lit(0), F.lit(side - 1))
+    part = lambda role, a, b, c: placed.withColumn("k", F.explode(third)).select(*by, "i", "j", "e", F.lit(role).alias("role"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("c"))
+    dealt = part("ab", "p", "q", "k").unionByName(part("bc", "k", "p", "q")).unionByName(part("cb", "k", "q", "p")).unionByName(part("ca", "q", "k", "p"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name in by), "c1 double, c2 long, t1 double, t2 long"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        actors = {a: k for k, a in enumerate(sorted(set(pdf.i) | set(pdf.j)))}
-        e, d = np.zeros((2, len(actors), len(actors)))
-        r, c = pdf.i.map(actors).to_numpy(), pdf.j.map(actors).to_numpy()
-        e[r, c], d[r, c] = pdf.y - pdf.y.mean(), 1
-        cube = pdf.y.std(ddof=1) ** 3
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cycle = np.sum((e @ e) * e.T) / (np.sum((d @ d) * d.T) * cube)
-            trans = np.sum((e @ e.T) * e.T) / (np.sum((d @ d.T) * d.T) * cube)
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "cycle_dep": [cycle], "trans_dep": [trans]})
-
-    return cells.groupBy(*by).applyInPandas(one, schema)
+        parts = dict(list(pdf.groupby("role")))
+        out = {**{k: [pdf[k].iloc[0]] for k in by}, "c1": [0.0], "c2": [0], "t1": [0.0], "t2": [0]}
+        if "ab" not in parts or "ca" not in parts:
+            return pd.DataFrame(out)
+        numbers = {}
+        for name in "abc":
+            ends = [parts[r]["i" if r[0] == name else "j"] for r in parts if name in r]
+            numbers[name] = {v: k for k, v in enumerate(pd.unique(pd.concat(ends)))}
+
+        def matrix(role: str) -> tuple[np.ndarray, np.ndarray]:
+            e, m = np.zeros((2, len(numbers[role[0]]), len(numbers[role[1]])))
+            if role in parts:
+                at = parts[role]["i"].map(numbers[role[0]]).to_numpy(), parts[role]["j"].map(numbers[role[1]]).to_numpy()
+                e[at], m[at] = parts[role]["e"], 1
+            return e, m
+
+        ab, bc, cb, ca = (matrix(r) for r in ("ab", "bc", "cb", "ca"))
+        for k, (cycle, trans) in enumerate((("c1", "t1"), ("c2", "t2"))):
+            out[cycle] = [((ab[k] @ bc[k]) * ca[k].T).sum()]
+            out[trans] = [((ab[k] @ cb[k].T) * ca[k].T).sum()]
+        return pd.DataFrame(out).astype({"c2": "int64", "t2": "int64"})
+
+    sums = dealt.groupBy(*by, "a", "b", "c").applyInPandas(one, schema)
+    return sums.groupBy(*by).agg(F.sum("c1").alias("cycle_sum"), F.sum("c2").alias("cycle_n"), F.sum("t1").alias("trans_sum"), F.sum("t2").alias("trans_n"))
+
+
+def butterflies(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
+    """(by, four_cycles): pairs of shared partners over all pairs of one side, which is the same for either side.
+
+    Actors of both sides are ordered by degree. A cycle is counted at its last actor u: wedges u - v - w go
+    over a centre v before u to an actor w before u, so a tie makes as many as its end of lower degree has ties.
+    A hub whose partners have few ties of their own makes none.
+    """
+    by = list(by)
+    ties = dyads.where("y <> 0").select(*by, F.col("i").alias("r"), F.col("j").alias("c")).distinct()
+    size = lambda end: ties.groupBy(*by, end).agg(F.count("*").alias(f"d_{end}")).where(F.col(f"d_{end}") > 1)
+    known = ties.join(size("r"), [*by, "r"]).join(size("c"), [*by, "c"])  # a cycle's actors have two ties at least
+    counts = None
+    for u, v, after in (("r", "c", F.col("d_r") >= F.col("d_c")), ("c", "r", F.col("d_c") > F.col("d_r"))):
+        first = known.where(after).select(*by, F.col(v).alias("v"), F.col(u).alias("u"), F.col(f"d_{u}").alias("du"))
+        second = known.select(*by, F.col(v).alias("v"), F.col(u).alias("w"), F.col(f"d_{u}").alias("dw"))
+        before = (F.col("dw") < F.col("du")) | ((F.col("dw") == F.col("du")) & (F.col("w") < F.col("u")))
+        found = first.join(second, [*by, "v"]).where(before).groupBy(*by, "u", "w").agg(F.count("*").alias("n"))
+        made = found.groupBy(*by).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("n"))
+        counts = made if counts is None else counts.unionByName(made)
+    total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+    return dyads.select(*by).distinct().join(total, by, "left").select(*by, F.coalesce("n", F.lit(0).cast("long")).alias("four_cycles"))
 
 
 def four_cycles(dyads: DataFrame, by: By = ("t",), side: str | None = None) -> DataFrame:
-    """(by, four_cycles, clustering): pairs of shared partners over all pairs of one side, and per pair that has any.
+    """(by, four_cycles, clustering): pairs of shared partners over all pairs of one side, and per pair that has two at least.
 
-    The sum over pairs of rows equals that over pairs of columns; without `side` the one is joined that makes fewer pairs.
+    The sum over pairs of rows equals that over pairs of columns; without `side` the one is joined that makes fewer
+    pairs. Actors of one tie have no part in a pair that counts, so ties of such are left out, twice over: a star has none.
     """
     by = list(by)
     ties = dyads.where("y <> 0").select(*by, "i", "j").distinct()
+    for c in ("i", "j", "i", "j"):
+        ties = ties.join(ties.groupBy(*by, c).count().where("count > 1").select(*by, c), [*by, c], "left_semi")
+    ties = written(ties, "ties")
     if side is None:
         pairs = lambda c: ties.groupBy(*by, c).count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] or 0
         side = "row" if pairs("j") <= pairs("i") else "col"
@@ -111,10 +202,11 @@ def four_cycles(dyads: DataFrame, by: By = ("t",), side: str | None = None) -> D
     return out.select(*by, cycles.alias("four_cycles"), F.when(F.col("open") > 0, cycles / F.col("open")).otherwise(0.0).alias("clustering"))
 
 
-def unipartite_statistics(dyads: DataFrame, by: By = ("t",), method: str = "join") -> DataFrame:
+def unipartite_statistics(dyads: DataFrame, by: By = ("t",), method: str = "wedges") -> DataFrame:
     """The five statistics of a square network: sd_row, sd_col, dyad_dep, cycle_dep, trans_dep; undefined ones are 0."""
     by = list(by)
-    out = heterogeneity(dyads, by).join(reciprocity(dyads, by), by, "left").join(triads(dyads, by, method), by, "left")
+    pairs = written(pairs_of(dyads, by), "pairs")
+    out = heterogeneity(dyads, by).join(reciprocity(dyads, by, pairs), by, "left").join(triads(dyads, by, method, pairs), by, "left")
     names = ["sd_row", "sd_col", "dyad_dep", "cycle_dep", "trans_dep"]
     return out.select(*by, *[F.coalesce(F.nanvl(F.col(n), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names])
 
@@ -122,7 +214,7 @@ def unipartite_statistics(dyads: DataFrame, by: By = ("t",), method: str = "join
 def bipartite_statistics(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     """sd_row, sd_col and four_cycles of a network of two modes."""
     by = list(by)
-    return heterogeneity(dyads, by).join(four_cycles(dyads, by), by).select(*by, "sd_row", "sd_col", F.col("four_cycles"))
+    return heterogeneity(dyads, by).join(butterflies(dyads, by), by).select(*by, "sd_row", "sd_col", F.col("four_cycles"))
 
 
 def network_statistics(dyads: DataFrame, square: bool | None = None, by: By = ("t",), custom: dict[str, Column | Callable] | None = None) -> DataFrame:

@@ -78,8 +78,8 @@ def network_statistics(spark, sf_dir):
 
 @query(ORACLE_SQL["network_statistics"])
 def network_statistics_dense(spark, sf_dir):
-    """The same statistics with one matrix product task per network."""
-    return rounded(statistics.unipartite_statistics(trade_panel(spark, sf_dir), method="dense"))
+    """The same statistics with matrix products of blocks of actors."""
+    return rounded(statistics.unipartite_statistics(trade_panel(spark, sf_dir), method="grid"))
 
 
 PURCHASE_SPINE = """sp AS (
