@@ -106,12 +106,21 @@ def path_precision(n: int, kind: str, rho: float = 0.9, sigma2: float = 1.0, tim
     raise ValueError(f"no path prior {kind}")
 
 
-def ar1_update(rng, paths: np.ndarray, rho: float, shape: float = 2.0, scale: float = 1.0, low: float = 0.0, high: float = 0.995, mean: float = 0.9, sd: float = 0.1, weights: np.ndarray | None = None) -> tuple[float, float]:
-    """rho and the innovation variance of paths (k, T), with weights of the transitions (0: not part of the process)."""
+def path_step(kind: str, rho: float = 1.0, periods: int = 3) -> tuple[float, float]:
+    """What the next value of a path has of its last two, before noise; walks of second order need three periods."""
+    if kind == "ar1":
+        return rho, 0.0
+    return (2.0, -1.0) if kind == "rw2" and periods >= 3 else (1.0, 0.0)
+
+
+def ar1_update(rng, paths: np.ndarray, rho: float, shape: float = 2.0, scale: float = 1.0, low: float = 0.0, high: float = 0.995, mean: float = 0.9, sd: float = 0.1, weights: np.ndarray | None = None, begins: bool = True) -> tuple[float, float]:
+    """rho and the innovation variance of paths (k, T), with weights of the transitions (0: not part of the process).
+
+    With `begins` paths start in their stationary distribution, whose variance depends on both.
+    """
     a, b = paths[:, :-1].ravel(), paths[:, 1:].ravel()
     w = np.ones(len(a)) if weights is None else weights.ravel()
-    # unweighted paths begin in their stationary distribution, whose variance depends on both
-    begins, first = weights is None, (paths[:, 0] ** 2).sum()
+    first = (paths[:, 0] ** 2).sum()
     more = (len(paths) / 2, (1 - rho * rho) * first / 2) if begins else (0.0, 0.0)
     sigma2 = inverse_gamma(rng, shape + (w > 0).sum() / 2 + more[0], scale + (w * (b - rho * a) ** 2).sum() / 2 + more[1])
     precision = (w * a * a).sum() / sigma2 + 1 / sd**2
@@ -236,6 +245,26 @@ class Chain:
             new = np.where(again, float(self.o.prior.get("kappa", 1.0)) * self.rng.standard_normal(x.shape), new)
         return new
 
+    def coefficients_ahead(self) -> np.ndarray:
+        """Coefficients of the period after the last, on the covariates' own scale."""
+        now = self.beta[:, -1].copy()
+        for k in np.flatnonzero(self.moving):
+            last, before = path_step(self.o.beta_kind, self.rho_beta[k], self.T)
+            noise = self.sig_beta[k] ** 0.5 / self.scale[k] * self.rng.standard_normal()
+            now[k] = last * self.beta[k, -1] + before * self.beta[k, max(self.T - 2, 0)] + noise
+        return now
+
+    def additive_ahead(self) -> tuple[np.ndarray, np.ndarray]:
+        """Effects of the period after the last; one draw for both sides of a symmetric network, none for absent ones."""
+        a, b = self.a[:, -1], self.b[:, -1]
+        if not self.o.dynamic_ab:
+            return a, b
+        step = lambda x: self.rho_ab * x + self.sig_ab**0.5 * self.rng.standard_normal(len(x))
+        a = step(a) if self.o.row_effects else a
+        if self.o.symmetric:
+            return a, a
+        return a, step(b) if self.o.col_effects else b
+
     def multiplicative_ahead(self) -> np.ndarray:
         """The products of positions in the period after the last, drawn from their process if they move."""
         if not self.rank or not self.o.dynamic_uv:

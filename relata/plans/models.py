@@ -20,7 +20,7 @@ from relata.operators import evaluation, statistics, summaries
 from relata.operators.dyads import aligned_over_time, centred_products
 from relata.plans.als import Als, AlsOptions, best_of_starts, bootstrap_replicate
 from relata.plans.arrays import DRAWS, Panel, fan_out
-from relata.plans.gibbs import Chain, Options, observed, pointwise
+from relata.plans.gibbs import Chain, Options, observed, path_step, pointwise
 from relata.session import written
 from relata.sources.edges import long_covariates
 
@@ -474,14 +474,26 @@ def advance(fit: BayesFit, last: int, h: int, seed: int) -> DataFrame:
     static = rows.where("t is null or block = 'vc'").withColumn("t", F.lit(None).cast("int"))
     if wide is None:
         return static
-    moving = rows.where((F.col("t") == last) & (F.col("block") != "vc")).join(wide, unit)
+    at_last = rows.where((F.col("t") == last) & (F.col("block") != "vc"))
+    if o.beta_kind == "rw2":  # walks of second order go on from their last two values
+        times = sorted(r[0] for r in rows.where("block = 'beta' and t is not null").select("t").distinct().collect())
+        order = len(times) >= 3
+        before = rows.where((F.col("block") == "beta") & (F.col("t") == (times[-2] if order else last))).select(*unit, "block", "term", F.col("value").alias("before"))
+        at_last = at_last.join(before, [*unit, "block", "term"], "left")
+    else:
+        order, at_last = False, at_last.withColumn("before", F.lit(0.0))
+    # one side of a symmetric network is drawn, and the other mirrors it
+    moving = (at_last.where("block not in ('b', 'v')") if o.symmetric else at_last).join(wide, unit)
     has = set(wide.columns)
     name = lambda stem, b: F.coalesce(*[F.when((F.col("block") == b) & (F.col("term") == n.split(":", 1)[1]), F.col(f"`{n}`")) for n in has if n.startswith(stem + ":")], F.lit(0.9 if stem == "rho_beta" else 0.1))
     pick = lambda n, default: F.col(n) if n in has else F.lit(default)
     path = o.beta_kind
-    rho = F.when(F.col("block").isin("a", "b"), pick("rho_ab", 1.0)).when(F.col("block").isin("u", "v"), pick("rho_uv", 1.0)).when(F.col("block") == "beta", name("rho_beta", "beta") if path == "ar1" else F.lit(1.0)).otherwise(1.0)
-    var = F.when(F.col("block").isin("a", "b"), pick("sigma2_ab", 0.0)).when(F.col("block").isin("u", "v"), pick("sigma2_uv", 0.0)).when(F.col("block") == "beta", name("sigma2_beta", "beta")).otherwise(0.0)
-    first = moving.withColumn("rho", rho).withColumn("var", var).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h))))
+    rho = F.when(F.col("block").isin("a", "b"), pick("rho_ab", 1.0)).when(F.col("block").isin("u", "v"), pick("rho_uv", 1.0)).when(F.col("block") == "beta", name("rho_beta", "beta") if path == "ar1" else F.lit(path_step(path, 1.0, 3 if order else 2)[0])).otherwise(1.0)
+    second = F.when(F.col("block") == "beta", F.lit(path_step(path, 1.0, 3 if order else 2)[1])).otherwise(0.0)
+    absent = [b for b, there in (("a", o.row_effects), ("b", o.col_effects)) if not there]
+    var = F.when(F.col("block").isin(*absent), 0.0) if absent else F.when(F.lit(False), 0.0)
+    var = var.when(F.col("block").isin("a", "b"), pick("sigma2_ab", 0.0)).when(F.col("block").isin("u", "v"), pick("sigma2_uv", 0.0)).when(F.col("block") == "beta", name("sigma2_beta", "beta")).otherwise(0.0)
+    first = moving.withColumn("rho", rho).withColumn("second", second).withColumn("var", var).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(h))))
     noise = lambda k: hash_normal("chain", "draw", "block", "term", F.coalesce("i", F.lit("")), k, F.lit(seed))
     kind = o.dynamic_uv if isinstance(o.dynamic_uv, str) else "ar1"
     kappa, nu = float(o.prior.get("kappa", 1.0)), int(o.prior.get("nu", 4))
@@ -489,19 +501,26 @@ def advance(fit: BayesFit, last: int, h: int, seed: int) -> DataFrame:
     # what an actor's positions of one period share: whether they begin anew, and how heavy their innovation is
     shared = lambda k, *more: hash_normal("chain", "draw", "block", F.coalesce("i", F.lit("")), k, F.lit(seed + 1), *more)
 
-    def step(x, k):
+    def step(state, k):
         move = F.sqrt("var") * noise(k)
         if kind == "t":
             chi = F.aggregate(F.array(*[shared(k, F.lit(m)) for m in range(nu)]), F.lit(0.0), lambda s, z: s + z * z)
             move = move * F.when(is_position, F.sqrt(nu / F.greatest(chi, F.lit(1e-12)))).otherwise(1.0)
-        on = F.col("rho") * x + move
-        if kind != "snap":
-            return on
-        return F.when(is_position & (normal_cdf(shared(k)) < pick("pi_snap", 0.1)), kappa * noise(k)).otherwise(on)
-
-    total = F.aggregate(F.sequence(F.lit(1), F.col("h")), F.col("value"), step)
-    ahead = first.withColumn("value", total).withColumn("t", F.col("h"))
-    return static.unionByName(ahead.select(*static.columns))
+        on = F.col("rho") * state["now"] + F.col("second") * state["before"] + move
+        if kind == "snap":
+            on = F.when(is_position & (normal_cdf(shared(k)) < pick("pi_snap", 0.1)), kappa * noise(k)).otherwise(on)
+        return F.struct(on.alias("now"), state["now"].alias("before"))
+
+    begin = F.struct(F.col("value").alias("now"), F.coalesce("before", F.lit(0.0)).alias("before"))
+    total = F.aggregate(F.sequence(F.lit(1), F.col("h")), begin, step, lambda state: state["now"])
+    ahead = first.withColumn("value", total).withColumn("t", F.col("h")).select(*static.columns)
+    if o.symmetric:
+        sign = at_last.where("block = 'u'").select(*unit, "term", "i", F.col("value").alias("u")).join(at_last.where("block = 'v'").select(*unit, "term", "i", F.col("value").alias("v")), [*unit, "term", "i"])
+        sign = sign.select(*unit, "term", "i", F.signum(F.col("u") * F.col("v")).alias("sign"))
+        other_b = ahead.where("block = 'a'").withColumn("block", F.lit("b")).withColumn("term", F.lit("b"))
+        other_v = ahead.where("block = 'u'").join(sign, [*unit, "term", "i"]).withColumn("value", F.col("value") * F.col("sign")).withColumn("block", F.lit("v"))
+        ahead = ahead.unionByName(other_b).unionByName(other_v.select(*static.columns))
+    return static.unionByName(ahead)
 
 
 def prior_paths(terms: DataFrame, periods: Sequence[int], n: int, kind: str, seed: int, rho_mean: float = 0.8, rho_sd: float = 0.15) -> DataFrame:
@@ -795,11 +814,7 @@ def leave_future_out(data: Data, options: Options, periods: Sequence[int] | None
         for sweep in range(options.burn + options.scan):
             chain.sweep()
             if sweep >= options.burn and (sweep - options.burn) % options.thin == 0:
-                beta, a, b = chain.beta[:, -1], chain.a[:, -1], chain.b[:, -1]
-                if chain.moving.any():
-                    beta = np.where(chain.moving, chain.rho_beta * beta + chain.sig_beta**0.5 * chain.rng.standard_normal(len(beta)), beta)
-                if options.dynamic_ab:
-                    a, b = (chain.rho_ab * x + chain.sig_ab**0.5 * chain.rng.standard_normal(len(x)) for x in (a, b))
+                beta, (a, b) = chain.coefficients_ahead(), chain.additive_ahead()
                 eta = np.einsum("ijk,k->ij", panel.x[:, :, :, s], beta) + a[:, None] + b[None, :] + chain.multiplicative_ahead() + chain.slopes_ahead(panel.x[:, :, :, s])
                 total.append(pointwise(now, eta[:, :, None], options.family, chain.s2)[:, :, 0])
         ll = np.stack(total)
