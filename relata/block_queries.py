@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from relata import datasets as d
+from relata.operators.bootstrap import bootstrap_draws, bootstrap_intervals
 from relata.plans.blocks import BlockFit, block_fit
 from relata.queries import query, rounded, with_
 
@@ -114,3 +117,36 @@ def distributed_poisson_fit(spark, sf_dir):
 def distributed_binary_fit(spark, sf_dir):
     """Two reweighted steps for whether a customer spends more than 40,000 at a supplier."""
     return _long(block_fit(_cells(spark, sf_dir, F.when(F.col("price") > 40000, 1.0).otherwise(0.0)), ["intercept", "x"], family="binary", sweeps=1, tol=0.0, outer=2), spark)
+
+
+def bootstrap_sql(weight: str, replicates: int) -> str:
+    """Intervals of an intercept and a slope from blocks of customers, whose weights are keyed by MD5."""
+    u = f"(CAST(CAST('0x' || substr(md5('17:' || i || ':' || k), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296"
+    return with_(
+        d.SPENDING_SQL,
+        "b AS MATERIALIZED (SELECT i, count(*) AS n, sum(discount) AS x, sum(discount * discount) AS xx, sum(ln(price)) AS y, sum(discount * ln(price)) AS xy FROM spending GROUP BY i)",
+        f"w AS (SELECT k, {weight.format(u=u)} AS w, b.* FROM b CROSS JOIN range(1, {replicates + 1}) g(k))",
+        "s AS (SELECT k, sum(w * n) AS n, sum(w * x) AS x, sum(w * xx) AS xx, sum(w * y) AS y, sum(w * xy) AS xy FROM w GROUP BY k)",
+        "v AS (SELECT 'intercept' AS term, (xx * y - x * xy) / (n * xx - x * x) AS v FROM s UNION ALL SELECT 'x', (n * xy - x * y) / (n * xx - x * x) FROM s)",
+        select=f"SELECT term, {_round('avg(v)', 'mean')}, {_round('stddev_samp(v)', 'std_error')}, {_round('quantile_cont(v, 0.025)', 'low')}, {_round('quantile_cont(v, 0.975)', 'high')} FROM v GROUP BY term",
+    )
+
+
+@query(bootstrap_sql("-ln({u})", 200))
+def bootstrap_one_pass(spark, sf_dir):
+    """Intervals of 200 replicates over customers from one aggregation of the cells."""
+    draws = bootstrap_draws(_cells(spark, sf_dir, F.log("price")), ["intercept", "x"], 200, ("i",))
+    return rounded(bootstrap_intervals(draws), FIT_DIGITS)
+
+
+def _count_sql() -> str:
+    """How many steps of the Poisson distribution function a uniform number is above."""
+    steps = [sum(math.exp(-1) / math.factorial(m) for m in range(k + 1)) for k in range(12)]
+    return " + ".join(f"CASE WHEN {{u}} > {s!r} THEN 1 ELSE 0 END" for s in steps)
+
+
+@query(bootstrap_sql(_count_sql(), 200))
+def bootstrap_counts(spark, sf_dir):
+    """The same with counts of mean 1 as weights."""
+    draws = bootstrap_draws(_cells(spark, sf_dir, F.log("price")), ["intercept", "x"], 200, ("i",), scheme="poisson")
+    return rounded(bootstrap_intervals(draws), FIT_DIGITS)

@@ -56,7 +56,7 @@ def calibration(predictions: DataFrame, bins: int = 10, y: str = "y", p: str = "
     return predictions.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("mean_observed"))
 
 
-def pit(draws: DataFrame, observed: DataFrame, discrete: bool = False, by: tuple = ("t", "i", "j"), seed: int = 6886) -> DataFrame:
+def pit(draws: DataFrame, observed: DataFrame, discrete: bool = False, by: tuple = ("t", "i", "j"), seed: int = 29) -> DataFrame:
     """(by, pit) of observed values (by, y) in predictive draws (by, draw, value); randomised by a hash within the jump if discrete."""
     by = list(by)
     both = draws.join(observed.where("y is not null"), by)

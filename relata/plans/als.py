@@ -39,7 +39,7 @@ class AlsOptions:
     irls_max: int = 8
     irls_tol: float = 1e-5
     starts: int = 1
-    seed: int = 6886
+    seed: int = 29
     dynamic_ab: bool = False
     dynamic_beta: tuple[str, ...] | bool = False
     beta_kind: str = "rw1"

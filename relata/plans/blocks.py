@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from relata.functions.linear import safe_solve
 from relata.functions.links import deviance_column, working_columns
+from relata.operators.bootstrap import bootstrap_draws
 from relata.session import bucketed, written
 
 #: Cells of a tile and actors of a block, about; tiles that may be cut, at most; buckets, at most.
@@ -243,6 +244,16 @@ class BlockFit:
         eta = _linear(list(self.beta), np.array(list(self.beta.values()))) + F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0)) + product
         return cells.join(a, "i", "left").join(b, "j", "left").withColumn(name, eta).drop("_a", "_u", "_b", "_v")
 
+    def bootstrap(self, cells: DataFrame, replicates: int = 200, block: tuple[str, ...] = ("i",), scheme: str = "exponential", seed: int = 17) -> DataFrame:
+        """(replicate, term, value) of the coefficients, given effects and factors; the panel is read once for all replicates.
+
+        For other families than the normal it is one reweighted step from the fit.
+        """
+        held = self.predict(cells, "_eta")
+        base = F.col("_eta") - _linear(list(self.beta), np.array(list(self.beta.values())))
+        z, w = (F.col("y"), F.lit(1.0)) if self.family == "normal" else working_columns(F.col("y"), F.col("_eta"), self.family)
+        return bootstrap_draws(held.withColumn("_rest", z - base).withColumn("_weight", w), list(self.beta), replicates, block, "_rest", F.col("_weight"), scheme, seed)
+
     def residuals(self, cells: DataFrame, name: str = "residual") -> DataFrame:
         return self.predict(cells, "_eta").withColumn(name, F.col("y") - F.col("_eta")).drop("_eta")
 

@@ -37,7 +37,7 @@ class Options:
     burn: int = 500
     scan: int = 2000
     thin: int = 25
-    seed: int = 6886
+    seed: int = 29
     odmax: int | None = None
     dynamic_ab: bool = False
     dynamic_beta: tuple[str, ...] | bool = False

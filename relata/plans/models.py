@@ -24,7 +24,7 @@ from relata.plans.gibbs import Chain, Options, observed, path_step, pointwise
 from relata.session import written
 from relata.sources.edges import long_covariates
 
-SEED_STEP = 1000
+SEED_STEP = 101
 
 
 class NotAvailable(TypeError):
@@ -224,7 +224,7 @@ class BayesFit:
             out = out.join(uv.drop("t") if static else uv, key, "left").withColumn("value", F.col("value") + F.coalesce("e", F.lit(0.0))).drop("e")
         return out.join(draws, unit).select(*unit, "t", "i", "j", "value", "ve")
 
-    def simulate(self, n: int | None = None, seed: int = 6886, newdata: DataFrame | None = None, thin: int = 1, burn: int = 0) -> DataFrame:
+    def simulate(self, n: int | None = None, seed: int = 29, newdata: DataFrame | None = None, thin: int = 1, burn: int = 0) -> DataFrame:
         """(chain, draw, t, i, j, value): a response for each stored draw, errors keyed by draw and unordered pair, so partitioning is of no effect."""
         eta = self.eta_draws(newdata).where((F.col("draw") > burn) & (F.col("draw") % thin == 0))
         if n is not None:
@@ -275,7 +275,7 @@ class BayesFit:
         seen = self.block("gof_observed").groupBy("term", "t").agg(F.avg("value").alias("observed"))
         return summaries.intervals(self.block("gof"), 0.95, ("term", "t")).join(seen, ["term", "t"])
 
-    def gof_custom(self, custom: dict[str, Callable], n: int = 50, seed: int = 6886) -> DataFrame:
+    def gof_custom(self, custom: dict[str, Callable], n: int = 50, seed: int = 29) -> DataFrame:
         """User statistics of the data and of n simulated panels, averaged over periods."""
         made = self.simulate(n, seed).withColumnRenamed("value", "y")
         one = statistics.custom_statistics(made, custom, ("chain", "draw", "t"))
@@ -284,7 +284,7 @@ class BayesFit:
         out = one.groupBy("chain", "draw").agg(*[F.avg(n).alias(n) for n in names]).unpivot(["chain", "draw"], names, "term", "value")
         return out.join(seen.agg(*[F.avg(n).alias(n) for n in names]).unpivot([], names, "term", "observed"), "term")
 
-    def gof_temporal(self, name: str = "density", n: int = 100, seed: int = 6886) -> DataFrame:
+    def gof_temporal(self, name: str = "density", n: int = 100, seed: int = 29) -> DataFrame:
         made = self.simulate(n, seed).select(F.concat_ws("-", "chain", "draw").alias("rep"), "t", "i", "j", F.col("value").alias("y"))
         return statistics.temporal_trend(self.data.dyads, made, name)
 
@@ -292,7 +292,7 @@ class BayesFit:
         rows = self.block(f"snap_{side}")
         return rows.select(F.concat_ws("-", "chain", "draw").alias("draw"), F.col("i").alias("actor"), F.col("t").alias("year"), "value")
 
-    def change_points(self, n_prior: int = 500, seed: int = 6886, threshold: float = 10.0) -> DataFrame:
+    def change_points(self, n_prior: int = 500, seed: int = 29, threshold: float = 10.0) -> DataFrame:
         if not self.options.dynamic_beta:
             raise NotAvailable("no coefficient moves")
         periods = [r.t for r in self.data.dyads.select("t").distinct().orderBy("t").collect()]
@@ -303,7 +303,7 @@ class BayesFit:
     def rhat_paths(self) -> DataFrame:
         return summaries.multivariate_rhat(self.beta.where("t is not null"))
 
-    def forecast(self, h: int = 1, newdata: DataFrame | None = None, seed: int = 6886, by_draw: bool = False, kind: str = "response") -> DataFrame:
+    def forecast(self, h: int = 1, newdata: DataFrame | None = None, seed: int = 29, by_draw: bool = False, kind: str = "response") -> DataFrame:
         """(h, i, j, value): moving parts of each draw carried h periods on by their autoregression, static ones as they are.
 
         Covariates are those of newdata (t is the step, 1 to h) or the last period's. Errors are keyed by hashes.
@@ -546,7 +546,7 @@ def prior_paths(terms: DataFrame, periods: Sequence[int], n: int, kind: str, see
     return made.crossJoin(F.broadcast(terms)).select("term", F.lit(0).alias("chain"), "draw", "t", "value")
 
 
-def prior_summary(spark: SparkSession, n_periods: int = 10, n: int = 1000, kind: str = "ar1", seed: int = 6886) -> DataFrame:
+def prior_summary(spark: SparkSession, n_periods: int = 10, n: int = 1000, kind: str = "ar1", seed: int = 29) -> DataFrame:
     """(statistic, prob, value): what paths of the prior look like: largest step, roughness, range and trend."""
     from pyspark.sql import Window
 
@@ -726,7 +726,7 @@ class AlsFit:
         est = self.coef().groupBy("term").agg(F.avg("estimate").alias("e"))
         return q.join(est, "term").select("term", (2 * F.col("e") - F.col("conf_high")).alias("conf_low"), (2 * F.col("e") - F.col("conf_low")).alias("conf_high"))
 
-    def simulate(self, n: int = 1, seed: int = 6886) -> DataFrame:
+    def simulate(self, n: int = 1, seed: int = 29) -> DataFrame:
         options = replace(self.options, seed=seed)
 
         def fit(panel: Panel, task: dict) -> pd.DataFrame:
@@ -841,7 +841,7 @@ def per_actor_slopes(residual: DataFrame, covariate: str, side: str = "row", pen
     return sums.groupBy("actor").applyInPandas(one, "actor string, t int, slope double")
 
 
-def forecast_pit(fit: BayesFit, future: DataFrame, h: int = 1, discrete: bool | None = None, seed: int = 6886) -> DataFrame:
+def forecast_pit(fit: BayesFit, future: DataFrame, h: int = 1, discrete: bool | None = None, seed: int = 29) -> DataFrame:
     """Calibration of h-step forecasts of the observed future (i, j, y)."""
     draws = fit.forecast(h, by_draw=True, kind="link", seed=seed).where(F.col("h") == h)
     ve = fit.block("vc").where("term = 've'").select("chain", "draw", F.col("value").alias("ve"))
