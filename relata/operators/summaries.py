@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relata.operators.running import running_sums
@@ -63,30 +63,46 @@ def rhat(draws: DataFrame, by: Terms = ("term",), split: bool = False) -> DataFr
     return over.select(*by, F.when((F.col("chains") >= 2) & (F.col("least") >= 2) & (F.col("w") > 0), value).alias("rhat"), "chains")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold(values: Column, step: Callable[[Column], Column]) -> Column:
+    """The sum of step over an array; entries of null count as 0."""
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + F.coalesce(step(x), F.lit(0.0)))
+
+
 def effective_size(draws: DataFrame, by: Terms = ("term",)) -> DataFrame:
-    """Effective number of draws per term, summed over chains, from the initial positive sequence of autocorrelations; one task per chain and term."""
-    import pandas as pd
+    """(by, ess): effective number of draws, summed over chains.
 
+    From Geyer's initial monotone sequence: autocorrelations are added in pairs, each no larger than the one
+    before, until a pair is negative. A chain's draws are an array, its lagged products are
+    folds, and lags after the stop are not computed. Constant chains and those of fewer than four draws count in full.
+    """
     by = list(by)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in draws.schema if f.name in by), "ess double"])
+    ordered = draws.groupBy(*by, "chain").agg(F.sort_array(F.collect_list(F.struct("draw", F.col("value").cast("double").alias("value")))).alias("d"))
+    values = F.transform("d", lambda x: x["value"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "ess": [chain_ess(pdf.sort_values("draw")["value"].to_numpy(float))]})
+    def of(c: Column) -> Column:
+        n = F.size(c)
+        lagged = lambda k: fold(F.zip_with(F.slice(c, F.lit(1), n - k), F.slice(c, k + 1, n - k), lambda x, y: x * y), lambda x: x) / (n - k)
 
-    return draws.groupBy(*by, "chain").applyInPandas(one, schema).groupBy(*by).agg(F.sum("ess").alias("ess"))
+        def total(variance: Column) -> Column:
+            def step(state: Column, k: Column) -> Column:
+                grown = lambda pair: F.struct((state["sum"] + F.least(pair, state["last"])).alias("sum"), F.least(pair, state["last"]).alias("last"), F.lit(False).alias("over"))
+                end = F.struct(state["sum"].alias("sum"), state["last"].alias("last"), F.lit(True).alias("over"))
+                after = let((lagged(2 * k - 1) + lagged(2 * k)) / variance, lambda pair: F.when(pair < 0, end).otherwise(grown(pair)))
+                return F.when(state["over"], state).otherwise(after)
 
+            begin = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("last"), F.lit(False).alias("over"))
+            found = F.aggregate(F.sequence(F.lit(1), F.floor((n - 1) / 2).cast("int")), begin, step, lambda state: state["sum"])
+            return F.least(n.cast("double"), n / F.greatest(F.lit(1e-12), 1 + 2 * found))
 
-def chain_ess(x: np.ndarray) -> float:
-    n = len(x)
-    if n < 4 or np.var(x) == 0:
-        return float(n)
-    c = x - x.mean()
-    f = np.fft.rfft(c, 2 * n)
-    acf = np.fft.irfft(f * np.conj(f))[:n] / np.arange(n, 0, -1)
-    rho = acf / acf[0]
-    pairs = rho[1 : n - (n - 1) % 2].reshape(-1, 2).sum(1) if n > 3 else np.zeros(0)
-    pairs = pairs[: int(np.argmax(pairs < 0))] if (pairs < 0).any() else pairs
-    return float(min(n, n / max(1e-12, 1 + 2 * np.minimum.accumulate(pairs).sum())))
+        return let(fold(c, lambda x: x * x) / n, lambda v: F.when((n < 4) | (v <= 0), n.cast("double")).otherwise(total(v)))
+
+    centred = let(values, lambda v: let(fold(v, lambda x: x) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean)))
+    return ordered.select(*by, let(centred, of).alias("ess")).groupBy(*by).agg(F.sum("ess").alias("ess"))
 
 
 def multivariate_rhat(draws: DataFrame, term: str = "term", point: str = "t") -> DataFrame:
@@ -175,21 +191,55 @@ def waic(loglik: DataFrame, by: Terms = ("t", "i", "j")) -> DataFrame:
 
 
 def psis_loo(loglik: DataFrame, by: Terms = ("t", "i", "j")) -> DataFrame:
-    """Pointwise leave-one-out densities by Pareto-smoothed importance sampling: (by, elpd, k)."""
-    import pandas as pd
-
-    from relata.functions.distributions import psis_point
+    """(by, elpd, k): leave-one-out densities by Pareto-smoothed importance sampling (Vehtari, Gelman and Gabry, 2017).
 
+    One aggregation brings a point's draws into a sorted array; the tail's fit is folds over it. k is null where
+    the tail has fewer than five draws or no spread; weights are then the raw ones.
+    """
     by = list(by)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in loglik.schema if f.name in by), "elpd double, k double"])
-
-    def many(pdf: pd.DataFrame) -> pd.DataFrame:
-        # a bucket has many points, as a call for each would cost more than its work
-        found = [(*(key if isinstance(key, tuple) else (key,)), *psis_point(one.to_numpy(float))) for key, one in pdf.groupby(by, sort=False, dropna=False)["ll"]]
-        return pd.DataFrame(found, columns=[*by, "elpd", "k"])
-
-    buckets = 8 * int(loglik.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return loglik.groupBy(F.pmod(F.xxhash64(*by), F.lit(buckets))).applyInPandas(many, schema)
+    point = loglik.groupBy(*by).agg(F.sort_array(F.collect_list(-F.col("ll").cast("double"))).alias("r"))
+
+    def of(s: Column) -> Column:
+        """s: log ratios less their largest, in rising order, and the least log-likelihood."""
+        w, n = s["w"], F.size(s["w"])
+        size = F.floor(F.least(0.2 * n, 3 * F.sqrt(n))).cast("int")
+
+        def density(weights: Column) -> Column:
+            terms = F.zip_with(weights, w, lambda a, b: a - b)
+            summed = lambda x: let(F.array_max(x), lambda top: F.log(fold(x, lambda v: F.exp(v - top))) + top)
+            return summed(terms) + s["least"] - summed(weights)
+
+        def smoothed(tail: Column) -> Column:
+            cut = F.exp(F.get(w, n - size - 1))
+            fitted = lambda p: cut + F.when(F.abs(tail["k"]) < 1e-9, -tail["sigma"] * F.log1p(-p)).otherwise(tail["sigma"] * (F.pow(1 - p, -tail["k"]) - 1) / tail["k"])
+            last = F.transform(F.sequence(F.lit(1), size), lambda i: F.least(F.log(fitted((i - 0.5) / size)), F.lit(0.0)))
+            return F.concat(F.slice(w, F.lit(1), n - size), last)
+
+        raw = F.struct(density(w).alias("elpd"), F.lit(None).cast("double").alias("k"))
+        excess = let(F.exp(F.get(w, n - size - 1)), lambda cut: F.transform(F.slice(w, n - size + 1, size), lambda x: F.exp(x) - cut))
+        fit = lambda x: let(generalised_pareto(F.transform(x, lambda v: F.greatest(v, F.lit(1e-300)))), lambda tail: F.struct(density(smoothed(tail)).alias("elpd"), tail["k"].alias("k")))
+        spread = lambda x: F.when(F.array_max(x) > 0, fit(x)).otherwise(raw)
+        return F.when(size < 5, raw).otherwise(let(excess, spread))
+
+    shifted = let(F.array_max("r"), lambda top: F.struct(F.transform("r", lambda x: x - top).alias("w"), (-top).alias("least")))
+    return point.select(*by, let(shifted, of).alias("p")).select(*by, "p.elpd", "p.k")
+
+
+def generalised_pareto(x: Column) -> Column:
+    """Struct of shape k and scale sigma for a rising array of excesses: Zhang and Stephens (2009), with a weak prior on the shape."""
+    n = F.size(x)
+    m = 30 + F.floor(F.sqrt(n)).cast("int")
+    quarter = F.greatest(F.get(x, F.floor(n / 4 + 0.5).cast("int") - 1), F.lit(1e-300))
+    shape = lambda theta: fold(x, lambda v: F.log1p(-theta * v)) / n
+    grid = let(F.struct((1 / F.array_max(x)).alias("a"), (3 * quarter).alias("q")), lambda c: F.transform(F.sequence(F.lit(1), m), lambda j: c["a"] + (1 - F.sqrt(m / (j - 0.5))) / c["q"]))
+
+    def weighed(theta: Column) -> Column:
+        profile = F.transform(theta, lambda th: let(shape(th), lambda sh: n * (F.log(-th / sh) - sh - 1)))
+        weights = let(profile, lambda all_: F.transform(all_, lambda p: 1 / fold(all_, lambda q: F.exp(F.least(q - p, F.lit(700.0))))))
+        return let(weights, lambda w: fold(F.zip_with(theta, w, lambda a, b: a * b), lambda v: v) / fold(w, lambda v: v))
+
+    best = let(grid, weighed)
+    return let(best, lambda t: let(shape(t), lambda k: F.struct(((n * k + 5) / (n + 10)).alias("k"), (-k / t).alias("sigma"))))
 
 
 def saved_draws(draws: DataFrame, n: int, seed: int = 29) -> DataFrame:

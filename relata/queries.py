@@ -351,6 +351,44 @@ def waic(spark, sf_dir):
     return rounded(summaries.waic(a))
 
 
+PSIS_SQL = """lx AS (SELECT t, i AS draw, j AS i, -x / 50.0 AS ll FROM activity),
+ws AS (SELECT t, i, -ll - max(-ll) OVER p AS w, min(ll) OVER p AS least, row_number() OVER (PARTITION BY t, i ORDER BY -ll, draw) AS rk, count(*) OVER p AS n FROM lx WINDOW p AS (PARTITION BY t, i)),
+s AS MATERIALIZED (SELECT *, CAST(floor(least(0.2 * n, 3 * sqrt(n))) AS BIGINT) AS m FROM ws),
+cut AS (SELECT t, i, exp(w) AS cut FROM s WHERE rk = n - m AND m >= 5),
+xs AS MATERIALIZED (SELECT s.t, s.i, rk - (n - m) AS q, m, greatest(exp(w) - cut, 1e-300) AS x FROM s JOIN cut ON cut.t = s.t AND cut.i = s.i WHERE rk > n - m),
+g AS (SELECT t, i, m, 30 + CAST(floor(sqrt(m)) AS BIGINT) AS gm, max(x) AS xl, max(x) FILTER (WHERE q = floor(m / 4.0 + 0.5)) AS xq FROM xs GROUP BY t, i, m HAVING max(x) > 1e-300),
+th AS MATERIALIZED (SELECT t, i, m, j, 1 / xl + (1 - sqrt(gm / (j - 0.5))) / (3 * xq) AS th FROM (SELECT *, unnest(range(1, gm + 1)) AS j FROM g)),
+sh AS (SELECT th.t, th.i, th.m, j, th, sum(ln(1 - th * x)) / th.m AS sh FROM th JOIN xs ON xs.t = th.t AND xs.i = th.i GROUP BY th.t, th.i, th.m, j, th),
+pf AS MATERIALIZED (SELECT *, m * (ln(-th / sh) - sh - 1) AS p FROM sh),
+wt AS (SELECT a.t, a.i, a.m, a.j, a.th, 1 / sum(exp(least(b.p - a.p, 700))) AS wt FROM pf a JOIN pf b ON a.t = b.t AND a.i = b.i GROUP BY a.t, a.i, a.m, a.j, a.th),
+tt AS (SELECT t, i, m, sum(th * wt) / sum(wt) AS tt FROM wt GROUP BY t, i, m),
+kk AS (SELECT tt.t, tt.i, tt.m, tt, sum(ln(1 - tt * x)) / tt.m AS k0 FROM tt JOIN xs ON xs.t = tt.t AND xs.i = tt.i GROUP BY tt.t, tt.i, tt.m, tt),
+kf AS (SELECT t, i, (m * k0 + 5) / (m + 10) AS k, -k0 / tt AS sigma FROM kk),
+sm AS (SELECT s.t, s.i, w, least, k, CASE WHEN k IS NOT NULL AND rk > n - m THEN least(ln(cut + sigma * (pow(1 - (rk - (n - m) - 0.5) / m, -k) - 1) / k), 0) ELSE w END AS a
+  FROM s LEFT JOIN kf ON kf.t = s.t AND kf.i = s.i LEFT JOIN cut ON cut.t = s.t AND cut.i = s.i)"""
+
+
+@query(with_(d.ACTIVITY_SQL, PSIS_SQL, select=f"SELECT t, i, {r('min(least) + ln(sum(exp(a - w))) - ln(sum(exp(a)))', 'elpd')}, {r('min(k)', 'k')} FROM sm GROUP BY t, i"))
+def psis_loo(spark, sf_dir):
+    """Smoothed leave-one-out densities, taking summed values of a week and type as draws of its log-likelihood."""
+    ll = d.activity(spark, sf_dir).select("t", F.col("i").alias("draw"), F.col("j").alias("i"), (-F.col("x") / 50.0).alias("ll"))
+    return rounded(summaries.psis_loo(ll, ("t", "i")))
+
+
+ESS_SQL = """c AS MATERIALIZED (SELECT chain, draw, value - avg(value) OVER (PARTITION BY chain) AS c, count(*) OVER (PARTITION BY chain) AS n FROM draws),
+acf AS (SELECT a.chain, b.draw - a.draw AS lag, sum(a.c * b.c) / count(*) AS v FROM c a JOIN c b ON a.chain = b.chain AND b.draw > a.draw GROUP BY 1, 2),
+v0 AS (SELECT chain, n, avg(c * c) AS v FROM c GROUP BY chain, n),
+pr AS (SELECT acf.chain, (lag + 1) // 2 AS p, sum(acf.v) / min(v0.v) AS rho FROM acf JOIN v0 ON v0.chain = acf.chain GROUP BY 1, 2 HAVING count(*) = 2),
+st AS (SELECT chain, min(p) AS s FROM pr WHERE rho < 0 GROUP BY chain),
+mo AS (SELECT pr.chain, min(rho) OVER (PARTITION BY pr.chain ORDER BY p) AS r FROM pr LEFT JOIN st ON st.chain = pr.chain WHERE s IS NULL OR p < s),
+es AS (SELECT v0.chain, least(min(n), min(n) / greatest(1e-12, 1 + 2 * coalesce(sum(r), 0))) AS ess FROM v0 LEFT JOIN mo ON mo.chain = v0.chain GROUP BY v0.chain)"""
+
+
+@query(with_(d.DRAWS_SQL, ESS_SQL, select=f"SELECT 'value' AS term, {r('sum(ess)', 'ess')} FROM es"))
+def effective_sizes(spark, sf_dir):
+    return rounded(summaries.effective_size(d.nested_draws(spark, sf_dir)))
+
+
 SNAP_SQL = "ind AS (SELECT t AS year, i AS draw, j AS actor, CASE WHEN y > 3 THEN 1.0 ELSE 0.0 END AS value FROM activity), ix AS (SELECT draw, year, avg(value) AS index FROM ind GROUP BY draw, year)"
 
 

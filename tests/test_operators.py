@@ -152,7 +152,7 @@ def test_summaries_and_scores(spark):
 
 
 def test_importance_sampling_of_a_normal():
-    from relata.functions.distributions import psis_point
+    from plain import psis_point
 
     rng = np.random.default_rng(6)
     y = rng.normal(size=40)
@@ -160,3 +160,36 @@ def test_importance_sampling_of_a_normal():
     got = psis_point(-0.5 * (y[0] - mean) ** 2 - 0.5 * np.log(2 * np.pi))[0]
     rest, v = y[1:].mean(), 1 + 1 / 39
     assert abs(got - (-0.5 * (y[0] - rest) ** 2 / v - 0.5 * np.log(2 * np.pi * v))) < 0.02
+
+
+def test_effective_sizes_equal_the_plain_ones(spark):
+    from plain import chain_ess
+
+    rng = np.random.default_rng(8)
+    chains = {}
+    for c, (n, rho) in enumerate([(200, 0.9), (101, 0.0), (60, -0.5), (3, 0.0), (4, 0.3), (5, 0.1), (40, None)]):
+        x = rng.normal(size=n)
+        for k in range(1, n):
+            x[k] += (rho or 0.0) * x[k - 1]
+        chains[c] = x if rho is not None else np.full(n, 2.5)
+    rows = [(c % 2, c // 2, k, float(v)) for c, x in chains.items() for k, v in enumerate(x)]
+    draws = spark.createDataFrame(rows, "term int, chain int, draw int, value double").repartition(4)
+    got = {r.term: r.ess for r in summaries.effective_size(draws).collect()}
+    for term in (0, 1):
+        assert np.isclose(got[term], sum(chain_ess(x) for c, x in chains.items() if c % 2 == term))
+    assert "Python" not in summaries.effective_size(draws)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_smoothed_densities_equal_the_plain_ones(spark):
+    from plain import psis_point
+
+    rng = np.random.default_rng(9)
+    points = {0: -rng.exponential(2.0, 400), 1: -0.5 * rng.normal(size=150) ** 2, 2: -(rng.normal(size=300) ** 4), 3: rng.normal(size=12), 4: np.zeros(80), 5: np.array([-1.0]), 6: -rng.exponential(300.0, 90)}
+    rows = [(k, "a", "b", d, float(v)) for k, x in points.items() for d, v in enumerate(x)]
+    ll = spark.createDataFrame(rows, "t int, i string, j string, draw int, ll double").repartition(3)
+    got = {r.t: (r.elpd, r.k) for r in summaries.psis_loo(ll).collect()}
+    for k, x in points.items():
+        elpd, shape = psis_point(x)
+        assert np.isclose(got[k][0], elpd) and (got[k][1] is None) == bool(np.isnan(shape)), k
+        assert np.isnan(shape) or np.isclose(got[k][1], shape)
+    assert summaries.psis_loo(ll.limit(0)).count() == 0
