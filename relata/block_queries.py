@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from relata import datasets as d
+from relata.operators import dyads
 from relata.operators.bootstrap import bootstrap_draws, bootstrap_intervals
 from relata.plans.blocks import BlockFit, block_fit
 from relata.queries import query, rounded, with_
@@ -150,3 +151,21 @@ def bootstrap_counts(spark, sf_dir):
     """The same with counts of mean 1 as weights."""
     draws = bootstrap_draws(_cells(spark, sf_dir, F.log("price")), ["intercept", "x"], 200, ("i",), scheme="poisson")
     return rounded(bootstrap_intervals(draws), FIT_DIGITS)
+
+
+ALIGN_SQL = """pos AS (SELECT t, i AS actor, sum(y) AS u0, sum(x) / 50 AS u1 FROM activity GROUP BY t, i),
+pe AS (SELECT t, lag(t) OVER (ORDER BY t) AS bf, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM pos)),
+mm AS (SELECT p.k, sum(a.u0 * b.u0) AS m00, sum(a.u0 * b.u1) AS m01, sum(a.u1 * b.u0) AS m10, sum(a.u1 * b.u1) AS m11 FROM pe p JOIN pos a ON a.t = p.t JOIN pos b ON b.t = p.bf AND b.actor = a.actor GROUP BY p.k),
+tu(k, q00, q01, q10, q11) AS (
+  SELECT CAST(1 AS BIGINT), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL SELECT k, CASE WHEN d >= 0 THEN a / h ELSE e / g END, CASE WHEN d >= 0 THEN -b / h ELSE f / g END, CASE WHEN d >= 0 THEN b / h ELSE f / g END, CASE WHEN d >= 0 THEN a / h ELSE -e / g END
+  FROM (SELECT k, n00 * n11 - n01 * n10 AS d, n00 + n11 AS a, n10 - n01 AS b, sqrt((n00 + n11) * (n00 + n11) + (n10 - n01) * (n10 - n01)) AS h, n00 - n11 AS e, n01 + n10 AS f, sqrt((n00 - n11) * (n00 - n11) + (n01 + n10) * (n01 + n10)) AS g
+    FROM (SELECT mm.k, m00 * q00 + m01 * q10 AS n00, m00 * q01 + m01 * q11 AS n01, m10 * q00 + m11 * q10 AS n10, m10 * q01 + m11 * q11 AS n11 FROM tu JOIN mm ON mm.k = tu.k + 1))
+)"""
+
+
+@query("WITH RECURSIVE " + d.ACTIVITY_SQL + ", " + ALIGN_SQL + f"\nSELECT pos.t, actor, {_round('u0 * q00 + u1 * q10', 'u0')}, {_round('u0 * q01 + u1 * q11', 'u1')} FROM pos JOIN pe ON pe.t = pos.t JOIN tu ON tu.k = pe.k")
+def aligned_positions(spark, sf_dir):
+    """Weekly positions of users, each week turned onto the one before."""
+    a = d.activity(spark, sf_dir).groupBy("t", F.col("i").alias("actor")).agg(F.array(F.sum("y"), F.sum("x") / 50).alias("u"))
+    return rounded(dyads.aligned_over_time(a, 2).select("t", "actor", F.get("u", F.lit(0)).alias("u0"), F.get("u", F.lit(1)).alias("u1")), FIT_DIGITS)

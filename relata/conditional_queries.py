@@ -143,23 +143,40 @@ def reset_probabilities(spark, sf_dir):
     return rounded(c.reset_probability(_steps(spark, sf_dir), 0.8, 0.7, 2.0, 0.1).select("i", "j", "t", "log_odds", "reset"))
 
 
-def _prior_sql(value: str) -> str:
-    return f"SELECT CAST(r AS INTEGER) AS r, CAST(s AS INTEGER) AS s, {r(value, 'value')} FROM range(0, 7) a(r) CROSS JOIN range(0, 7) b(s)"
+#: Paths of the values of users and types over the weeks of the table, absent weeks as 0.
+FULL_SQL = (
+    "wk AS (SELECT t, CAST(row_number() OVER (ORDER BY t) - 1 AS INTEGER) AS r FROM (SELECT DISTINCT t FROM activity)), "
+    "fp AS (SELECT k.i, k.j, wk.r, coalesce(a.x, 0) / 47 AS x FROM (SELECT DISTINCT i, j FROM activity) k CROSS JOIN wk LEFT JOIN activity a ON a.i = k.i AND a.j = k.j AND a.t = wk.t), "
+    "lg AS (SELECT *, lag(x) OVER w AS p1, lag(x, 2) OVER w AS p2 FROM fp WINDOW w AS (PARTITION BY i, j ORDER BY r))"
+)
 
 
-@query(_prior_sql("CASE WHEN r = s THEN CASE WHEN r IN (0, 6) THEN 1 ELSE 1 + 0.81 END WHEN abs(r - s) = 1 THEN -0.9 ELSE 0 END / 0.5"))
+def _energy(spark, sf_dir, kind, rho=1.0):
+    """x'Qx of each path under the prior's precision for as many periods as the table has."""
+    a = d.activity(spark, sf_dir)
+    weeks = a.select("t").distinct().withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("t")) - 1)
+    x = a.join(F.broadcast(weeks), "t").select("i", "j", "r", (F.col("x") / 47).alias("x"))
+    prior = c.path_prior(kind, weeks.count(), rho, 0.5, spark=spark)
+    return rounded(c.path_energy(x, prior, ["i", "j"]))
+
+
+def _energy_sql(value: str) -> str:
+    return with_(d.ACTIVITY_SQL, FULL_SQL, select=f"SELECT i, j, {r(value, 'energy')} FROM lg GROUP BY i, j")
+
+
+@query(_energy_sql("(sum(CASE WHEN r = 0 THEN (1 - 0.81) * x * x ELSE 0 END) + coalesce(sum((x - 0.9 * p1) * (x - 0.9 * p1)), 0)) / 0.5"))
 def path_prior_ar1(spark, sf_dir):
-    return rounded(c.path_prior("ar1", 7, 0.9, 0.5, spark=spark))
+    return _energy(spark, sf_dir, "ar1", 0.9)
 
 
-@query(_prior_sql("CASE WHEN r = s THEN CASE WHEN r IN (0, 6) THEN 1 ELSE 2 END WHEN abs(r - s) = 1 THEN -1 ELSE 0 END / 0.5 + CASE WHEN r = s THEN 0.01 ELSE 0 END"))
+@query(_energy_sql("coalesce(sum((x - p1) * (x - p1)), 0) / 0.5 + 0.01 * sum(x * x)"))
 def path_prior_rw1(spark, sf_dir):
-    return rounded(c.path_prior("rw1", 7, sigma2=0.5, spark=spark))
+    return _energy(spark, sf_dir, "rw1")
 
 
-@query(_prior_sql("(SELECT sum(CASE WHEN r = k OR r = k + 2 THEN 1 WHEN r = k + 1 THEN -2 ELSE 0 END * CASE WHEN s = k OR s = k + 2 THEN 1 WHEN s = k + 1 THEN -2 ELSE 0 END) FROM range(0, 5) q(k)) / 0.5 + CASE WHEN r = s THEN 0.01 ELSE 0 END"))
+@query(_energy_sql("coalesce(sum((x - 2 * p1 + p2) * (x - 2 * p1 + p2)), 0) / 0.5 + 0.01 * sum(x * x)"))
 def path_prior_rw2(spark, sf_dir):
-    return rounded(c.path_prior("rw2", 7, sigma2=0.5, spark=spark))
+    return _energy(spark, sf_dir, "rw2")
 
 
 FILTER_SQL = """RECURSIVE src AS (SELECT i, t, dense_rank() OVER (ORDER BY t) AS k, count(e) AS n, coalesce(sum(e), 0) AS s FROM ce GROUP BY i, t),
@@ -217,13 +234,14 @@ def inverse_links(spark, sf_dir):
 
 
 def _halton_sql(base: int) -> str:
-    return f"SELECT {base} AS base, CAST(k - 31 AS INTEGER) AS k, {r(f'list_sum(list_transform(range(0, 12), lambda p: CAST((k // CAST(pow({base}, p) AS BIGINT)) % {base} AS DOUBLE) / pow({base}, p + 1)))', 'value')} FROM range(31, 231) g(k)"
+    return r(f"list_sum(list_transform(range(0, 40), lambda p: CAST(CAST(floor((event_id + 31) / pow({base}, p)) AS BIGINT) % {base} AS DOUBLE) / pow({base}, p + 1)))", f"base{base}")
 
 
-@query(" UNION ALL ".join(_halton_sql(b) for b in (2, 3, 5)))
+@query("SELECT event_id, " + ", ".join(_halton_sql(b) for b in (2, 3, 5)) + " FROM events")
 def halton_points(spark, sf_dir):
-    rows = [(b, k, float(v)) for b in (2, 3, 5) for k, v in enumerate(distributions.halton(200, b))]
-    return rounded(spark.createDataFrame(rows, "base int, k int, value double"))
+    """A point of the low-discrepancy sequence for each event, by its number."""
+    e = d.read(spark, sf_dir, "events")
+    return rounded(e.select("event_id", *[distributions.radical_inverse(F.col("event_id") + 31, b).alias(f"base{b}") for b in (2, 3, 5)]))
 
 
 @query(with_(*E_SQL, MEANS_SQL, select=f"SELECT t, i, j, {r('eta + a + b', 'fitted')}, {r('e - a - b', 'residual')} FROM ce JOIN ra USING (i) JOIN rb USING (j)"))
@@ -237,6 +255,7 @@ def additive_residuals(spark, sf_dir):
 
 @query(with_(PANEL_SQL, "s AS (SELECT CAST(count(DISTINCT i) AS INTEGER) AS n, CAST(count(DISTINCT j) AS INTEGER) AS m FROM cells), k AS (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS rank)", select="SELECT rank, CAST(4 + 1 + (n - 1) + (m - 1) + rank * (n + m - rank) AS INTEGER) AS directed, CAST(4 + 1 + (n - 1) + rank * n - rank * (rank - 1) // 2 AS INTEGER) AS symmetric FROM s CROSS JOIN k"))
 def mean_parameters(spark, sf_dir):
-    n = trade_panel(spark, sf_dir).where("y is not null").agg(F.countDistinct("i").alias("n"), F.countDistinct("j").alias("m")).first()
+    n = trade_panel(spark, sf_dir).where("y is not null").agg(F.countDistinct("i").cast("int").alias("n"), F.countDistinct("j").cast("int").alias("m"))
     f = regression.degrees_of_freedom
-    return spark.createDataFrame([(k, f(4, n["n"], n["m"], k, False), f(4, n["n"], None, k, True)) for k in (0, 1, 2)], "rank int, directed int, symmetric int")
+    rows = [F.struct(F.lit(k).alias("rank"), f(4, F.col("n"), F.col("m"), k, False).cast("int").alias("directed"), f(4, F.col("n"), None, k, True).cast("int").alias("symmetric")) for k in (0, 1, 2)]
+    return n.select(F.inline(F.array(*rows)))

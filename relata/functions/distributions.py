@@ -124,6 +124,12 @@ def halton(n: int, base: int, burn: int = 30, shift: float = 0.0) -> np.ndarray:
     return np.clip((out + shift) % 1.0, 1e-12, 1 - 1e-12)
 
 
+def radical_inverse(k: Column, base: int, digits: int = 40) -> Column:
+    """The k-th point of the van der Corput sequence of a base, as a fold over the digits of k."""
+    step = lambda total, p: total + F.pmod(F.floor(k / F.pow(F.lit(float(base)), p)), F.lit(base)) / F.pow(F.lit(float(base)), p + 1)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(digits - 1)), F.lit(0.0), step)
+
+
 def primes() -> Iterator[int]:
     found: list[int] = []
     k = 2

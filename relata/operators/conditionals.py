@@ -134,6 +134,13 @@ def reset_probability(steps: DataFrame, rho: float, sigma2: float, prior_varianc
     return steps.withColumn("log_odds", float(np.log(rate / (1 - rate))) + anew - go_on).withColumn("reset", 1 / (1 + F.exp(-F.col("log_odds"))))
 
 
+def path_energy(paths: DataFrame, prior: DataFrame, key: list[str]) -> DataFrame:
+    """(key, energy): x'Qx of each path (key, r, x) under a precision (r, s, value); places that a path lacks count as 0."""
+    here, there = paths.select(*key, "r", "x"), paths.select(*key, F.col("r").alias("s"), F.col("x").alias("z"))
+    near = here.join(F.broadcast(prior.where("value <> 0")), "r")  # as many rows as periods squared at most
+    return near.join(there, [*key, "s"], "left").groupBy(*key).agg(F.sum(F.col("x") * F.col("value") * F.coalesce("z", F.lit(0.0))).alias("energy"))
+
+
 def path_prior(kind: str, n: int, rho: float = 0.9, sigma2: float = 1.0, level: float = 0.01, spark=None) -> DataFrame:
     """(r, s, value): the prior precision of a path of n periods, as the sampler and the point estimates use it."""
     from relata.plans.gibbs import path_precision

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,18 +92,33 @@ def rotated(positions: DataFrame, q: np.ndarray) -> DataFrame:
 
 
 def aligned_over_time(positions: DataFrame, rank: int) -> DataFrame:
-    """Positions (t, actor, u), each period rotated onto the one before as it was rotated; a period is a step of the driver with rank^2 numbers."""
-    periods = [r.t for r in positions.select("t").distinct().orderBy("t").collect()]
-    turn, out = np.eye(rank), positions.where(F.col("t") == (periods[0] if periods else None))
-    for before, now in zip(periods, periods[1:]):
-        old, new = positions.where(F.col("t") == before).drop("t"), positions.where(F.col("t") == now).drop("t")
-        m = np.zeros((rank, rank))
-        for r in cross_product(new, old).collect():
-            m[r["r"], r["s"]] = r["value"]
-        u, _, v = np.linalg.svd(m @ turn)
-        turn = u @ v
-        out = out.unionByName(rotated(positions.where(F.col("t") == now), turn))
-    return out
+    """Positions (t, actor, u), each period rotated onto the one before as it was rotated.
+
+    One plan for any number of periods: the products of all pairs of neighbouring periods come from one
+    aggregation, rank^2 numbers a pair; the rotations follow from them in order, in one task that gets
+    these numbers alone, and are joined back to the positions.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy("t")
+    periods = positions.select("t").distinct().select("t", F.lag("t").over(order).alias("before"))
+    old = positions.select(F.col("t").alias("before"), "actor", F.col("u").alias("b"))
+    pairs = positions.join(periods, "t").join(old, ["before", "actor"])
+    cells = [F.sum(F.get("u", F.lit(r)).cast("double") * F.get("b", F.lit(s)).cast("double")).alias(f"m{r}_{s}") for r in range(rank) for s in range(rank)]
+    products = periods.join(pairs.groupBy("t").agg(*cells), "t", "left")
+    kind = positions.schema["t"].dataType.simpleString()
+
+    def turns(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, turn, out = pdf.sort_values("t"), np.eye(rank), []
+        m = pdf[[f"m{r}_{s}" for r in range(rank) for s in range(rank)]].fillna(0.0).to_numpy(float).reshape(-1, rank, rank)
+        for k in range(len(pdf)):
+            if k:
+                u, _, v = np.linalg.svd(m[k] @ turn)
+                turn = u @ v
+            out.append(turn.T.tolist())
+        return pd.DataFrame({"t": pdf["t"], "turn": out})
+
+    turned = products.drop("before").groupBy().applyInPandas(turns, f"t {kind}, turn array<array<double>>")
+    along = F.transform("turn", lambda c: F.aggregate(F.zip_with("u", c, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x))
+    return positions.join(turned, "t").withColumn("u", along).drop("turn").select(positions.columns)
 
 
 def centred_products(surface: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -730,7 +730,7 @@ def fit_leave_future_out(spark, sf_dir):
 
 @query()
 def fit_prior_paths(spark, sf_dir):
-    """What coefficient paths of the prior look like."""
+    """What coefficient paths of the prior look like over the panel's periods."""
     from relata.plans import models as m
 
-    return m.prior_summary(spark, 7, 500)
+    return m.prior_summary(spark, trade_panel(spark, sf_dir).select("t").distinct().count(), 500)

@@ -32,6 +32,13 @@ FILTERED = "actor string, t long, level double, variance double"
 STATE = "level double, variance double, t long"
 
 
+def ahead(level: float, variance: float, steps: int, rho: float, state_variance: float) -> tuple[float, float]:
+    """Mean and variance of an autoregressive level after any number of steps, in closed form."""
+    decay = rho**steps
+    spread = float(steps) if abs(rho) == 1 else (1 - decay * decay) / (1 - rho * rho)
+    return decay * level, decay * decay * variance + state_variance * spread
+
+
 def forward_filter(observations: DataFrame, rho: float = 0.9, state_variance: float = 0.1, noise: float = 1.0) -> DataFrame:
     """Kalman filter of an autoregressive level per actor, over a stream of (actor, t, y); the state is three numbers per actor.
 
@@ -45,9 +52,8 @@ def forward_filter(observations: DataFrame, rho: float = 0.9, state_variance: fl
         for t, y in zip(rows["t"], rows["y"]):
             if last is not None and t < last:
                 continue
-            steps = 0 if last is None else int(t - last)
-            for _ in range(min(steps, 1000)):
-                level, variance = rho * level, rho * rho * variance + state_variance
+            if last is not None:
+                level, variance = ahead(level, variance, int(t - last), rho, state_variance)
             gain = variance / (variance + noise)
             level, variance, last = level + gain * (y - level), (1 - gain) * variance, t
             out.append((key[0], int(t), float(level), float(variance)))

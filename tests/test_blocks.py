@@ -73,7 +73,7 @@ def fitted_matrix(fit, spark, x):
     return out
 
 
-@pytest.mark.parametrize("rank,weighted", [(0, False), (2, False), (2, True)])
+@pytest.mark.parametrize("rank,weighted", [(0, False), (2, True)])
 def test_every_sweep_equals_the_dense_one(spark, rank, weighted):
     x, y = simulated()
     w = np.random.default_rng(1).uniform(0.2, 2, x.shape) if weighted else None
@@ -127,8 +127,8 @@ def test_reweighted_steps_equal_the_dense_ones(spark, family, rank):
 def test_factors_of_counts_lower_the_penalised_deviance(spark):
     x, y = simulated(20, 16, 0.9, 5, "poisson")
     cells = table(spark, x, y)
-    without = blocks.block_fit(cells, ["intercept", "x"], family="poisson", sweeps=2, outer=2)
-    fit = blocks.block_fit(cells, ["intercept", "x"], 1, "poisson", ridge="empirical", sweeps=2, outer=2)
+    without = blocks.block_fit(cells, ["intercept", "x"], family="poisson", sweeps=1, outer=2)
+    fit = blocks.block_fit(cells, ["intercept", "x"], 1, "poisson", ridge="empirical", sweeps=1, outer=2)
     eta = fitted_matrix(fit, spark, x)
     assert links.deviance(y, np.where(np.isnan(y), np.nan, eta), "poisson") < without.objective
 
@@ -137,7 +137,7 @@ def test_an_overshooting_step_is_halved(spark):
     """Counts of zero beside one of 10^6: a full step from the mean raises the deviance, and the kept iterates never do."""
     y = np.zeros((6, 6))
     y[0, 0] = 1e6
-    fit = blocks.block_fit(table(spark, np.zeros_like(y), y), ["intercept"], family="poisson", sweeps=1, outer=3)
+    fit = blocks.block_fit(table(spark, np.zeros_like(y), y), ["intercept"], family="poisson", sweeps=1, outer=2)
     assert fit.trace == sorted(fit.trace, reverse=True) and len(fit.trace) > 1 and np.isfinite(fit.objective)
 
 

@@ -193,3 +193,28 @@ def test_smoothed_densities_equal_the_plain_ones(spark):
         assert np.isclose(got[k][0], elpd) and (got[k][1] is None) == bool(np.isnan(shape)), k
         assert np.isnan(shape) or np.isclose(got[k][1], shape)
     assert summaries.psis_loo(ll.limit(0)).count() == 0
+
+
+def test_alignment_is_one_plan_for_any_number_of_periods(spark):
+    from relata.operators import dyads
+
+    rng = np.random.default_rng(3)
+    base, periods = rng.normal(size=(12, 3)), list(range(3, 15))
+    rows, want, turn, last = [], {}, np.eye(3), None
+    for t in periods:
+        now = (base + 0.05 * rng.normal(size=base.shape)) @ np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        here = [k for k in range(12) if (k + t) % 5]
+        if last is not None:
+            both = [k for k in here if k in last[0]]
+            u, _, v = np.linalg.svd(now[both].T @ last[1][both] @ turn)
+            turn = u @ v
+        want |= {(t, k): now[k] @ turn for k in here}
+        rows += [(t, str(k), [float(x) for x in now[k]]) for k in here]
+        last = here, now
+    table = spark.createDataFrame(rows, "t int, actor string, u array<double>")
+    out = dyads.aligned_over_time(table, 3)
+    got = {(r.t, int(r.actor)): r.u for r in out.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(dyads.aligned_over_time(table.where("t < 99"), 3)) == size(dyads.aligned_over_time(table.where("t < 5"), 3))
+    assert dyads.aligned_over_time(table.limit(0), 3).count() == 0

@@ -51,3 +51,12 @@ def test_forward_filter(spark, tmp_path):
         if ("a", t) in got and all(("a", s) in got for s in range(t + 1)):
             assert got[("a", t)] == pytest.approx((level, v))
     assert ("a", 3) in got and ("b", 2) in got
+
+
+def test_prediction_over_a_gap_is_exact():
+    level, variance = 3.0, 2.0
+    for _ in range(7):
+        level, variance = 0.9 * level, 0.81 * variance + 0.3
+    assert panel.ahead(3.0, 2.0, 7, 0.9, 0.3) == pytest.approx((level, variance))
+    assert panel.ahead(3.0, 2.0, 0, 0.9, 0.3) == (3.0, 2.0) and panel.ahead(3.0, 2.0, 10, 1.0, 0.5) == (3.0, 7.0)
+    assert panel.ahead(3.0, 2.0, 10**6, 0.9, 0.3) == pytest.approx((0.0, 0.3 / 0.19))
