@@ -11,6 +11,8 @@ from relata.operators import dyads
 from relata.operators.bootstrap import bootstrap_draws, bootstrap_intervals
 from relata.plans.blocks import BlockFit, block_fit
 from relata.queries import query, rounded, with_
+from relata.session import scratch_path
+from relata.sources.draws import pack, unpack
 
 #: Digits of the results, after several sweeps of sums in other orders.
 FIT_DIGITS = 5
@@ -169,3 +171,13 @@ def aligned_positions(spark, sf_dir):
     """Weekly positions of users, each week turned onto the one before."""
     a = d.activity(spark, sf_dir).groupBy("t", F.col("i").alias("actor")).agg(F.array(F.sum("y"), F.sum("x") / 50).alias("u"))
     return rounded(dyads.aligned_over_time(a, 2).select("t", "actor", F.get("u", F.lit(0)).alias("u0"), F.get("u", F.lit(1)).alias("u1")), FIT_DIGITS)
+
+
+@query(with_(d.ACTIVITY_SQL, select=f"SELECT CAST(CAST(i AS INTEGER) % 2 AS INTEGER) AS chain, CAST(i AS INTEGER) AS draw, 'x' AS block, j AS term, t, {_round('x', 'value')} FROM activity WHERE CAST(i AS INTEGER) % 2 = 1"))
+def packed_draws(spark, sf_dir):
+    """Weekly sums as draws of two blocks and chains: packed, and one block and chain of them read back."""
+    a = d.activity(spark, sf_dir).withColumn("draw", F.col("i").cast("int"))
+    long = a.select(F.pmod("draw", F.lit(2)).cast("int").alias("chain"), "draw", F.inline(F.array(F.struct(F.lit("x").alias("block"), F.col("x").alias("value")), F.struct(F.lit("y").alias("block"), F.col("y").alias("value")))), F.col("j").alias("term"), "t")
+    path = scratch_path(spark, "packed")
+    pack(long.withColumns({"i": F.lit(None).cast("string"), "j": F.lit(None).cast("string")}), path)
+    return rounded(unpack(spark, path, "x", 1).select("chain", "draw", "block", "term", "t", "value"), FIT_DIGITS)

@@ -21,6 +21,7 @@ from relata.operators.dyads import aligned_over_time, centred_products
 from relata.plans.als import Als, AlsOptions, best_of_starts, bootstrap_replicate
 from relata.plans.arrays import DRAWS, Panel, fan_out
 from relata.plans.gibbs import Chain, Options, observed, path_step, pointwise
+from relata.sources.draws import pack, unpack
 from relata.session import written
 from relata.sources.edges import long_covariates
 
@@ -324,12 +325,15 @@ class BayesFit:
         kept = self.draws.where("draw = 0 and block not in ('gof_observed')").unionByName(self.draws.join(last, ["chain", "draw"], "left_semi"))
         return kept.where("block <> 'gof'")
 
-    def save(self, path: str) -> None:
-        """Draws as Parquet by block, and the options as JSON, readable by `load`."""
+    def save(self, path: str, packed: bool = False) -> None:
+        """Draws as Parquet by block, one number a row or packed to arrays, and the options as JSON, readable by `load`."""
         import json
 
-        self.draws.write.partitionBy("block").parquet(f"{path}/draws")
-        meta = asdict(self.options) | {"names": self.data.names, "square": self.data.square, "n_chains": self.n_chains}
+        if packed:
+            pack(self.draws, f"{path}/packed")
+        else:
+            self.draws.write.partitionBy("block").parquet(f"{path}/draws")
+        meta = asdict(self.options) | {"names": self.data.names, "square": self.data.square, "n_chains": self.n_chains, "packed": packed}
         self.draws.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").write.parquet(f"{path}/meta")
         self.data.dyads.write.parquet(f"{path}/dyads")
 
@@ -338,10 +342,11 @@ class BayesFit:
         import json
 
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
-        names, square, n = meta.pop("names"), meta.pop("square"), meta.pop("n_chains")
+        names, square, n, is_packed = meta.pop("names"), meta.pop("square"), meta.pop("n_chains"), meta.pop("packed", False)
         tuples = ("time_index", "exposure", "dynamic_beta")
         options = Options(**{k: tuple(v) if k in tuples and isinstance(v, list) else v for k, v in meta.items()})
-        return cls(Data(spark.read.parquet(f"{path}/dyads"), names, square), options, spark.read.parquet(f"{path}/draws").select(*[c.split()[0] for c in DRAWS.split(", ")]), n)
+        draws = unpack(spark, f"{path}/packed") if is_packed else spark.read.parquet(f"{path}/draws")
+        return cls(Data(spark.read.parquet(f"{path}/dyads"), names, square), options, draws.select(*[c.split()[0] for c in DRAWS.split(", ")]), n)
 
     def resume(self, scan: int) -> BayesFit:
         """More draws after the last ones, from each chain's stored state; needs the effects to be kept."""

@@ -181,6 +181,9 @@ def test_save_load_and_resume(spark, fitted, tmp_path):
     fit.save(f"file://{tmp_path}/fit")
     back = m.BayesFit.load(spark, f"file://{tmp_path}/fit")
     assert back.options == fit.options and back.draws.count() == fit.draws.count()
+    fit.save(f"file://{tmp_path}/small", packed=True)
+    small = m.BayesFit.load(spark, f"file://{tmp_path}/small")
+    assert small.options == fit.options and small.draws.exceptAll(fit.draws).isEmpty() and small.draws.count() == fit.draws.where("value is not null").count()
     more = fit.resume(50)
     assert more.beta.agg(F.max("draw")).first()[0] == fit.beta.agg(F.max("draw")).first()[0] + 10
 
@@ -365,7 +368,7 @@ def test_positions_go_on_by_their_own_process(spark, kind, variance):
     vc = [(k % 2, k + 1, "vc", t, None, None, None, v) for k in range(n) for t, v in (("rho_uv", 0.5), ("sigma2_uv", 1.0), ("pi_snap", 0.3))]
     rows = [(k % 2, k + 1, "u", str(r), 5, "a", None, 2.0 * r) for k in range(n) for r in (0, 1)] + vc
     draws = spark.createDataFrame(rows, "chain int, draw int, block string, term string, t int, i string, j string, value double").cache()
-    options = type("O", (), {"dynamic_ab": False, "dynamic_uv": kind, "dynamic_beta": False, "beta_kind": "ar1", "prior": {"kappa": 3.0, "nu": 6}})()
+    options = Options(dynamic_uv=kind, rank=2, prior={"kappa": 3.0, "nu": 6})
     fit = type("Fit", (), {"options": options, "draws": draws, "block": lambda self, b: draws.where(F.col("block") == b)})()
     got = {(r.term, r.t): (r.m, r.v) for r in m.advance(fit, 5, 2, 3).where("block = 'u'").groupBy("term", "t").agg(F.avg("value").alias("m"), F.variance("value").alias("v")).collect()}
     assert got[("0", 1)][1] == pytest.approx(variance, rel=0.15) and abs(got[("0", 1)][0]) < 0.15
