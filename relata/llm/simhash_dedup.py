@@ -51,10 +51,10 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 #: Points that meet in one bucket, about, while BUCKETS are enough; then up to eight times as many, and only then more buckets.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 BUCKETS = 1 << 16
-#: Fingerprints whose points are packed together, at least; about 35 points of a pack go to each bucket.
-PACK = 4096
+#: Fingerprints whose points are packed together, at least; about 18 points of a pack go to each bucket.
+PACK = 2048
 #: Fingerprints that one task emits the points of.
 FED = 1 << 15
 
