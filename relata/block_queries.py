@@ -7,10 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from relata import datasets as d
-from relata.operators import dyads
+from relata.operators import dyads, rankings
 from relata.operators.bootstrap import bootstrap_draws, bootstrap_intervals
 from relata.plans.blocks import BlockFit, block_fit
-from relata.queries import query, rounded, with_
+from relata.queries import _quantile_sql, query, rounded, with_
 from relata.session import scratch_path
 from relata.sources.draws import pack, unpack
 
@@ -181,3 +181,39 @@ def packed_draws(spark, sf_dir):
     path = scratch_path(spark, "packed")
     pack(long.withColumns({"i": F.lit(None).cast("string"), "j": F.lit(None).cast("string")}), path)
     return rounded(unpack(spark, path, "x", 1).select("chain", "draw", "block", "term", "t", "value"), FIT_DIGITS)
+
+
+def _log_cdf_sql(z: str) -> str:
+    """log Phi as the columns compute it."""
+    k = f"(1 / (1 + 0.2316419 * abs({z})))"
+    p = f"least(1.0, 2 * 0.3989422804014327 * exp(-({z}) * ({z}) / 2) * (((((1.330274429 * {k} - 1.821255978) * {k} + 1.781477937) * {k} - 0.356563782) * {k} + 0.319381530) * {k}))"
+    q = f"(1 / (({z}) * ({z})))"
+    tail = f"-0.5 * ({z}) * ({z}) - ln(-({z})) - 0.9189385332046727 + ln(1 - {q} * (1 - 3 * {q} * (1 - 5 * {q} * (1 - 7 * {q}))))"
+    return f"CASE WHEN {z} < -5 THEN {tail} WHEN {z} < 0 THEN ln({p} / 2) ELSE ln(1 - {p} / 2) END"
+
+
+def rank_sql(nodes: int, depth: int) -> str:
+    """A recursion over the places of the ranking, for each user, week and node."""
+    bases = [b for b in range(2, 100) if all(b % k for k in range(2, b))][:depth]
+    points = " UNION ALL ".join(f"SELECT k, {n + 1} AS r, list_sum(list_transform(range(0, 40), lambda p: CAST(CAST(floor((k + 31) / pow({b}, p)) AS BIGINT) % {b} AS DOUBLE) / pow({b}, p + 1))) AS u FROM range(0, {nodes}) g(k)" for n, b in enumerate(bases))
+    return (
+        f"WITH RECURSIVE {d.ACTIVITY_SQL}, it AS (SELECT t, i, j, (x - 50) / 50 AS eta, y FROM activity), "
+        "rk AS MATERIALIZED (SELECT t, i, eta, row_number() OVER (PARTITION BY t, i ORDER BY y DESC, j) AS r FROM it WHERE y >= 2), fr AS (SELECT t, i, eta FROM it WHERE y < 2), "
+        f"nd AS MATERIALIZED ({points}), "
+        f"f(t, i, k, r, weight, above) AS (SELECT t, i, k, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT t, i FROM rk) CROSS JOIN range(0, {nodes}) g(k) "
+        f"UNION ALL SELECT t, i, k, r, weight + lp, least(eta + {_quantile_sql('p')}, coalesce(above, eta + {_quantile_sql('p')})) FROM (SELECT *, least(greatest(u * exp(lp), 1e-300), 1 - 1e-16) AS p "
+        f"FROM (SELECT f.t, f.i, f.k, rk.r, weight, above, eta, u, CASE WHEN above IS NULL THEN 0 ELSE {_log_cdf_sql('(above - eta)')} END AS lp FROM f JOIN rk ON rk.t = f.t AND rk.i = f.i AND rk.r = f.r + 1 JOIN nd ON nd.k = f.k AND nd.r = rk.r))), "
+        "la AS (SELECT t, i, max(r) AS r FROM rk GROUP BY t, i), "
+        f"en AS (SELECT f.t, f.i, f.k, min(weight) + coalesce(sum(CASE WHEN fr.eta IS NOT NULL THEN {_log_cdf_sql('(above - fr.eta)')} END), 0) AS w FROM f JOIN la ON la.t = f.t AND la.i = f.i AND la.r = f.r LEFT JOIN fr ON fr.t = f.t AND fr.i = f.i GROUP BY f.t, f.i, f.k), "
+        f"tp AS (SELECT t, i, max(w) AS m FROM en GROUP BY t, i)\nSELECT en.t, en.i, {_round('min(m) + ln(avg(exp(w - m)))', 'log_probability')} FROM en JOIN tp ON tp.t = en.t AND tp.i = en.i GROUP BY en.t, en.i"
+    )
+
+
+@query(rank_sql(32, 5))
+def rank_likelihood(spark, sf_dir):
+    """How likely a user's weekly order of event types is, given scores from the values; types met once only are not ranked."""
+    a = d.activity(spark, sf_dir).withColumn("eta", (F.col("x") - 50) / 50)
+    of = lambda c: F.sort_array(F.collect_list(F.when(c, F.struct((-F.col("y")).alias("y"), "j", "eta"))))
+    sides = a.groupBy("t", "i").agg(of(F.col("y") >= 2).alias("e"), of(F.col("y") < 2).alias("f")).where(F.size("e") > 0)
+    ranked = sides.select("t", "i", *[F.transform(c, lambda x: x["eta"]).alias(c) for c in ("e", "f")])
+    return rounded(rankings.rank_log_probability(ranked, ["t", "i"], 32), FIT_DIGITS)

@@ -218,3 +218,22 @@ def test_alignment_is_one_plan_for_any_number_of_periods(spark):
     size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
     assert size(dyads.aligned_over_time(table.where("t < 99"), 3)) == size(dyads.aligned_over_time(table.where("t < 5"), 3))
     assert dyads.aligned_over_time(table.limit(0), 3).count() == 0
+
+
+def test_rank_probabilities(spark):
+    """Folds over nodes against numpy's, and known probabilities of orders."""
+    from relata.functions.distributions import rank_probability_log
+    from relata.operators import rankings
+
+    rng = np.random.default_rng(6)
+    cases = {k: (rng.normal(size=n).tolist(), rng.normal(-1, 1, m).tolist()) for k, (n, m) in enumerate([(4, 0), (3, 3), (1, 5), (6, 2), (0, 3)])}
+    cases[9] = ([0.0] * 3, [])
+    cases[10] = ([-6.0, 0.0, 3.0], [6.0])  # far from likely
+    table = spark.createDataFrame([(k, e, f) for k, (e, f) in cases.items()], "k int, e array<double>, f array<double>")
+    got = {r.k: r.log_probability for r in rankings.rank_log_probability(table, ["k"], 256).collect()}
+    for k, (e, f) in cases.items():
+        eta = np.array(e + f)
+        want = rank_probability_log(eta, np.arange(len(e)), 256, free=np.arange(len(e), len(eta))) if e else 0.0
+        assert np.isclose(got[k], want, rtol=2e-3, atol=1e-4), k
+    assert abs(np.exp(got[9]) - 1 / 6) < 0.01
+    assert rankings.rank_log_probability(table.limit(0), ["k"]).count() == 0

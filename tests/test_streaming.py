@@ -60,3 +60,39 @@ def test_prediction_over_a_gap_is_exact():
     assert panel.ahead(3.0, 2.0, 7, 0.9, 0.3) == pytest.approx((level, variance))
     assert panel.ahead(3.0, 2.0, 0, 0.9, 0.3) == (3.0, 2.0) and panel.ahead(3.0, 2.0, 10, 1.0, 0.5) == (3.0, 7.0)
     assert panel.ahead(3.0, 2.0, 10**6, 0.9, 0.3) == pytest.approx((0.0, 0.3 / 0.19))
+
+
+def test_state_is_dropped_after_the_delay(spark, tmp_path):
+    """An actor that stays away begins anew; with a longer time to keep, a gap is predicted exactly, in event time."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        start, schema = dt.datetime(2024, 1, 1), "actor string, ts timestamp, t long, y double"
+        day = lambda actor, k, y: (actor, start + dt.timedelta(days=k), k, y)
+        for k, part in enumerate([[day("a", 0, 1.0), day("a", 1, 2.0), day("b", 0, 1.0)], [day("c", 30, 5.0)], [day("a", 31, 3.0), day("b", 2, 9.0), day("c", 31, 5.0)]]):
+            spark.createDataFrame(part, schema).repartition(1).write.parquet(f"{tmp_path}/o{k}")
+        import shutil
+        from pathlib import Path
+
+        Path(f"{tmp_path}/in").mkdir()
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        for name, keep, anew in (("short", 7 * 86_400_000, True), ("long", 900 * 86_400_000, False)):
+            q = panel.event_filter(stream, 0.5, 0.3, 2.0, "1 hour", keep).writeStream.format("memory").queryName(name).outputMode("append").start()
+            for k in range(3):
+                for f in Path(f"{tmp_path}/o{k}").glob("*.parquet"):
+                    shutil.copy(f, f"{tmp_path}/in/{name}{k}.parquet") if name == "short" else None
+                q.processAllAvailable()
+            q.stop()
+            got = {(r.actor, r.t): (r.level, r.variance) for r in spark.table(name).collect()}
+            assert ("b", 2) not in got  # older than the watermark
+            level, v, last = 0.0, 0.3 / 0.75, None
+            for t, y in ((0, 1.0), (1, 2.0), (31, 3.0)):
+                if t == 31 and anew:
+                    level, v, last = 0.0, 0.3 / 0.75, None
+                if last is not None:
+                    level, v = panel.ahead(level, v, t - last, 0.5, 0.3)
+                g = v / (v + 2.0)
+                level, v, last = level + g * (y - level), (1 - g) * v, t
+            assert got[("a", 31)] == pytest.approx((level, v))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
