@@ -1,6 +1,7 @@
 """The block fit against dense alternating least squares, its layout, and reweighted families against Newton's method."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -160,6 +161,15 @@ def test_layout(spark):
     assert len(scan) == 1 and not any("Exchange" in line for line in above), plan
 
 
+def test_no_join_hands_on_the_array_of_a_tile(spark):
+    """Cells that pass from one join to the next carry their own numbers; with a tile's array each would be as large as the block."""
+    x, y = simulated()
+    tiles = blocks.lay_out(table(spark, x, y), ["y", "intercept", "x"], 20, 5)
+    state = blocks.State(np.zeros(2), blocks.start(tiles.actors("rows"), 1, 1, True), blocks.start(tiles.actors("columns"), 1, 1, False))
+    plan = blocks.with_eta(tiles, state, ["intercept", "x"], 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Project \[(?:[^\n]*, )?(?:near|far)#\d+[,\]]", plan), plan
+
+
 def test_defined_cases(spark):
     empty = spark.createDataFrame([], "i string, j string, y double, intercept double, x double")
     fit = blocks.block_fit(empty, ["intercept", "x"], 1, sweeps=2)
