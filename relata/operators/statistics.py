@@ -6,9 +6,11 @@ period); a network's cells are its rows, and null cells are unobserved.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relata.session import written
@@ -17,6 +19,8 @@ By = Sequence[str]
 
 #: Actors of a block where networks are full.
 GRID_BLOCK = 1024
+#: Partners in one array, at most.
+CHUNK = 1024
 
 
 def correlation(x: str, y: str) -> Column:
@@ -51,6 +55,24 @@ def heterogeneity(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     return means.groupBy(*by).agg(F.stddev_samp(F.when(row, F.col("m"))).alias("sd_row"), F.stddev_samp(F.when(~row, F.col("m"))).alias("sd_col"))
 
 
+def edge_heterogeneity(edges: DataFrame, by: By = ("t",)) -> DataFrame:
+    """`heterogeneity` of edges of two modes on their full spine, all actors of all networks, without making it: a mean is a sum over the number of the other side.
+
+    Of repeated edges the largest counts. Actors without an edge in a network have a mean of zero, which is put to the spread of the others' means.
+    """
+    by = list(by)
+    one = edges.where("i is not null and j is not null").groupBy(*by, "i", "j").agg(F.max("y").cast("double").alias("y"))
+    n = {c: edges.select(c).distinct().count() for c in ("i", "j")}
+    out = edges.select(*by).distinct()
+    for c, other, name in (("i", "j", "sd_row"), ("j", "i", "sd_col")):
+        means = one.groupBy(*by, c).agg((F.coalesce(F.sum("y"), F.lit(0.0)) / n[other]).alias("m"))
+        spread = means.groupBy(*by).agg(F.count("*").alias("k"), F.avg("m").alias("m"), F.var_pop("m").alias("v"))
+        squares = F.col("k") * F.col("v") + F.col("m") * F.col("m") * F.col("k") * (n[c] - F.col("k")) / n[c]
+        sd = F.sqrt(F.coalesce("squares", F.lit(0.0)) / (n[c] - 1)) if n[c] > 1 else F.lit(None).cast("double")
+        out = out.join(spread.select(*by, squares.alias("squares")), by, "left").withColumn(name, sd).drop("squares")
+    return out
+
+
 def pairs_of(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     """(by, lo, hi, f, g): the observed cells of each unordered pair, f from the lesser to the greater actor and g back; null where unobserved."""
     cells = dyads.where("y is not null and i <> j")
@@ -115,7 +137,6 @@ def _wedge_triads(pairs: DataFrame, moments: DataFrame, by: list[str]) -> DataFr
 
 
 def _grid_triads(dyads: DataFrame, moments: DataFrame, by: list[str], block: int) -> DataFrame:
-    import numpy as np
     import pandas as pd
 
     cells = dyads.where("y is not null and i <> j").join(moments.select(*by, "mu"), by)
@@ -156,6 +177,74 @@ def _grid_triads(dyads: DataFrame, moments: DataFrame, by: list[str], block: int
     return sums.groupBy(*by).agg(F.sum("c1").alias("cycle_sum"), F.sum("c2").alias("cycle_n"), F.sum("t1").alias("trans_sum"), F.sum("t2").alias("trans_n"))
 
 
+def _numbered(ends: DataFrame) -> DataFrame:
+    """ends, written, with a number from 0 without gaps in `id`; only the sizes of the partitions meet in the driver."""
+    rows = written(ends.withColumn("at", F.monotonically_increasing_id()), "ends")
+    part, row = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    begin, begins = 0, {}
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):
+        begins[p], begin = begin, begin + n
+    if begin >= 1 << 31:
+        raise ValueError("more than 2^31 actors on a side")
+    table = ends.sparkSession.createDataFrame(list(begins.items()), "part int, begin long")
+    return rows.withColumn("part", part).join(F.broadcast(table), "part").withColumn("id", (F.col("begin") + row).cast("int")).drop("part", "begin", "at")
+
+
+def _pair_counter() -> Callable:
+    """A mapInArrow function to (a, cycles, open) of rows (a, w) in order of a, where w are partners of a: pairs of equal partners, and partners met twice at least.
+
+    Partners of an actor that goes on in the next batch are held once each, with how often they were met.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def made(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            actors, begin = np.unique(keys >> 32, return_index=True)
+            sums = [np.add.reduceat(x, begin) for x in (n * (n - 1) // 2, (n >= 2).astype(np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(actors.astype(np.int32)), *map(pa.array, sums)], names=["a", "cycles", "open"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            actors = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy()))
+            if not len(actors):
+                continue
+            keys = np.sort(actors << 32 | lists.flatten().to_numpy())
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, n = keys[begin], np.diff(np.append(begin, len(keys)))
+            if len(held):
+                same = np.searchsorted(keys, ((held[0] >> 32) + 1) << 32)
+                both, where = np.unique(np.concatenate([held, keys[:same]]), return_inverse=True)
+                total = np.zeros(len(both), np.int64)
+                np.add.at(total, where, np.concatenate([times, n[:same]]))
+                keys, n = np.concatenate([both, keys[same:]]), np.concatenate([total, n[same:]])
+            last = np.searchsorted(keys, keys[-1] >> 32 << 32)
+            held, times = keys[last:], n[last:]
+            if last:
+                yield made(keys[:last], n[:last])
+        if len(held):
+            yield made(held, times)
+
+    return run
+
+
+def _shared_partners(ties: DataFrame, ends: DataFrame, by: list[str], size: list[str]) -> DataFrame:
+    """(by, cycles, open) over pairs of ends that share centres, for ties (by, v, u, starts) and ends (by, u, *size).
+
+    A centre's ends are in order of size and number. From those that start, a row goes out with the ends before, as arrays of
+    numbers of bounded length; rows of an end are sorted together and their partners counted in numpy. What is shuffled is a number for each wedge.
+    """
+    ids = _numbered(ends)
+    place = Window.partitionBy(*by, "v").orderBy(*size, "id")
+    ranked = ties.join(ids, [*by, "u"]).select(*by, "v", "id", "starts", (F.row_number().over(place) - 1).alias("at"))
+    chunk = F.floor(F.col("at") / CHUNK).cast("int")
+    chunks = ranked.groupBy(*by, "v", chunk.alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("w"))
+    before = F.least(F.lit(CHUNK), F.col("at") - F.col("chunk") * CHUNK)
+    rows = ranked.where("starts and at > 0").select(*by, "v", F.col("id").alias("a"), "at").join(chunks, [*by, "v"]).where(before > 0).select("a", F.slice("w", F.lit(1), before).alias("w"))
+    found = rows.repartition("a").sortWithinPartitions("a").mapInArrow(_pair_counter(), "a int, cycles long, open long")
+    return found.join(ids.select(*by, F.col("id").alias("a")), "a").groupBy(*by).agg(F.sum("cycles").alias("cycles"), F.sum("open").alias("open"))
+
+
 def butterflies(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     """(by, four_cycles): pairs of shared partners over all pairs of one side, which is the same for either side.
 
@@ -166,14 +255,11 @@ def butterflies(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
     by = list(by)
     ties = dyads.where("y <> 0").select(*by, F.col("i").alias("r"), F.col("j").alias("c")).distinct()
     size = lambda end: ties.groupBy(*by, end).agg(F.count("*").alias(f"d_{end}")).where(F.col(f"d_{end}") > 1)
-    known = ties.join(size("r"), [*by, "r"]).join(size("c"), [*by, "c"])  # a cycle's actors have two ties at least
+    known = written(ties.join(size("r"), [*by, "r"]).join(size("c"), [*by, "c"]), "ties")  # a cycle's actors have two ties at least
     counts = None
     for u, v, after in (("r", "c", F.col("d_r") >= F.col("d_c")), ("c", "r", F.col("d_c") > F.col("d_r"))):
-        first = known.where(after).select(*by, F.col(v).alias("v"), F.col(u).alias("u"), F.col(f"d_{u}").alias("du"))
-        second = known.select(*by, F.col(v).alias("v"), F.col(u).alias("w"), F.col(f"d_{u}").alias("dw"))
-        before = (F.col("dw") < F.col("du")) | ((F.col("dw") == F.col("du")) & (F.col("w") < F.col("u")))
-        found = first.join(second, [*by, "v"]).where(before).groupBy(*by, "u", "w").agg(F.count("*").alias("n"))
-        made = found.groupBy(*by).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("n"))
+        ends = known.select(*by, F.col(u).alias("u"), F.col(f"d_{u}").alias("d")).distinct()
+        made = _shared_partners(known.select(*by, F.col(v).alias("v"), F.col(u).alias("u"), after.alias("starts")), ends, by, ["d"]).select(*by, F.col("cycles").alias("n"))
         counts = made if counts is None else counts.unionByName(made)
     total = counts.groupBy(*by).agg(F.sum("n").alias("n"))
     return dyads.select(*by).distinct().join(total, by, "left").select(*by, F.coalesce("n", F.lit(0).cast("long")).alias("four_cycles"))
@@ -186,19 +272,19 @@ def four_cycles(dyads: DataFrame, by: By = ("t",), side: str | None = None) -> D
     pairs. Actors of one tie have no part in a pair that counts, so ties of such are left out, twice over: a star has none.
     """
     by = list(by)
-    ties = dyads.where("y <> 0").select(*by, "i", "j").distinct()
-    for c in ("i", "j", "i", "j"):
-        ties = ties.join(ties.groupBy(*by, c).count().where("count > 1").select(*by, c), [*by, c], "left_semi")
-    ties = written(ties, "ties")
+    ties = written(dyads.where("y <> 0").select(*by, "i", "j").distinct(), "ties")
+    for _ in range(2):
+        for c in ("i", "j"):
+            ties = ties.join(ties.groupBy(*by, c).count().where("count > 1").select(*by, c), [*by, c], "left_semi")
+        ties = written(ties, "ties")  # each step reads the one before twice
     if side is None:
         pairs = lambda c: ties.groupBy(*by, c).count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] or 0
         side = "row" if pairs("j") <= pairs("i") else "col"
     one, other = ("i", "j") if side == "row" else ("j", "i")
-    a, b = (ties.select(*by, F.col(one).alias(n), F.col(other).alias("shared")) for n in ("a", "b"))
-    counts = a.join(b, [*by, "shared"]).where("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("c"))
-    made = counts.groupBy(*by).agg(F.sum(F.expr("c * (c - 1) div 2")).alias("four_cycles"), F.sum(F.when(F.col("c") >= 2, 1).otherwise(0)).alias("open"))
+    placed = ties.select(*by, F.col(other).alias("v"), F.col(one).alias("u"), F.lit(True).alias("starts"))
+    made = _shared_partners(placed, placed.select(*by, "u").distinct(), by, [])
     out = dyads.select(*by).distinct().join(made, by, "left")
-    cycles = F.coalesce("four_cycles", F.lit(0).cast("long"))
+    cycles = F.coalesce("cycles", F.lit(0).cast("long"))
     return out.select(*by, cycles.alias("four_cycles"), F.when(F.col("open") > 0, cycles / F.col("open")).otherwise(0.0).alias("clustering"))
 
 
@@ -211,10 +297,10 @@ def unipartite_statistics(dyads: DataFrame, by: By = ("t",), method: str = "wedg
     return out.select(*by, *[F.coalesce(F.nanvl(F.col(n), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names])
 
 
-def bipartite_statistics(dyads: DataFrame, by: By = ("t",)) -> DataFrame:
-    """sd_row, sd_col and four_cycles of a network of two modes."""
+def bipartite_statistics(dyads: DataFrame, by: By = ("t",), absent: bool = False) -> DataFrame:
+    """sd_row, sd_col and four_cycles of a network of two modes; with `absent`, of edges, whose pairs without a row are zeros."""
     by = list(by)
-    return heterogeneity(dyads, by).join(butterflies(dyads, by), by).select(*by, "sd_row", "sd_col", F.col("four_cycles"))
+    return (edge_heterogeneity if absent else heterogeneity)(dyads, by).join(butterflies(dyads, by), by).select(*by, "sd_row", "sd_col", F.col("four_cycles"))
 
 
 def network_statistics(dyads: DataFrame, square: bool | None = None, by: By = ("t",), custom: dict[str, Column | Callable] | None = None) -> DataFrame:
@@ -228,7 +314,6 @@ def network_statistics(dyads: DataFrame, square: bool | None = None, by: By = ("
 
 def custom_statistics(dyads: DataFrame, statistics: dict[str, Column | Callable], by: By = ("t",)) -> DataFrame:
     """User statistics: Column aggregates run as such; Python functions run per network, and a failing one gives null."""
-    import numpy as np
     import pandas as pd
 
     by = list(by)

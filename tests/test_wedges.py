@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relata.operators import statistics as s
+from relata.sources.edges import edges_to_dyads
 
 
 def dense(y):
@@ -94,3 +95,31 @@ def test_hubs_make_no_pairs_of_their_leaves(spark):
     rim = star.select("t", F.col("j").alias("i"), F.pmod(F.col("j").cast("long") + 1, F.lit(100_000)).cast("string").alias("j"), "y")
     wheel = star.unionByName(rim).withColumn("y", F.rand(3))
     assert s.triads(wheel).first().trans_dep is not None
+
+
+def test_edges_of_two_modes_are_not_expanded(spark):
+    """Statistics of edges equal those of their spine; 20,000 matched pairs, whose spine has 4 * 10^8 cells, are 20,000 rows."""
+    rng = np.random.default_rng(2)
+    rows = [(t, f"r{i}", f"c{j}", float(rng.integers(1, 4))) for t in (0, 1) for i in range(9) for j in range(7) if rng.random() < 0.4]
+    cells = spark.createDataFrame([*rows, rows[0], (1, "r0", "alone", None)], "t int, i string, j string, y double")
+    got = {r.t: r for r in s.bipartite_statistics(cells, absent=True).collect()}
+    want = {r.t: r for r in s.bipartite_statistics(edges_to_dyads(cells, square=False)).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[t][1:], want[t][1:]) for t in want)
+    pairs = spark.range(20_000).select(F.lit(0).alias("t"), F.col("id").cast("string").alias("i"), F.col("id").cast("string").alias("j"), F.lit(1.0).alias("y"))
+    assert tuple(s.bipartite_statistics(pairs, absent=True).first()) == (0, 0.0, 0.0, 0)
+
+
+def test_partners_are_counted_over_arrays_and_batches(spark, monkeypatch):
+    """Arrays of three partners and batches of two rows give what whole lists give; only arrays leave the joins, not a row for each wedge."""
+    rng = np.random.default_rng(5)
+    ties = [(f"r{i}", f"c{j}") for i in range(25) for j in range(15) if rng.random() < 0.5]
+    cells = spark.createDataFrame([(t, i, j, 1.0) for t in (0, 1) for i, j in ties[t:]], "t int, i string, j string, y double")
+    monkeypatch.setattr(s, "CHUNK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for side in ("row", "col"):
+            got = {r.t: r.four_cycles for r in s.four_cycles(cells, side=side).collect()}
+            assert got == {t: plain_cycles(ties[t:])[0] for t in (0, 1)}
+        assert {r.t: r.four_cycles for r in s.butterflies(cells).collect()} == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
