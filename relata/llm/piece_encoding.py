@@ -41,7 +41,7 @@ from relata.llm.frames import fresh, table
 from relata.llm.words import slices, text_offsets
 
 #: Bytes of text that are encoded together.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Fixed values of the model's file format: numbers of fields, and kinds of pieces.
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
 CHARSMAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE_SPACES, SUFFIX_SPACES, BYTE_FALLBACK = 2, 3, 4, 5, 24, 35
@@ -248,12 +248,15 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", name: str = "encoded", add_end: bool = True) -> tuple[DataFrame, str]:
-    """docs without the text, with a struct of ids, begins and ends (bytes of the text), and the name of its column."""
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", name: str = "encoded", add_end: bool = True, back: bool = False) -> tuple[DataFrame, str]:
+    """docs without the text, with a struct of ids, begins and ends (bytes of the text), and the name of its column.
+
+    With `back` the struct has the text decoded from the ids as well; one worker a task does both, and ids do not go to a second.
+    """
     name = fresh(docs, name)
     at = docs.columns.index(text_col)
     kept = [k for k in range(len(docs.columns)) if k != at]
-    result = T.StructType.fromDDL("ids array<int>, begins array<long>, ends array<long>")
+    result = T.StructType.fromDDL("ids array<int>, begins array<long>, ends array<long>" + (", back string" if back else ""))
     schema = T.StructType([*[docs.schema[k] for k in kept], T.StructField(name, result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", name: str = "e
             for begin, end in slices(text_offsets(batch.column(at)), SLICE):
                 texts = [t or "" for t in batch.column(at).slice(begin, end - begin).to_pylist()]
                 ids, begins, ends = zip(*known.encode(texts, add_end))
-                made = pa.StructArray.from_arrays([_lists(ids, pa.int32()), _lists(begins, pa.int64()), _lists(ends, pa.int64())], names=["ids", "begins", "ends"])
+                lists = [_lists(ids, pa.int32()), _lists(begins, pa.int64()), _lists(ends, pa.int64())]
+                if back:
+                    lists.append(pa.array([known.whole.decode(x.tolist()) if len(x) else "" for x in ids], pa.string()))
+                made = pa.StructArray.from_arrays(lists, names=result.names)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(begin, end - begin) for k in kept], made], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema), name
@@ -290,12 +296,12 @@ def model_bytes(path: str | None = None) -> bytes:
 
 def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = model_bytes()
-    done, name = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    done, name = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, back=True)
     ids, begins, ends = (F.col(f"{name}.{c}") for c in ("ids", "begins", "ends"))
     return done.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decoded(ids, model).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col(f"{name}.back").cast("binary"), 256).alias("decoded_sha256"),
         F.sha2(F.array_join(F.concat(begins, F.slice(ends, -1, 1)).cast("array<string>"), " ").cast("binary"), 256).alias("spans_sha256"),
     )

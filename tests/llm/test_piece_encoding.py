@@ -108,3 +108,13 @@ def test_defined_cases(spark, model):
     assert [r[0] for r in nothing.select(q.decoded(nothing.ids, model)).collect()] == ["", ""]
     with pytest.raises(ValueError):
         q.Pieces(model + field(q.TRAINER, bytes([q.SUFFIX_SPACES << 3 & 127 | 128, q.SUFFIX_SPACES >> 4, 1])))
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    """The query's ids do not pass to a second Python worker, and its decoded text is the library's."""
+    plan = q.op13_piece_encoding(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    docs = spark.createDataFrame([(1, "a  b"), (2, None), (3, "é漢 x")], "doc_id long, text string")
+    done, name = q.encode(docs, q.model_bytes(), back=True)
+    whole = q.pieces(q.model_bytes()).whole
+    assert all(r[name].back == (whole.decode(list(r[name].ids)) if r[name].ids else "") for r in done.collect())
