@@ -50,7 +50,8 @@ GROUP_BYTES = 16 << 20
 BLOCK_WORDS = 1 << 20
 #: Blocks that a worker may hold.
 HELD_BLOCKS = 2
-_SIEVE_BITS = 22
+#: A sieve has so many places for each key, 256 to 512, up to 4 MB.
+_SIEVE_SPARE_BITS, _SIEVE_MOST_BITS = 8, 22
 
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_at long, longest_item string"
 
@@ -88,11 +89,9 @@ class NeedleBlock:
         if not self.lead:
             return
         self.leads = np.unique(lead_keys(words, self.lead)[at])
-        self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
-        self.sieve[(self.leads >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
         # the distinct windows, their places in order, and the items that have them
         low, one, uid = np.unique(suffix_keys(words, at, at + width, window, 0), return_index=True, return_inverse=True)
-        self.low, self.high, self.width = low, suffix_keys(words, at[one], at[one] + width[one], window, 0xFFFFFFFFFFFFFFFF), width[one]
+        self.width = width[one]
         order = np.argsort(uid, kind="stable")
         self.places, self.place_of = at[order], np.searchsorted(uid[order], np.arange(len(low) + 1))
         pairs = np.unique(uid.astype(np.int64) * len(texts) + item[at])
@@ -103,6 +102,24 @@ class NeedleBlock:
         first_item = np.searchsorted(uid, np.arange(len(low) + 1))
         _, one, self.set_of = np.unique(total, return_index=True, return_inverse=True)
         self.sets = [item[first_item[u] : first_item[u + 1]] for u in one]
+        self.make_keys()
+
+    def make_keys(self) -> None:
+        """The sieve and the windows as search keys, which follow from the rest and are larger than it; files of blocks are without them."""
+        bits = min(_SIEVE_MOST_BITS, len(self.leads).bit_length() + _SIEVE_SPARE_BITS)
+        self.shift, self.sieve = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.sieve[(self.leads >> self.shift).astype(np.int64)] = True
+        at = self.places[self.place_of[:-1]]
+        self.low = suffix_keys(self.words, at, at + self.width, self.window, 0)
+        self.high = self.low if self.width.min() == self.window else suffix_keys(self.words, at, at + self.width, self.window, 0xFFFFFFFFFFFFFFFF)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("shift", "sieve", "low", "high")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        if self.lead:
+            self.make_keys()
 
     def unlike(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Those of the words `which`, all with a known hash, that are other words than the known ones."""
@@ -127,10 +144,10 @@ def lead_keys(words: np.ndarray, n: int) -> np.ndarray:
 
 def suffix_keys(words: np.ndarray, at: np.ndarray, end: np.ndarray, window: int, pad: int) -> np.ndarray:
     """The first words of each suffix as bytes whose order is the order of the words."""
-    where = at[:, None] + np.arange(window)
-    inside = where < end[:, None]
-    keys = np.where(inside, words[np.minimum(where, max(len(words) - 1, 0))], np.uint64(pad))
-    return np.ascontiguousarray(keys.astype(">u8")).view(f"S{8 * window}").ravel()
+    keys = np.empty((len(at), window), ">u8")
+    for k in range(window):
+        keys[:, k] = np.where(at + k < end, words[np.minimum(at + k, max(len(words) - 1, 0))], np.uint64(pad))
+    return keys.view(f"S{8 * window}").ravel()
 
 
 def occurrences(block: NeedleBlock, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +156,7 @@ def occurrences(block: NeedleBlock, words: np.ndarray, bounds: np.ndarray) -> tu
     if not block.lead or len(words) < block.lead:
         return none, none, none
     lead = lead_keys(words, block.lead)
-    kept = np.flatnonzero(block.sieve[(lead >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
+    kept = np.flatnonzero(block.sieve[(lead >> block.shift).astype(np.int64)])
     kept = kept[np.isin(lead[kept], block.leads)]
     if not len(kept):
         return none, none, none

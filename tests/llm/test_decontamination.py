@@ -180,6 +180,32 @@ def test_blocks_come_from_tasks_and_find_the_same(spark):
     assert rows() == rows(block_words=10) and sum(r[1] for r in rows()) == 90
 
 
+def test_files_of_blocks_follow_the_size_of_the_items(spark):
+    import os
+
+    bench = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20 if k % 2 else 4))) for k in range(60)], "item_id long, text string")
+    needles = d.needle_blocks(bench, "item_id", "text", 10, 10)
+    sizes = [os.path.getsize(f"{needles.folder.removeprefix('file://')}/{name}") for name in needles.names]
+    assert len(sizes) >= 10 and sum(sizes) < 1 << 20
+    # what a file is without is there again when it is read
+    docs = spark.createDataFrame([(k, f"a w{k}x0 w{k}x1 w{k}x2 w{k}x3 " + " ".join(f"w{k}x{j}" for j in range(4, 20))) for k in range(70)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in d.annotate(docs, bench, block_words=10).collect()}
+    assert got == {k: (0, 0) if k >= 60 else (20, 1) if k % 2 else (4, 1) for k in range(70)}
+
+
+def test_a_large_block_in_a_file():
+    import pickle
+
+    import numpy as np
+
+    block = d.NeedleBlock([str(k) for k in range(200)], [" ".join(f"w{k}x{j}" for j in range(100)) for k in range(200)], 10)
+    data = pickle.dumps(block)
+    assert len(data) < 150 * len(block.words)
+    again = pickle.loads(data)
+    for name in ("low", "high", "sieve", "leads", "words"):
+        assert np.array_equal(getattr(again, name), getattr(block, name))
+
+
 def test_columns_that_would_clash(spark):
     docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, N_HIT int")
     bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
